@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.llm import bpe, common, token_shards
+from foliate.llm import bpe, common, decontam, token_shards, warc
 from foliate.llm.common import table
 
 
@@ -36,9 +36,39 @@ def op3_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _bpe_digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in documents."""
+    found = decontam.find_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10)
+    n_hit = F.aggregate(F.expr("transform(spans, (x, i) -> if(i % 2 = 0, -x, x))"), F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select(
+        "doc_id", "n_words", F.coalesce(n_hit, F.lit(0)).alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated")
+    )
+
+
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC archives with revisit records, and read back."""
+    path = common.new_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path, least=1000)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
     "op3_speculative_bpe": op3_speculative_bpe,
+    "op8_decontamination": op8_decontamination,
+    "op10_warc_revisits": op10_warc_revisits,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_warc_revisits": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+        ), o AS (
+            SELECT payload_digest, max(page_id) AS original FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+        )
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, p.payload_digest,
+               CASE WHEN original <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN original <> page_id THEN original END AS refers_to
+        FROM p LEFT JOIN o USING (payload_digest)
+    """,
+}
