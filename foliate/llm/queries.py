@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.llm import bpe, common, decontam, token_shards, warc
+from foliate.llm import bpe, common, decontam, neardup, token_shards, warc
 from foliate.llm.common import table
 
 
@@ -45,6 +45,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups at a Jaccard similarity of 0.75 on five-word shingles."""
+    return neardup.group(table(spark, sf_dir, "documents"), percent=75)
+
+
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC archives with revisit records, and read back."""
     path = common.new_path(spark, "archives")
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
     "op3_speculative_bpe": op3_speculative_bpe,
     "op8_decontamination": op8_decontamination,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_warc_revisits": op10_warc_revisits,
 }
 
