@@ -38,7 +38,7 @@ class ChunkEncoder:
 
     PART = "\x02"
 
-    def __init__(self, path: str, cached: int = 500_000):
+    def __init__(self, path: str, cached: int = 700_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,7 +64,8 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        split = [t.encode().split() for t in texts]
+        # ASCII case is lost to the normaliser anyway; special tokens keep theirs until they are told apart.
+        split = [t.encode().split() if "<|" in t else t.encode().lower().split() for t in texts]
         met = set().union(*split)
         if new := list(met.difference(self.cache)):
             if len(self.cache) + len(new) > self.cached:
@@ -74,6 +75,16 @@ class ChunkEncoder:
         return [b"".join(map(get, chunks)) for chunks in split]
 
 
+_loaded: dict[str, ChunkEncoder] = {}
+
+
+def loaded(path: str) -> ChunkEncoder:
+    """One for each worker process: later tasks find its cache filled."""
+    if path not in _loaded:
+        _loaded[path] = ChunkEncoder(path)
+    return _loaded[path]
+
+
 def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, shard_tokens: int = 1 << 21, rounds: int = 6, per_round: int = 4096) -> None:
     """Writes ``docs``' ids to ``path``; ``end_id`` ends each document."""
     spark = docs.sparkSession
@@ -83,7 +94,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, sh
         from pyspark import TaskContext
 
         part, seq, before = TaskContext.get().partitionId(), 0, 0
-        encoder, end = ChunkEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = loaded(tokenizer), np.array([end_id], "<u4").tobytes()
         ids: list[int] = []
         runs: list[bytes] = []
         held = 0
