@@ -29,16 +29,18 @@ NULL_ID = -(1 << 63)
 
 
 class ChunkEncoder:
-    """Encodes texts with a tokenizer whose pre-tokens never hold white space.
+    """Encodes texts with a word-end BPE tokenizer whose pre-tokens never hold white space.
 
     Texts fall into chunks at ASCII white space; chunks that were met before come
-    from a bounded cache, new ones are encoded together, parted by a control
-    character whose id nothing else yields.
+    from a bounded cache.  New chunks of letters are encoded many at a time and told
+    apart by the tokens that end a pre-token; of a chunk of letters and a comma or a
+    full stop the two pre-tokens are encoded on their own; the others are encoded
+    together, parted by a control character whose id nothing else yields.
     """
 
     PART = "\x02"
 
-    def __init__(self, path: str, cached: int = 700_000):
+    def __init__(self, path: str, cached: int = 900_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,20 +49,46 @@ class ChunkEncoder:
         self.tokenizer, self.cached, self.cache = Tokenizer.from_file(path), cached, {}
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         (self.part,) = self.tokenizer.encode(self.PART, add_special_tokens=False).ids
-
-    def _encode(self, chunks: list[bytes], group: int = 64) -> None:
-        odd = [c for c in chunks if b"\x02" in c or b"<|" in c]
-        plain = [c for c in chunks if b"\x02" not in c and b"<|" not in c] if odd else chunks
-        groups = [plain[k : k + group] for k in range(0, len(plain), group)]
-        part = f" {self.PART} ".encode()
-        for own, e in zip(groups, self.tokenizer.encode_batch_fast([part.join(g).decode() for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends, raw, start = [*(np.flatnonzero(ids == self.part) * 4).tolist(), ids.nbytes], ids.tobytes(), 0
-            for chunk, end in zip(own, ends, strict=True):
-                self.cache[chunk] = raw[start:end]
-                start = end + 4
+        self.closes = np.zeros(self.size, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.closes[i] = token.endswith("</w>")
+        self.marks = {m: np.array(self.tokenizer.encode(chr(m), add_special_tokens=False).ids, "<u4").tobytes() for m in b",."}
+
+    def _batch(self, chunks: list[bytes], part: bytes, group: int = 64) -> list[np.ndarray]:
+        groups = [chunks[k : k + group] for k in range(0, len(chunks), group)]
+        encoded = self.tokenizer.encode_batch_fast([part.join(g).decode() for g in groups], add_special_tokens=False)
+        return [(g, np.array(e.ids, "<u4")) for g, e in zip(groups, encoded, strict=True)]
+
+    def _keep(self, chunks: list[bytes], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
+        raw = ids.tobytes()
+        for chunk, a, b in zip(chunks, starts, ends, strict=True):
+            self.cache[chunk] = raw[4 * a : 4 * b]
+
+    def _encode(self, chunks: list[bytes]) -> None:
+        letters, marked, odd, other = [], [], [], []
+        for c in chunks:
+            if c.isalpha() or c.decode().isalpha():
+                letters.append(c)
+            elif c[-1] in b",." and c[:-1].decode().isalpha():
+                marked.append(c)
+            elif b"\x02" in c or b"<|" in c:
+                odd.append(c)
+            else:
+                other.append(c)
+        letters += {c[:-1] for c in marked}.difference(self.cache, letters)
+        for own, ids in self._batch(letters, b" "):
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(own):  # each chunk has one pre-token at least, so each has one
+                self._keep(own, ids, [0, *ends[:-1].tolist()], ends.tolist())
+            else:
+                other += own
+        for own, ids in self._batch(other, f" {self.PART} ".encode()):
+            at = np.flatnonzero(ids == self.part).tolist()
+            self._keep(own, ids, [0, *(k + 1 for k in at)], [*at, len(ids)])
         for chunk, e in zip(odd, self.tokenizer.encode_batch_fast([c.decode() for c in odd], add_special_tokens=False), strict=True):
             self.cache[chunk] = np.array(e.ids, "<u4").tobytes()
+        for c in marked:
+            self.cache[c] = self.cache[c[:-1]] + self.marks[c[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
@@ -85,7 +113,7 @@ def loaded(path: str) -> ChunkEncoder:
     return _loaded[path]
 
 
-def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, shard_tokens: int = 1 << 21, rounds: int = 6, per_round: int = 4096) -> None:
+def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, shard_tokens: int = 1 << 21, rounds: int = 5, per_round: int = 4096) -> None:
     """Writes ``docs``' ids to ``path``; ``end_id`` ends each document."""
     spark = docs.sparkSession
     common.small_batches(spark)
