@@ -23,9 +23,10 @@ MAGIC = b"RPG1"
 _HEAD = struct.Struct("<4sIIIQ")
 
 
-def _pair_slots(left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
-    mixed = left.astype(np.uint32) * np.uint32(2654435761) + right.astype(np.uint32) * np.uint32(2246822519)
-    return mixed >> np.uint32(32 - bits)
+def _pair_slots(left: np.ndarray, right: np.ndarray, bits: int, turn: int) -> np.ndarray:
+    """A slot for each pair, dealt differently in each round."""
+    mixed = left * np.uint32(2654435761 + 2 * turn) + right * np.uint32(2246822519 - 2 * turn)
+    return (mixed >> np.uint32(32 - bits)).astype(np.int64)
 
 
 def _chosen(marked: np.ndarray, count: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -47,40 +48,46 @@ def build(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = 6, per_ro
     """Symbols, rules, expansion lengths and each document's end in symbols.
 
     ``ends``: each document's end in ids, ascending.  A round counts all adjacent
-    pairs, gives the ``per_round`` most frequent with ``least`` or more occurrences
-    a nonterminal each and replaces them at once.
+    pairs by slots, takes the ``per_round`` fullest with ``least`` or more occurrences,
+    gives a pair of each a nonterminal and replaces them at once.  Where two pairs
+    share a slot, one of them waits for a round that parts them.
     """
     seq, ends = ids.astype(np.uint32), ends.astype(np.int64)
     rules, lengths = [np.empty((0, 2), np.uint32)], [np.empty(0, np.uint32)]
     made, length_of = 0, np.ones(first, np.uint32)
     bits = int(np.clip(np.ceil(np.log2(max(len(ids), 2))), 10, 20))
-    for _ in range(rounds):
+    for turn in range(rounds):
         if len(seq) < 2:
             break
-        slot = _pair_slots(seq[:-1], seq[1:], bits)
+        slot = _pair_slots(seq[:-1], seq[1:], bits, turn)
         tally = np.bincount(slot, minlength=1 << bits)
         crossing = ends[:-1] - 1
         crossing = crossing[(crossing >= 0) & (crossing < len(slot))]
         tally -= np.bincount(slot[crossing], minlength=1 << bits)
-        # Only slots that could hold one of the per_round best pairs are looked at exactly.
-        full = np.sort(tally[tally >= least])[::-1]
+        full = np.flatnonzero(tally >= least)
         if not len(full):
             break
-        bar = max(least, int(full[min(len(full), per_round) - 1]))
-        mark = (tally >= bar)[slot]
-        mark[crossing] = False
-        at = np.flatnonzero(mark)
+        full = np.sort(full[np.argpartition(-tally[full], min(per_round, len(full)) - 1)[:per_round]])
+        rank = np.full(1 << bits, -1, np.int32)
+        rank[full] = np.arange(len(full))
+        of = rank[slot]
+        of[crossing] = -1
+        at = np.flatnonzero(of >= 0)
+        number = of[at]
         key = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
-        pairs, number, count = np.unique(key, return_inverse=True, return_counts=True)
-        keep = count >= bar
+        own = np.zeros(len(full), np.uint64)
+        own[number] = key
+        same = own[number] == key
+        at, number = at[same], number[same]
+        count = np.bincount(number, minlength=len(full))
+        keep = count >= least
         if not keep.any():
             break
-        rank = np.cumsum(keep) - 1
         live = keep[number]
         at, number = at[live], number[live]
         win = _chosen(at, count[number], number)
-        at, number = at[win], rank[number[win]]
-        new = pairs[keep]
+        at, number = at[win], (np.cumsum(keep) - 1)[number[win]]
+        new = own[keep]
         pair = np.stack([new >> np.uint64(32), new & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
         seq[at] = (number + first + made).astype(np.uint32)
         stay = np.ones(len(seq), bool)
@@ -95,19 +102,39 @@ def build(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = 6, per_ro
     return seq, np.concatenate(rules), np.concatenate(lengths), ends
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, first: int) -> np.ndarray:
+def flat_rules(rules: np.ndarray, lengths: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """All rules' expansions one after the other, and where each begins; rules only refer to earlier ones."""
+    starts = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    flat, done = np.empty(int(starts[-1]), np.uint32), 0
+    pair = rules.astype(np.int64) - first
+    while done < len(rules):
+        # The longest run of rules that refer to finished ones alone.
+        ahead = np.flatnonzero((pair[done:] >= done).any(1))
+        stop = done + int(ahead[0]) if len(ahead) else len(rules)
+        part = rules[done:stop].ravel()
+        flat[starts[done] : starts[stop]] = expand(part, flat, starts, lengths, first)
+        done = stop
+    return flat, starts
+
+
+def expand(symbols: np.ndarray, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: int) -> np.ndarray:
     """The ids that symbols stand for."""
-    out = symbols.astype(np.uint32)
-    while len(big := np.flatnonzero(out >= first)):
-        pair = rules[out[big] - first]
-        n = np.ones(len(out), np.int64)
-        n[big] = 2
-        at = np.cumsum(n) - n
-        grown = np.empty(int(n.sum()), np.uint32)
-        grown[at] = out
-        grown[at[big]] = pair[:, 0]
-        grown[at[big] + 1] = pair[:, 1]
-        out = grown
+    big = np.flatnonzero(symbols >= first)
+    if not len(big):
+        return symbols.astype(np.uint32)
+    rule = symbols[big].astype(np.int64) - first
+    size = lengths[rule].astype(np.int64)
+    n = np.ones(len(symbols), np.int64)
+    n[big] = size
+    end = np.cumsum(n)
+    out = np.empty(int(end[-1]), np.uint32)
+    small = np.ones(len(symbols), bool)
+    small[big] = False
+    out[end[small] - 1] = symbols[small]
+    # Rules' ids: their places in `flat` and in `out` move together.
+    total = np.cumsum(size)
+    within = np.arange(int(total[-1])) - np.repeat(total - size, size)
+    out[np.repeat(end[big] - size, size) + within] = flat[np.repeat(starts[rule], size) + within]
     return out
 
 
@@ -139,11 +166,12 @@ class Shard:
 
         self.doc_ids, self.token_starts, self.symbol_starts = take("<i8", docs), take("<u8", docs + 1).astype(np.int64), take("<u8", docs + 1).astype(np.int64)
         self.rules, self.lengths, self.symbols = take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules), take("<u4", symbols)
+        self.flat, self.starts = flat_rules(self.rules, self.lengths, self.first)
         if at != len(blob) or len(expected := self.symbol_starts) != docs + 1 or expected[-1] != symbols:
             raise ValueError("a damaged grammar shard")
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.first)
+        return expand(self.symbols, self.flat, self.starts, self.lengths, self.first)
 
     def window(self, k: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids ``start:stop`` of the ``k``-th document."""
@@ -158,4 +186,4 @@ class Shard:
         end = np.cumsum(size)
         a, b = np.searchsorted(end, start, "right"), np.searchsorted(end, stop, "left") + 1
         skip = start - (int(end[a - 1]) if a else 0)
-        return expand(own[a:b], self.rules, self.first)[skip : skip + stop - start]
+        return expand(own[a:b], self.flat, self.starts, self.lengths, self.first)[skip : skip + stop - start]

@@ -44,9 +44,12 @@ class ChunkEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.cached, self.cache = Tokenizer.from_file(path), cached, {}
+        # For lower-case ASCII letters the normaliser and the split change nothing.
+        self.lean = Tokenizer.from_file(path)
+        self.lean.normalizer, self.lean.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        self.tokenizer, self.cached, self.cache, self.again = Tokenizer.from_file(path), cached, {}, set()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         (self.part,) = self.tokenizer.encode(self.PART, add_special_tokens=False).ids
         self.closes = np.zeros(self.size, bool)
@@ -54,9 +57,9 @@ class ChunkEncoder:
             self.closes[i] = token.endswith("</w>")
         self.marks = {m: np.array(self.tokenizer.encode(chr(m), add_special_tokens=False).ids, "<u4").tobytes() for m in b",."}
 
-    def _batch(self, chunks: list[bytes], part: bytes, group: int = 64) -> list[np.ndarray]:
+    def _batch(self, tokenizer, chunks: list[bytes], part: bytes, group: int = 64) -> list[tuple[list[bytes], np.ndarray]]:
         groups = [chunks[k : k + group] for k in range(0, len(chunks), group)]
-        encoded = self.tokenizer.encode_batch_fast([part.join(g).decode() for g in groups], add_special_tokens=False)
+        encoded = tokenizer.encode_batch_fast([part.join(g).decode() for g in groups], add_special_tokens=False)
         return [(g, np.array(e.ids, "<u4")) for g, e in zip(groups, encoded, strict=True)]
 
     def _keep(self, chunks: list[bytes], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
@@ -65,9 +68,11 @@ class ChunkEncoder:
             self.cache[chunk] = raw[4 * a : 4 * b]
 
     def _encode(self, chunks: list[bytes]) -> None:
-        letters, marked, odd, other = [], [], [], []
+        plain, letters, marked, odd, other = [], [], [], [], []
         for c in chunks:
-            if c.isalpha() or c.decode().isalpha():
+            if c.isalpha() and c.islower():
+                plain.append(c)
+            elif c.decode().isalpha():
                 letters.append(c)
             elif c[-1] in b",." and c[:-1].decode().isalpha():
                 marked.append(c)
@@ -75,14 +80,15 @@ class ChunkEncoder:
                 odd.append(c)
             else:
                 other.append(c)
-        letters += {c[:-1] for c in marked}.difference(self.cache, letters)
-        for own, ids in self._batch(letters, b" "):
+        for c in {c[:-1] for c in marked}.difference(self.cache, plain, letters):
+            (plain if c.isalpha() and c.islower() else letters).append(c)
+        for own, ids in [*self._batch(self.lean, plain, b" "), *self._batch(self.tokenizer, letters, b" ")]:
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(own):  # each chunk has one pre-token at least, so each has one
                 self._keep(own, ids, [0, *ends[:-1].tolist()], ends.tolist())
             else:
                 other += own
-        for own, ids in self._batch(other, f" {self.PART} ".encode()):
+        for own, ids in self._batch(self.tokenizer, other, f" {self.PART} ".encode()):
             at = np.flatnonzero(ids == self.part).tolist()
             self._keep(own, ids, [0, *(k + 1 for k in at)], [*at, len(ids)])
         for chunk, e in zip(odd, self.tokenizer.encode_batch_fast([c.decode() for c in odd], add_special_tokens=False), strict=True):
@@ -90,14 +96,18 @@ class ChunkEncoder:
         for c in marked:
             self.cache[c] = self.cache[c[:-1]] + self.marks[c[-1]]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Each UTF-8 text's ids as little-endian unsigned 32-bit integers."""
         # ASCII case is lost to the normaliser anyway; special tokens keep theirs until they are told apart.
-        split = [t.encode().split() if "<|" in t else t.encode().lower().split() for t in texts]
+        split = [t.split() if b"<|" in t else t.lower().split() for t in texts]
         met = set().union(*split)
         if new := list(met.difference(self.cache)):
+            self.again |= met.intersection(self.cache)
             if len(self.cache) + len(new) > self.cached:
-                self.cache = {c: self.cache[c] for c in met if c in self.cache}
+                # Chunks that were met in several batches stay, unless they are most of the cache.
+                stay = self.again if len(self.again) < self.cached // 2 else met.intersection(self.cache)
+                self.cache, self.again = {c: self.cache[c] for c in stay}, set()
+                new = list(met.difference(self.cache))
             self._encode(new)
         get = self.cache.__getitem__
         return [b"".join(map(get, chunks)) for chunks in split]
@@ -139,7 +149,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, sh
 
         for batch in batches:
             keys = batch.column(0).fill_null(NULL_ID).to_pylist()
-            for key, run in zip(keys, encoder.encode(common.texts(batch.column(1))), strict=True):
+            for key, run in zip(keys, encoder.encode(batch.column(1).cast(pa.binary()).fill_null(b"").to_pylist()), strict=True):
                 run += end
                 if runs and held + len(run) // 4 > shard_tokens:
                     yield flush()
