@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.llm import bpe, common, decontam, neardup, token_shards, warc
+from foliate.llm import bpe, common, decontam, line_rules, neardup, token_shards, toxicity, warc
 from foliate.llm.common import table
 
 
@@ -31,11 +31,24 @@ def _bpe_digests(ids: np.ndarray, decoded: str) -> tuple:
     return len(ids), hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores by compression distance."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("windows")
+
+
 def op3_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speculate-and-verify BPE, there and back."""
     return bpe.encode_decode(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _bpe_digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+LINE_LIMIT, MOST_REMOVED = 100, 0.5
+
+
+def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base quality rules and cross-document line frequency."""
+    return line_rules.judge(table(spark, sf_dir, "documents"), LINE_LIMIT, MOST_REMOVED)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in documents."""
     found = decontam.find_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10)
@@ -59,13 +72,50 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
+    "op2_toxicity": op2_toxicity,
     "op3_speculative_bpe": op3_speculative_bpe,
+    "op6_line_rules": op6_line_rules,
     "op8_decontamination": op8_decontamination,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_warc_revisits": op10_warc_revisits,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_line_rules": rf"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, source IS NULL AS no_host, coalesce(text, '') AS t FROM documents
+        ), w AS (
+            SELECT r, unnest(x) AS word, generate_subscripts(x, 1) AS i FROM (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS x FROM d)
+        ), base AS (
+            SELECT r, count(*) AS n_words, sum(length(word))::BIGINT AS word_chars FROM w GROUP BY r
+        ), three AS (
+            SELECT r, i, (word, lead(word) OVER p, lead(word, 2) OVER p)::VARCHAR AS win, lead(word, 2) OVER p AS last FROM w WINDOW p AS (PARTITION BY r ORDER BY i)
+        ), again AS (
+            SELECT r, i FROM three WHERE last IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, win) > 1
+        ), rep AS (
+            SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM again, (VALUES (0), (1), (2)) AS v(k) GROUP BY r
+        ), raw AS (
+            SELECT r, unnest(string_split(t, chr(10))) AS line FROM d
+        ), dup AS (
+            SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+        ), norm AS (
+            SELECT r, trim(regexp_replace(regexp_replace(lower(line), '[1-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM raw
+        ), lines AS (
+            SELECT r, host, no_host, line, len(string_split(line, ' ')) AS n FROM norm JOIN d USING (r) WHERE line <> ''
+        ), often AS (
+            SELECT host, no_host, line FROM lines GROUP BY ALL HAVING count(DISTINCT r) > {LINE_LIMIT}
+        ), gone AS (
+            SELECT r, sum(n)::BIGINT AS n_removed FROM lines SEMI JOIN often USING (host, no_host, line) GROUP BY r
+        ), m AS (
+            SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+                   length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+                   coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_removed, 0) AS n_removed
+            FROM d LEFT JOIN base USING (r) LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN gone USING (r)
+        )
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_removed <= {MOST_REMOVED} * n_words AS kept
+        FROM m
+    """,
     "op10_warc_revisits": """
         WITH p AS (
             SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
