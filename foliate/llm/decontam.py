@@ -239,16 +239,16 @@ def cut(text: str, spans: list[int]) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_share: float = 0.5, group_words: int = 200_000) -> DataFrame:
     """``docs`` without the spans that the benchmark also holds; documents of which more than ``most_share`` of the words were hit are dropped whole."""
     found = find_hits(docs, benchmark, window, group_words)
-    text_at = docs.columns.index("text")
+    names, text_at = docs.columns, docs.columns.index("text")
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(text_at).to_pylist()
             spans = batch.column(batch.num_columns - 2).to_pylist()
             new = [cut(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
-            columns = list(batch.columns[: len(docs.columns)])
+            columns = list(batch.columns[: len(names)])
             columns[text_at] = pa.array(new, pa.string())
-            return pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
         return each
 

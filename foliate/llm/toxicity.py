@@ -44,7 +44,7 @@ def words(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
-def segments(own: list[str], other: list[str], least_z: float = 8.0, odds: float = 12.0, least_share: float = 0.01, most: int = 400) -> list[str]:
+def segments(own: list[str], other: list[str], least_z: float = 6.0, odds: float = 12.0, least_share: float = 0.01, most: int = 400) -> list[str]:
     """Word beginnings of 4 to 12 letters whose document frequency sets the classes apart, strongest first.
 
     ``least_share`` of the own documents hold them, a share ``odds`` times that of the
@@ -161,7 +161,7 @@ def fit(rows: list[tuple[str, int, int]]) -> Model | float:
     x = features(np.array([measure.counts(t) for t, _, _ in rows]))
     y, part = np.array([y for _, y, _ in rows]), np.array([k for _, _, k in rows])
     weights, bias = _logistic(x[part > 0], y[part > 0])
-    held = part == 0 if (y[part == 0] == 1).any() and (y[part == 0] == 0).any() else part >= 0
+    held = part == 0 if min((y[part == 0] == c).sum() for c in (0, 1)) >= 30 else part >= 0  # too few to calibrate on alone
     logit, truth = x[held] @ weights + bias, y[held]
     loss = lambda t: np.logaddexp(0, np.where(truth == 1, -logit, logit) / t).mean()
     temperature = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
