@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.llm import bpe, common, decontam, line_rules, neardup, quality, token_shards, toxicity, warc
+from foliate.llm import bpe, common, decontam, html_diff, line_rules, neardup, quality, token_shards, toxicity, warc
 from foliate.llm.common import table
 
 
@@ -54,6 +54,11 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents"), LINE_LIMIT, MOST_REMOVED)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of pages."""
+    return html_diff.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in documents."""
     found = decontam.find_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10)
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_speculative_bpe": op3_speculative_bpe,
     "op5_quality": op5_quality,
     "op6_line_rules": op6_line_rules,
+    "op7_html_extraction": op7_html_extraction,
     "op8_decontamination": op8_decontamination,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_warc_revisits": op10_warc_revisits,
