@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.llm import bpe, common, decontam, html_diff, line_rules, neardup, quality, token_shards, toxicity, warc
+from foliate.llm import bpe, common, decontam, html_diff, line_rules, neardup, pii, quality, token_shards, toxicity, warc
 from foliate.llm.common import table
 
 
@@ -41,6 +41,11 @@ def op3_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _bpe_digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with surrogates for personal data."""
+    return pii.replace(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities", "entities")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores by a network on random-indexing vectors."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
     "op2_toxicity": op2_toxicity,
     "op3_speculative_bpe": op3_speculative_bpe,
+    "op4_surrogates": op4_surrogates,
     "op5_quality": op5_quality,
     "op6_line_rules": op6_line_rules,
     "op7_html_extraction": op7_html_extraction,
