@@ -69,6 +69,14 @@ def on_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
+def free(name: str, columns: list[str]) -> str:
+    """``name``, or the first of its longer forms that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts(column: pa.Array) -> list[str]:
     """Nulls become empty texts."""
     return [x or "" for x in column.to_pylist()]

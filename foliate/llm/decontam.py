@@ -238,8 +238,10 @@ def cut(text: str, spans: list[int]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_share: float = 0.5, group_words: int = 200_000) -> DataFrame:
     """``docs`` without the spans that the benchmark also holds; documents of which more than ``most_share`` of the words were hit are dropped whole."""
-    found = find_hits(docs, benchmark, window, group_words)
     names, text_at = docs.columns, docs.columns.index("text")
+    # Columns of the same names as the search's own step aside for it.
+    aside = {c: common.free(f"{c}_kept", names) for c in ("n_words", "spans", "items") if c in names}
+    found = find_hits(docs.withColumnsRenamed(aside), benchmark, window, group_words)
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -253,5 +255,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_
         return each
 
     hit = F.aggregate(F.expr("transform(spans, (x, i) -> if(i % 2 = 0, -x, x))"), F.lit(0), lambda a, x: a + x)
-    kept = found.filter(F.coalesce(hit, F.lit(0)) <= F.lit(most_share) * F.col("n_words")).select(*docs.columns, "spans", "n_words")
+    kept = found.filter(F.coalesce(hit, F.lit(0)) <= F.lit(most_share) * F.col("n_words")).select(*(aside.get(c, c) for c in names), F.col("spans").alias("__spans"), F.col("n_words").alias("__n_words"))
     return common.on_batches(kept, make, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))

@@ -59,6 +59,8 @@ PATTERNS = {
 _START = r"(?<![\p{L}\p{N}_@])"
 ANY = _START + "(?:" + "|".join(PATTERNS.values()) + ")"
 BROADCAST_ROWS = 100_000
+#: Names that inputs are not expected to have.
+FOUND, ROW, SHA = "__pii_found", "__pii_row", "__pii_sha"
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -233,13 +235,13 @@ def _entity(match: Column) -> Column:
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_found``, the kinds, canonical forms and mentions in each text."""
-    return docs.withColumn("_found", F.transform(F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(ANY), 0), _entity))
+    """``docs`` with column ``FOUND``, the kinds, canonical forms and mentions in each text."""
+    return docs.withColumn(FOUND, F.transform(F.regexp_extract_all(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(ANY), 0), _entity))
 
 
 def clashes(docs: DataFrame, key: str, rounds: int = 50) -> DataFrame:
     """``kind, own, number`` of entities whose first surrogate is another's, or is an entity of the corpus itself."""
-    each = found(docs.select("text")).select(F.explode("_found").alias("e")).select("e.kind", "e.own").distinct()
+    each = found(docs.select("text")).select(F.explode(FOUND).alias("e")).select("e.kind", "e.own").distinct()
     now = common.store(each.select("kind", "own", F.lit(0).alias("number"), surrogate(F.col("kind"), F.col("own"), F.lit(0), key).alias("made")), "pii_entities")
     for _ in range(rounds):
         twice = now.groupBy("kind", "made").agg(F.count("*").alias("n"), F.min("own").alias("first")).filter("n > 1").select("kind", "made", "first")
@@ -264,18 +266,18 @@ def replace(docs: DataFrame, key: str = "surrogate-key-1", broadcast_rows: int =
     columns = [c for c in docs.columns if c not in ("n_entities", "entities")]
     numbers = common.store(clashes(docs, key), "pii_numbers")
     held = found(docs.select(*columns))
-    kinds = [F.size("_found").cast("long").alias("n_entities"), F.transform("_found", lambda e: e["kind"]).alias("entities")]
+    kinds = [F.size(FOUND).cast("long").alias("n_entities"), F.transform(FOUND, lambda e: e["kind"]).alias("entities")]
     others = [c for c in columns if c != "text"]
     if numbers.isEmpty():
-        new = F.transform("_found", lambda e: render(e["kind"], e["match"], surrogate(e["kind"], e["own"], F.lit(0), key)))
-        text = F.when(F.size("_found") > 0, _woven(F.col("text"), new)).otherwise(F.col("text"))
+        new = F.transform(FOUND, lambda e: render(e["kind"], e["match"], surrogate(e["kind"], e["own"], F.lit(0), key)))
+        text = F.when(F.size(FOUND) > 0, _woven(F.col("text"), new)).otherwise(F.col("text"))
         return held.select(*others, text.alias("text"), *kinds).select(*columns, "n_entities", "entities")
     few = numbers.limit(broadcast_rows + 1).count() <= broadcast_rows
-    row = F.xxhash64("text").alias("_row"), F.sha1(F.col("text")).alias("_sha")
-    mentions = held.filter(F.size("_found") > 0).select(*row, F.posexplode("_found").alias("place", "e")).select("_row", "_sha", "place", "e.*").distinct()
+    row = F.xxhash64("text").alias(ROW), F.sha1(F.col("text")).alias(SHA)
+    mentions = held.filter(F.size(FOUND) > 0).select(*row, F.posexplode(FOUND).alias("place", "e")).select(ROW, SHA, "place", "e.*").distinct()
     marked = mentions.join(F.broadcast(numbers) if few else numbers, ["kind", "own"], "left").withColumn("number", F.coalesce("number", F.lit(0)))
-    new = marked.select("_row", "_sha", F.struct("place", render(F.col("kind"), F.col("match"), surrogate(F.col("kind"), F.col("own"), F.col("number"), key)).alias("new")).alias("p"))
-    lists = common.store(new.groupBy("_row", "_sha").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["new"]).alias("new")), "pii_lists")
-    joined = held.withColumns({"_row": row[0], "_sha": row[1]}).join(lists, ["_row", "_sha"], "left")
-    text = F.when(F.size("_found") > 0, _woven(F.col("text"), F.col("new"))).otherwise(F.col("text"))
+    new = marked.select(ROW, SHA, F.struct("place", render(F.col("kind"), F.col("match"), surrogate(F.col("kind"), F.col("own"), F.col("number"), key)).alias("new")).alias("p"))
+    lists = common.store(new.groupBy(ROW, SHA).agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["new"]).alias("new")), "pii_lists")
+    joined = held.withColumns({ROW: row[0], SHA: row[1]}).join(lists, [ROW, SHA], "left")
+    text = F.when(F.size(FOUND) > 0, _woven(F.col("text"), F.col("new"))).otherwise(F.col("text"))
     return joined.select(*others, text.alias("text"), *kinds).select(*columns, "n_entities", "entities")

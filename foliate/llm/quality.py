@@ -214,8 +214,8 @@ def _features(docs: DataFrame, vectors, keep: list[str]) -> DataFrame:
     return common.on_batches(docs.select(*keep, "text"), make, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", features array<float>")
 
 
-def score(docs: DataFrame, labels: DataFrame, folds: int = 5, most_docs: int = 20_000) -> DataFrame:
-    """All columns of ``docs`` with ``quality_score double``, learnt from labels outside the held-out fold."""
+def score(docs: DataFrame, labels: DataFrame, folds: int = 5, most_docs: int = 20_000, name: str = "quality_score") -> DataFrame:
+    """All columns of ``docs`` with the score as column ``name`` (which ``docs`` doesn't have), learnt from labels outside the held-out fold."""
     spark = docs.sparkSession
     vectors = spark.sparkContext.broadcast(word_vectors(train_vectors(docs)))
     known = labels.filter(F.col("quality").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % folds != 0)).select("doc_id", F.col("quality").cast("int").alias("_label"))
@@ -236,11 +236,11 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, most_docs: int = 2
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(text_at).to_pylist()
             s = net.score(pooled([tokens(t) for t in texts], table)) if isinstance(net, Network) else np.full(len(texts), net)
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*columns, "quality_score"])
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*columns, name])
 
         return each
 
-    return common.on_batches(docs, make, ", ".join(f"`{c}` {k}" for c, k in docs.dtypes) + ", quality_score double")
+    return common.on_batches(docs, make, ", ".join(f"`{c}` {k}" for c, k in docs.dtypes) + f", `{name}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, least: float = 0.3) -> DataFrame:
@@ -252,4 +252,5 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, least: float =
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score ``least`` or more, with all columns."""
-    return score(docs, labels).filter(F.col("quality_score") >= least).select(*docs.columns)
+    name = common.free("quality_score", docs.columns)
+    return score(docs, labels, name=name).filter(F.col(name) >= least).select(*docs.columns)
