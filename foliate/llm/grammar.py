@@ -29,18 +29,18 @@ def _pair_slots(left: np.ndarray, right: np.ndarray, bits: int, turn: int) -> np
     return (mixed >> np.uint32(32 - bits)).astype(np.int64)
 
 
-def _chosen(marked: np.ndarray, count: np.ndarray, key: np.ndarray) -> np.ndarray:
+def _chosen(marked: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Non-overlapping positions to replace: of two overlapping pairs the more
-    frequent one wins, and within a run of one repeated pair every second one."""
+    frequent one wins, and within a run of equally frequent ones every second one."""
+    place = np.arange(len(marked))
+    near = np.diff(marked) == 1
     gap = np.ones(len(marked), bool)
-    gap[1:] = (np.diff(marked) != 1) | (key[1:] != key[:-1])
-    first = np.maximum.accumulate(np.where(gap, np.arange(len(marked)), 0))
-    weight = count * 2 + (1 - ((np.arange(len(marked)) - first) & 1))
-    near = np.zeros(len(marked), bool)
-    near[1:] = np.diff(marked) == 1
+    gap[1:] = ~near | (count[1:] != count[:-1])
+    first = np.maximum.accumulate(np.where(gap, place, 0))
+    weight = count * 2 + (1 - ((place - first) & 1))
     win = np.ones(len(marked), bool)
-    win[1:] &= ~near[1:] | (weight[1:] > weight[:-1])
-    win[:-1] &= ~near[1:] | (weight[:-1] >= weight[1:])
+    win[1:] &= ~near | (weight[1:] > weight[:-1])
+    win[:-1] &= ~near | (weight[:-1] >= weight[1:])
     return win
 
 
@@ -85,7 +85,7 @@ def build(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = 6, per_ro
             break
         live = keep[number]
         at, number = at[live], number[live]
-        win = _chosen(at, count[number], number)
+        win = _chosen(at, count[number])
         at, number = at[win], (np.cumsum(keep) - 1)[number[win]]
         new = own[keep]
         pair = np.stack([new >> np.uint64(32), new & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
