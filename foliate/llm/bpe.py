@@ -35,7 +35,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class SpeculativeBpe:
-    def __init__(self, path: str, cached: int = 400_000):
+    def __init__(self, path: str, cached: int = 300_000):
         import regex
 
         with open(path, encoding="utf-8") as f:

@@ -189,8 +189,12 @@ def automata(benchmark: DataFrame, window: int, group_words: int) -> list[list[t
     return groups
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, group_words: int = 200_000) -> DataFrame:
-    """``docs`` with ``n_words long``, ``spans array<int>`` (starts and ends of hit word spans in turn) and ``items array<string>`` (items that hit, sorted)."""
+def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, group_words: int = 200_000, clean: bool = False) -> DataFrame:
+    """``docs`` with ``n_words long``, ``spans array<int>`` (starts and ends of hit word spans in turn) and ``items array<string>`` (items that hit, sorted).
+
+    With ``clean``, the texts are without the spans: in the same pass as the last
+    search, so that a task needs one Python worker.
+    """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
     rows = docs.select(*names, F.lit(None).cast("array<int>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
@@ -199,12 +203,13 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, group_wor
     groups = automata(benchmark, window, group_words)
     for k, group in enumerate(groups):
         shared = spark.sparkContext.broadcast(group)
+        last = k + 1 == len(groups)
 
-        def make(shared=shared):
+        def make(shared=shared, cleans=clean and last):
             automaton = ItemAutomaton(shared.value, window)
 
             def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-                counts, all_spans, all_items = [], [], []
+                counts, all_spans, all_items, texts = [], [], [], []
                 before, had = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()
                 for text, old, own in zip(batch.column(text_at).to_pylist(), before, had, strict=True):
                     tokens = words(text)
@@ -214,12 +219,15 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, group_wor
                     counts.append(len(tokens))
                     all_spans.append([x for s in spans for x in s])
                     all_items.append(sorted(items | set(own or ())))
-                return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(all_spans, pa.list_(pa.int32())), pa.array(all_items, pa.list_(pa.string())), pa.array(counts, pa.int64())], names=[*names, "spans", "items", "n_words"])
+                    texts.append(cut(text, all_spans[-1]) if cleans and spans else text)
+                columns = list(batch.columns[: len(names)])
+                columns[text_at] = pa.array(texts, pa.string()) if cleans else columns[text_at]
+                return pa.RecordBatch.from_arrays([*columns, pa.array(all_spans, pa.list_(pa.int32())), pa.array(all_items, pa.list_(pa.string())), pa.array(counts, pa.int64())], names=[*names, "spans", "items", "n_words"])
 
             return each
 
         rows = common.on_batches(rows.select(*names, "spans", "items"), make, f"{kinds}, n_words long")
-        if k + 1 < len(groups):
+        if not last:
             rows = common.store(rows, "decontamination")
     return rows
 
@@ -238,22 +246,10 @@ def cut(text: str, spans: list[int]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_share: float = 0.5, group_words: int = 200_000) -> DataFrame:
     """``docs`` without the spans that the benchmark also holds; documents of which more than ``most_share`` of the words were hit are dropped whole."""
-    names, text_at = docs.columns, docs.columns.index("text")
+    names = docs.columns
     # Columns of the same names as the search's own step aside for it.
     aside = {c: common.free(f"{c}_kept", names) for c in ("n_words", "spans", "items") if c in names}
-    found = find_hits(docs.withColumnsRenamed(aside), benchmark, window, group_words)
-
-    def make():
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = batch.column(text_at).to_pylist()
-            spans = batch.column(batch.num_columns - 2).to_pylist()
-            new = [cut(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
-            columns = list(batch.columns[: len(names)])
-            columns[text_at] = pa.array(new, pa.string())
-            return pa.RecordBatch.from_arrays(columns, names=names)
-
-        return each
-
+    found = find_hits(docs.withColumnsRenamed(aside), benchmark, window, group_words, clean=True)
     hit = F.aggregate(F.expr("transform(spans, (x, i) -> if(i % 2 = 0, -x, x))"), F.lit(0), lambda a, x: a + x)
-    kept = found.filter(F.coalesce(hit, F.lit(0)) <= F.lit(most_share) * F.col("n_words")).select(*(aside.get(c, c) for c in names), F.col("spans").alias("__spans"), F.col("n_words").alias("__n_words"))
-    return common.on_batches(kept, make, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))
+    kept = found.filter(F.coalesce(hit, F.lit(0)) <= F.lit(most_share) * F.col("n_words"))
+    return kept.select(*(F.col(aside.get(c, c)).alias(c) for c in names))

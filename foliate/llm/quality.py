@@ -43,7 +43,7 @@ _TOKEN = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 class Tokens:
     """Texts to bucket numbers, white-space chunk by chunk through a bounded cache."""
 
-    def __init__(self, cached: int = 400_000):
+    def __init__(self, cached: int = 150_000):
         self.cached, self.known = cached, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -97,7 +97,7 @@ def train_vectors(docs: DataFrame) -> np.ndarray:
             for text in batch.column(0).to_pylist():
                 held.append(tokens(text))
                 n += len(held[-1])
-                if n > 1_000_000:
+                if n > 250_000:
                     total += contexts(held)
                     held, n = [], 0
         if n:
