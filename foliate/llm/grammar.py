@@ -55,7 +55,7 @@ def build(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = 6, per_ro
     seq, ends = ids.astype(np.uint32), ends.astype(np.int64)
     rules, lengths = [np.empty((0, 2), np.uint32)], [np.empty(0, np.uint32)]
     made, length_of = 0, np.ones(first, np.uint32)
-    bits = int(np.clip(np.ceil(np.log2(max(len(ids), 2))), 10, 20))
+    bits = int(np.clip(np.ceil(np.log2(max(len(ids), 2))), 10, 18))
     for turn in range(rounds):
         if len(seq) < 2:
             break

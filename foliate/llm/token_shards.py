@@ -15,6 +15,9 @@ is a shard of its own.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import compress, repeat
+from operator import is_
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +29,19 @@ from foliate.llm import common, grammar
 SHARDS = "part int, seq int, part_start long, first_doc long, n_docs long, n_tokens long, shard binary"
 #: Stands for a null document id within a shard.
 NULL_ID = -(1 << 63)
+#: Marks that are a pre-token of their own after letters; an apostrophe may not be.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class ChunkEncoder:
     """Encodes texts with a word-end BPE tokenizer whose pre-tokens never hold white space.
 
     Texts fall into chunks at ASCII white space; chunks that were met before come
-    from a bounded cache.  New chunks of letters are encoded many at a time and told
-    apart by the tokens that end a pre-token; of a chunk of letters and a comma or a
-    full stop the two pre-tokens are encoded on their own; the others are encoded
-    together, parted by a control character whose id nothing else yields.
+    from a bounded cache.  Of new chunks, runs of marks after letters are encoded on
+    their own, as pre-tokens of their own; letters in the form that the normaliser
+    gives them go through a pipeline without it, many at a time, and are told apart by
+    the tokens that end a pre-token.  The others are encoded together, parted by a
+    control character whose id nothing else yields.
     """
 
     PART = "\x02"
@@ -46,18 +52,21 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        # For lower-case ASCII letters the normaliser and the split change nothing.
+        # For letters that are lower-case and composed, the normaliser and the split change nothing.
         self.lean = Tokenizer.from_file(path)
-        self.lean.normalizer, self.lean.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
-        self.tokenizer, self.cached, self.cache, self.again = Tokenizer.from_file(path), cached, {}, set()
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.lean.normalizer, self.lean.pre_tokenizer = None, pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), byte_level])
+        self.ascii = Tokenizer.from_file(path)
+        self.ascii.normalizer, self.ascii.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        self.tokenizer, self.cached, self.cache = Tokenizer.from_file(path), cached, {}
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         (self.part,) = self.tokenizer.encode(self.PART, add_special_tokens=False).ids
         self.closes = np.zeros(self.size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.closes[i] = token.endswith("</w>")
-        self.marks = {m: np.array(self.tokenizer.encode(chr(m), add_special_tokens=False).ids, "<u4").tobytes() for m in b",."}
+        self.tails: dict[bytes, bytes] = {}
 
-    def _batch(self, tokenizer, chunks: list[bytes], part: bytes, group: int = 64) -> list[tuple[list[bytes], np.ndarray]]:
+    def _batch(self, tokenizer, chunks: list[bytes], part: bytes, group: int = 256) -> list[tuple[list[bytes], np.ndarray]]:
         groups = [chunks[k : k + group] for k in range(0, len(chunks), group)]
         encoded = tokenizer.encode_batch_fast([part.join(g).decode() for g in groups], add_special_tokens=False)
         return [(g, np.array(e.ids, "<u4")) for g, e in zip(groups, encoded, strict=True)]
@@ -67,22 +76,32 @@ class ChunkEncoder:
         for chunk, a, b in zip(chunks, starts, ends, strict=True):
             self.cache[chunk] = raw[4 * a : 4 * b]
 
-    def _encode(self, chunks: list[bytes]) -> None:
-        plain, letters, marked, odd, other = [], [], [], [], []
-        for c in chunks:
-            if c.isalpha() and c.islower():
-                plain.append(c)
-            elif c.decode().isalpha():
-                letters.append(c)
-            elif c[-1] in b",." and c[:-1].decode().isalpha():
-                marked.append(c)
-            elif b"\x02" in c or b"<|" in c:
+    def _tail(self, tail: bytes) -> bytes:
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[tail] = np.array(self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return self.tails[tail]
+
+    def _encode(self, chunks: set[bytes]) -> None:
+        plain = [c for c in chunks if c.isalpha()]
+        rest = [c for c in chunks if not c.isalpha()]
+        lean, marked, odd, other, bases = [], [], [], [], set()
+        for c, base in zip(rest, [c.rstrip(MARKS) for c in rest], strict=True):
+            if b"<|" in c or b"\x02" in c:
                 odd.append(c)
+            elif len(base) < len(c) and (base.isalpha() or base.decode().isalpha()):
+                marked.append((c, base))
+                bases.add(base)
             else:
-                other.append(c)
-        for c in {c[:-1] for c in marked}.difference(self.cache, plain, letters):
-            (plain if c.isalpha() and c.islower() else letters).append(c)
-        for own, ids in [*self._batch(self.lean, plain, b" "), *self._batch(self.tokenizer, letters, b" ")]:
+                lean.append(c)
+        missing = [c for c in bases if c not in self.cache and c not in chunks]
+        plain += [c for c in missing if c.isalpha()]
+        lean += [c for c in missing if not c.isalpha()]
+        simple = []
+        for c, t in zip(lean, [c.decode() for c in lean], strict=True):
+            (simple if t.isalpha() and t == t.lower() and is_normalized("NFC", t) else other).append(c)
+        for own, ids in [*self._batch(self.ascii, plain, b" "), *self._batch(self.lean, simple, b" ")]:
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(own):  # each chunk has one pre-token at least, so each has one
                 self._keep(own, ids, [0, *ends[:-1].tolist()], ends.tolist())
@@ -93,24 +112,28 @@ class ChunkEncoder:
             self._keep(own, ids, [0, *(k + 1 for k in at)], [*at, len(ids)])
         for chunk, e in zip(odd, self.tokenizer.encode_batch_fast([c.decode() for c in odd], add_special_tokens=False), strict=True):
             self.cache[chunk] = np.array(e.ids, "<u4").tobytes()
-        for c in marked:
-            self.cache[c] = self.cache[c[:-1]] + self.marks[c[-1]]
+        for c, base in marked:
+            self.cache[c] = self.cache[base] + self._tail(c[len(base) :])
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each UTF-8 text's ids as little-endian unsigned 32-bit integers."""
-        # ASCII case is lost to the normaliser anyway; special tokens keep theirs until they are told apart.
-        split = [t.split() if b"<|" in t else t.lower().split() for t in texts]
-        met = set().union(*split)
-        if new := list(met.difference(self.cache)):
-            self.again |= met.intersection(self.cache)
+        chunks: list[bytes] = []
+        ends = []
+        for t in texts:
+            # ASCII case is lost to the normaliser anyway; special tokens keep theirs until they are told apart.
+            chunks += [c if b"<|" in c else c.lower() for c in t.split()] if b"<|" in t else t.lower().split()
+            ends.append(len(chunks))
+        found = list(map(self.cache.get, chunks))
+        missing = list(compress(range(len(found)), map(is_, found, repeat(None))))
+        if missing:
+            new = set(map(chunks.__getitem__, missing))
             if len(self.cache) + len(new) > self.cached:
-                # Chunks that were met in several batches stay, unless they are most of the cache.
-                stay = self.again if len(self.again) < self.cached // 2 else met.intersection(self.cache)
-                self.cache, self.again = {c: self.cache[c] for c in stay}, set()
-                new = list(met.difference(self.cache))
+                self.cache = {c: ids for c, ids in zip(chunks, found, strict=True) if ids is not None}
             self._encode(new)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in split]
+            get = self.cache.__getitem__
+            for k in missing:
+                found[k] = get(chunks[k])
+        return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends)]  # noqa: B905
 
 
 _loaded: dict[str, ChunkEncoder] = {}
