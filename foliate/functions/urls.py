@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from foliate.functions import names
 
@@ -82,3 +84,25 @@ def signed(url: Column, hosts: list[str], keys: list[str]) -> Column:
     host = F.lower(F.regexp_extract(url, r"(?i)^https?://([^/?#:]+)", 1))
     query = F.replace(F.regexp_extract(url, r"\?([^#]*)", 1), F.lit("&amp;"), F.lit("&"))
     return host.isin(hosts) & F.exists(F.split(query, "&"), lambda p: F.lower(F.coalesce(decoded(F.split_part(p, F.lit("="), F.lit(1))), F.lit(""))).isin(keys))
+
+
+@F.pandas_udf(BooleanType())
+def blocked_address(ip: pd.Series) -> pd.Series:
+    """IPv6 and IPv4 literals that must not be fetched: what is no address, and what is not global unicast or is set aside in it."""
+    import ipaddress
+
+    allowed = [ipaddress.ip_network(n) for n in ("2001:1::1/128", "2001:1::2/128", "2001:1::3/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28")]
+    apart = [ipaddress.ip_network(n) for n in ("2001::/23", "2001:db8::/32", "2002::/16", "3fff::/20")]
+    v4 = [ipaddress.ip_network(n) for n in PRIVATE_V4]
+
+    def one(text: str | None) -> bool:
+        try:
+            a = ipaddress.ip_address((text or "").split("%")[0])
+        except ValueError:
+            return True
+        a = getattr(a, "ipv4_mapped", None) or a
+        if a.version == 4:
+            return any(a in n for n in v4)
+        return not any(a in n for n in allowed) and (a not in ipaddress.ip_network("2000::/3") or any(a in n for n in apart))
+
+    return ip.map(one)

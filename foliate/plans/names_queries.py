@@ -110,3 +110,5 @@ register("G19_flat_blocks", {"src": _BLOCKS}, lambda src: src.select("k", texts.
 _RICH = "SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS k, substr(text, 1, 20) AS t, turn % 2 = 0 AS b, turn % 3 = 0 AS i, conv_id % 2 = 0 AS cd, CASE WHEN conv_id % 3 = 0 THEN 'https://x.example' END AS href FROM {conversations}"
 register("G20_rich_text", {"src": _RICH}, lambda src: src.select("k", texts.rich_text(F.array(F.struct(c("t").alias("plain"), c("cd").alias("code"), c("b").alias("bold"), c("i").alias("italic"), F.lit(None).cast("boolean").alias("strike"), c("href")), F.struct(F.lit("!").alias("plain"), F.lit(False).alias("code"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), F.lit(True).alias("strike"), F.lit(None).cast("string").alias("href")))).alias("out")),
          "SELECT k, CASE WHEN href IS NULL THEN x ELSE '[' || x || '](' || href || ')' END || '~~!~~' AS out FROM (SELECT *, CASE WHEN i THEN '*' || y || '*' ELSE y END AS x FROM (SELECT *, CASE WHEN b THEN '**' || z || '**' ELSE z END AS y FROM (SELECT *, CASE WHEN cd THEN '`' || t || '`' ELSE t END AS z FROM src)))")
+_SIX = "SELECT event_id AS k, CASE event_id % 8 WHEN 0 THEN '::1' WHEN 1 THEN '2606:4700::1' WHEN 2 THEN '2001:db8::7' WHEN 3 THEN '2001:20::5' WHEN 4 THEN '::ffff:10.0.0.1' WHEN 5 THEN '::ffff:8.8.8.8' WHEN 6 THEN 'nothing' ELSE '2002::1' END AS ip FROM {events}"
+one("B10_blocked_v6", _SIX, lambda: urls.blocked_address(c("ip")), "k % 8 NOT IN (1, 3, 5)")

@@ -1,0 +1 @@
+"""Snapshots that arrive one after the other."""

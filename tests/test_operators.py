@@ -157,3 +157,36 @@ def test_empty_blocks():
     assert markdown.empty_blocks("<empty-block/>\na\n\n<empty-block/>\n\nb\n<empty-block/>") == "a\n\nb"
     assert markdown.empty_blocks("a\n\n\nb") == "a\n\n\nb"
     assert markdown.empty_blocks("a\r\n<empty-block/>\r\nb") == "a\r\n\r\nb"
+
+
+def test_streamed_runs(spark, tmp_path):
+    """Three census files, one batch each; the last is repeated and changes nothing."""
+    from foliate.streaming import runs
+
+    kind = "id string, root_id string, title string, expected_path string, in_trash boolean"
+    rows = [("1", "R", "a", "a.md", False), ("2", "R", "b", "b.md", False)]
+    for k, census in enumerate([rows, rows[:1], [("1", "R", "A", "A.md", False)]]):
+        spark.createDataFrame(census, kind).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    state = Snapshots(spark, f"{tmp_path}/state")
+    for k in range(3):
+        stream = spark.readStream.schema(kind).parquet(f"{tmp_path}/in/{k}")
+        runs.follow(stream, Snapshots(spark, f"{tmp_path}/one{k}"), f"{tmp_path}/cp{k}").awaitTermination()
+        assert runs.apply_run(state, spark.read.parquet(f"{tmp_path}/in/{k}"), k)
+    assert not runs.apply_run(state, spark.read.parquet(f"{tmp_path}/in/2"), 2)
+    assert {r.id: (r.title, r.local_path, r.status, r.missing_count) for r in state.read("resources").collect()} == {"1": ("A", "A.md", "active", 0), "2": ("b", "b.md", "tombstoned", 2)}
+    assert [tuple(r)[:5] for r in state.read("runs").orderBy("batch").select("n_create", "n_update", "n_move", "n_trash", "n_unchanged").collect()] == [(2, 0, 0, 0, 0), (0, 0, 0, 0, 1), (0, 0, 1, 0, 0)]
+    assert Snapshots(spark, f"{tmp_path}/one0").read("resources").count() == 2
+
+
+@pytest.mark.parametrize(("ip", "want"), [("2606:4700::1", False), ("::1", True), ("fe80::1%eth0", True), ("2001:db8::1", True), ("2001:1::1", False), ("2001:2::1", True), ("2002::1", True), ("::ffff:8.8.8.8", False), ("::ffff:10.0.0.1", True), ("8.8.4.4", False), ("x", True)])
+def test_addresses(spark, ip, want):
+    assert one(spark, ip, urls.blocked_address) is want
+
+
+def test_settings(spark, tmp_path):
+    from foliate.sources.config import Root, Settings, doctor
+
+    good = Settings("/v", "/v/m", (Root("1", "One"),))
+    assert good.problems() == [] and Settings("/v", "/v", (Root("1"), Root("1"))).problems() == ["duplicate root 1", "managed folder is unsafe"]
+    assert good.digest() == Settings("/v", "/v/m", (Root("1", "One"),), log_level="debug").digest() != Settings("/v", "/v/m").digest()
+    assert {r.name: r.ok for r in doctor(spark, good, str(tmp_path)).collect()} == {"python": True, "spark": True, "settings": True, "roots": True, "state": True}
