@@ -7,7 +7,10 @@ are JSON texts; an absent key is left out, a null is ``null``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _USER, _NAMED = "struct<id:string,name:string>", "struct<name:string>"
@@ -101,3 +104,61 @@ def convert(prop: Column) -> Column:
         .when(kind == "unique_id", F.when(unique.rlike(r"^-?\d"), quoted(F.concat(F.when(F.coalesce(prefix, F.lit("")) != "", F.concat(prefix, F.lit("-"))).otherwise(""), unique))))
     )
     return F.coalesce(out, back)
+
+
+def page_title(properties: Column) -> Column:
+    """The text of the first property, in the object's own order, that is a title."""
+    values = F.map_values(F.from_json(properties, "map<string,string>"))
+    titles = F.filter(values, lambda p: (_at(p, "type") == "title") & _at(p, "title").startswith("["))
+    return F.coalesce(F.array_join(F.transform(F.from_json(_at(F.get(titles, F.lit(0)), "title"), "array<struct<plain_text:string>>"), lambda t: F.coalesce(t["plain_text"], F.lit(""))), ""), F.lit(""))
+
+
+def stabilised(value: object) -> tuple[object, int, int]:
+    """A JSON value with the signed URLs of its strings cut, at any depth; how many were, and how many couldn't be.
+
+    The URL of a hosted file loses its query whatever it is; that of an external one stays.
+    """
+    from foliate.functions import markdown
+
+    if isinstance(value, str):
+        text, done, unsafe = markdown.signed_urls(value)
+        return text, done, len(unsafe)
+    done = unsafe = 0
+    if isinstance(value, list):
+        out = []
+        for x in value:
+            y, a, b = stabilised(x)
+            out.append(y)
+            done, unsafe = done + a, unsafe + b
+        return out, done, unsafe
+    if isinstance(value, dict):
+        made = {}
+        for k, x in value.items():
+            if k == "external" and isinstance(x, dict) and isinstance(x.get("url"), str):
+                y, a, b = stabilised({i: j for i, j in x.items() if i != "url"})
+                y = {i: x["url"] if i == "url" else y[i] for i in x}
+            elif k == "file" and isinstance(x, dict) and isinstance(x.get("url"), str):
+                bare = x["url"].split("?")[0].split("#")[0] if x["url"].startswith(("http://", "https://")) else x["url"]
+                y, a, b = stabilised({i: j for i, j in x.items() if i != "url"})
+                y, a = {i: bare if i == "url" else y[i] for i in x}, a + (bare != x["url"])
+            else:
+                y, a, b = stabilised(x)
+            made[k], done, unsafe = y, done + a, unsafe + b
+        return made, done, unsafe
+    return value, 0, 0
+
+
+def stabilise(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``column`` (JSON) stabilised, and the counts ``replaced`` and ``unsafe``."""
+    import json
+
+    names, at = rows.columns, rows.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(None, 0, 0) if t is None else stabilised(json.loads(t)) for t in batch.column(at).to_pylist()]
+            columns = list(batch.columns)
+            columns[at] = pa.array([None if t is None else json.dumps(m[0], ensure_ascii=False, separators=(",", ":")) for t, m in zip(batch.column(at).to_pylist(), made, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array([m[k] for m in made], pa.int64()) for k in (1, 2))], names=[*names, "replaced", "unsafe"])
+
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", replaced long, unsafe long")

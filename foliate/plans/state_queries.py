@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliate.functions import urls
 from foliate.operators import audit, diff, match, tree
 from foliate.plans.registry import ORACLES, QUERIES, register
 from foliate.plans.tree_queries import TREE
@@ -85,6 +86,9 @@ register("H12_violations", {"p": _PLAN}, lambda p: diff.violations(p, False, 100
     UNION ALL SELECT 'too_much_trash' WHERE (SELECT count(*) FROM p WHERE kind = 'TRASH') > 50) SELECT rule, count(*) AS n FROM v GROUP BY rule""")
 _OUT = "SELECT event_id AS k, event_id % 2 = 0 AS present, CASE event_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS now, CASE event_id % 5 WHEN 0 THEN 'a' ELSE 'b' END AS new, CASE event_id % 7 WHEN 0 THEN NULL ELSE 'c' END AS old, event_id % 11 > 5 AS managed FROM {events}"
 register("H15_commit_decision", {"o": _OUT}, lambda o: o.select("k", match.commit_decision(c("present"), c("now"), c("new"), c("old")).alias("out")), "SELECT k, CASE WHEN NOT present THEN 'claim' WHEN now = new THEN 'adopt' WHEN coalesce(now = old, false) THEN 'replace' ELSE 'conflict' END AS out FROM o")
+register("A13_write_decision", {"o": _OUT}, lambda o: o.select("k", F.when(c("present") & (c("now") == c("new")), "unchanged").when(c("present"), "replace").otherwise("claim").alias("out")), "SELECT k, CASE WHEN present AND now = new THEN 'unchanged' WHEN present THEN 'replace' ELSE 'claim' END AS out FROM o")
+_FETCHED = "SELECT p_partkey AS k, concat(p_name, CASE p_size % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.PDF' ELSE '.exe' END) AS name, CASE p_size % 4 WHEN 0 THEN 'image/png; q=1' WHEN 1 THEN 'APPLICATION/pdf' ELSE '' END AS mime, CAST(p_partkey * 100000 AS BIGINT) AS size, p_size % 5 > 0 AS hosted FROM {part}"
+register("A15_download_policy", {"o": _FETCHED}, lambda o: o.select("k", F.when(~urls.may_download(F.when(c("hosted"), "notion").otherwise("external"), F.lit(False)), "not_eligible").when(~urls.allowed_type(c("name"), c("mime"), [".png", ".pdf"], ["image/png", "application/pdf"]), "type").when(c("size") > 100 << 20, "size").otherwise("ok").alias("out")), "SELECT k, CASE WHEN NOT hosted THEN 'not_eligible' WHEN NOT (regexp_matches(name, '[.](png|pdf)$', 'i') AND lower(trim(split_part(mime, ';', 1))) IN ('image/png', 'application/pdf')) THEN 'type' WHEN size > 104857600 THEN 'size' ELSE 'ok' END AS out FROM o")
 register("H16_target_state", {"o": _OUT}, lambda o: o.select("k", match.target_state(c("present"), c("managed")).alias("out")), "SELECT k, CASE WHEN NOT present THEN 'ready' WHEN managed THEN 'deferred' ELSE 'conflict' END AS out FROM o")
 register("H14_apply_outcome", {"o": _OUT}, lambda o: o.select("k", F.when(c("present") & (c("now") == c("new")), "verified").when(c("managed"), "downloaded").otherwise("remote").alias("outcome"), F.when(~c("managed") & ~(c("present") & (c("now") == c("new"))), "unverified").otherwise("usable").alias("cache_status")), "SELECT k, CASE WHEN present AND now = new THEN 'verified' WHEN managed THEN 'downloaded' ELSE 'remote' END AS outcome, CASE WHEN NOT managed AND NOT (present AND now = new) THEN 'unverified' ELSE 'usable' END AS cache_status FROM o")
 _VF = "SELECT concat(p_brand, '/', CAST(p_partkey AS STRING), '.md') AS path, p_size % 25 = 0 AS symlink, CASE p_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN concat('x', CAST(p_partkey AS STRING)) ELSE CAST(p_partkey AS STRING) END AS marker_id, CASE WHEN p_partkey % 7 = 0 THEN 'edited' ELSE p_type END AS body_hash FROM {part} WHERE p_partkey % 8 > 0"

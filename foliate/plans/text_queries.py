@@ -40,6 +40,10 @@ prop("P12_created_by", "supplier", "s_suppkey", "created_by", f"CASE WHEN s_supp
 prop("P13_unique_id", "nation", "n_nationkey", "unique_id", f"CASE WHEN n_nationkey % 2 = 0 THEN {_OBJ(('prefix', _S('n_name')), ('number', 'CAST(n_nationkey AS STRING)'))} ELSE {_OBJ(('prefix', "'null'"), ('number', 'CAST(n_nationkey AS STRING)'))} END", "'\"' || CASE WHEN k % 2 = 0 THEN n_name || '-' ELSE '' END || k || '\"'")
 prop("P14_unknown", "events", "event_id", "future_type", "props", _RAW("future_type"))
 register("P16_row_titles", {"src": "SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_name END AS t FROM {supplier}"}, lambda src: src.select("k", F.coalesce(F.nullif("t", F.lit("")), c("k").cast("string")).alias("title")), "SELECT k, coalesce(nullif(t, ''), k::VARCHAR) AS title FROM src")
+_TITLED = f"SELECT c_custkey AS k, concat({O}, '\"a\":', {O}, '\"type\":\"number\",\"number\":1', {E}, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE concat(',\"z\":', {_prop('title', f"concat('[', {_OBJ(('plain_text', _S('c_name')))}, ',', {_OBJ(('plain_text', _S(chr(39) + '!' + chr(39))))}, ']')")}) END, {E}) AS j, c_name FROM {{customer}}"
+register("B4_page_title", {"src": _TITLED}, lambda src: src.select("k", props.page_title(c("j")).alias("title")), "SELECT k, CASE WHEN k % 4 = 0 THEN '' ELSE c_name || '!' END AS title FROM src")
+_RAWS = f"SELECT doc_id AS k, source, concat({O}, '\"file\":', {_OBJ(('url', _S("concat('https://h/', source, '?s=1')")))}, ',\"external\":', {_OBJ(('url', _S("'https://h/x?s=1'")))}, ',\"l\":[\"', CASE WHEN doc_id % 2 = 0 THEN '<https://prod-files-secure.s3.amazonaws.com/a?Signature=1>' ELSE 'plain' END, '\"]', {E}) AS j FROM {{documents}}"
+register("P15_stabilised_json", {"src": _RAWS}, lambda src: props.stabilise(src.select("k", "j"), "j"), f"SELECT k, {O} || '\"file\":' || {O} || '\"url\":\"https://h/' || source || '\"' || {E} || ',\"external\":' || {O} || '\"url\":\"https://h/x?s=1\"' || {E} || ',\"l\":[\"' || CASE WHEN k % 2 = 0 THEN '<https://prod-files-secure.s3.amazonaws.com/a>' ELSE 'plain' END || '\"]' || {E} AS j, CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS replaced, 0::BIGINT AS unsafe FROM src")
 #: Documents with markup around their first line.
 _N = "chr(10)"
 PAGES = f"""SELECT doc_id AS id, CASE doc_id % 8
