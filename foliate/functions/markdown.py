@@ -202,15 +202,36 @@ def tables(text: str) -> str:
     return elements(text, "table", one)
 
 
+_KNOWN = re.compile(r"<(/?)(span|u|mention-[a-z-]+|page|database|user|callout|columns?|synced_block(?:_reference)?)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
+
+
+def crossed(paragraph: str) -> bool:
+    """Whether known tags of a paragraph close in another order than they open, or not at all."""
+    stack: list[str] = []
+    for m in _KNOWN.finditer(paragraph):
+        name = m[2].lower()
+        if m[1]:
+            if not stack or stack.pop() != name:
+                return True
+        elif not m[3].rstrip().endswith("/"):
+            stack.append(name)
+    return bool(stack)
+
+
+def inline_tags(text: str) -> str:
+    """``small_tags`` paragraph by paragraph; one whose tags cross stays as it is."""
+    return re.sub(r"(?:[^\n]+\n?)+", lambda m: m[0] if "<" in m[0] and crossed(m[0]) and re.search(r"<span\b", m[0], re.I) else small_tags(m[0]), text)
+
+
 def enhanced(text: str) -> str:
     """All rewriting of a page's own markup."""
     def use(rest: str) -> str:
-        rest = synced(rest)
-        for step in (small_tags, tables, columns, callouts):
+        rest = split_callouts(synced(rest))
+        for step in (inline_tags, tables, columns, callouts):
             rest = step(rest)
         return rest
 
-    return outside_code(text, use)
+    return bold(outside_code(fences(text), use))
 
 
 _LINK = re.compile(r"(!?)\[((?:[^\[\]\\]|\\.|\[[^\[\]]*\])*)\]\(\s*<?([^\s()<>]+(?:\([^\s()]*\)[^\s()<>]*)*)>?(\s+(?:\"[^\"]*\"|'[^']*'))?\s*\)")

@@ -190,3 +190,35 @@ def test_settings(spark, tmp_path):
     assert good.problems() == [] and Settings("/v", "/v", (Root("1"), Root("1"))).problems() == ["duplicate root 1", "managed folder is unsafe"]
     assert good.digest() == Settings("/v", "/v/m", (Root("1", "One"),), log_level="debug").digest() != Settings("/v", "/v/m").digest()
     assert {r.name: r.ok for r in doctor(spark, good, str(tmp_path)).collect()} == {"python": True, "spark": True, "settings": True, "roots": True, "state": True}
+
+
+def test_crawl_entities(spark, tmp_path):
+    from foliate.sources import crawl
+
+    (tmp_path / "markdown").mkdir()
+    (tmp_path / "markdown/a.json").write_text('{"page_id":"1","markdown":"x","truncated":false,"unknown_block_ids":[]}\nnot json\n{"page_id":"2"}\n')
+    rows = crawl.entity(spark, str(tmp_path), "markdown").cache()
+    assert [r.page_id for r in rows.filter("_broken is null").orderBy("page_id").collect()] == ["1", "2"]
+    assert [r._broken for r in crawl.broken(rows).collect()] == ["not json"]
+
+
+def test_log_redaction(caplog):
+    from foliate.sources import crawl
+
+    logger = crawl.log("info", ["s3cret"])
+    with caplog.at_level("INFO", logger="foliate"):
+        logger.info("got %s from https://h/x?sig=1 now", "s3cret")
+        logger.debug("hidden")
+    assert [r.getMessage() for r in caplog.records] == ["got [REDACTED] from https://h/x?[REDACTED] now"]
+
+
+def test_crossed_tags_stay():
+    crossed = '<span color="red">a<u>b</span></u>\n\n<span color="red">c</span>'
+    assert markdown.enhanced(crossed) == '<span color="red">a<u>b</span></u>\n\n==c=='
+
+
+def test_stabilised_json():
+    url = "https://prod-files-secure.s3.amazonaws.com/a?Signature=1"
+    value = {"a": [f"<{url}>", f"bare {url}"], "external": {"url": url, "n": 1}, "file": {"url": "https://h/x?y"}, "n": None}
+    made, done, unsafe = props.stabilised(value)
+    assert made == {"a": [f"<{url.split('?')[0]}>", f"bare {url}"], "external": {"url": url, "n": 1}, "file": {"url": "https://h/x"}, "n": None} and (done, unsafe) == (2, 1)
