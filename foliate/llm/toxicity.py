@@ -44,11 +44,12 @@ def words(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
-def segments(own: list[str], other: list[str], least_z: float = 6.0, odds: float = 12.0, least_share: float = 0.01, most: int = 400) -> list[str]:
+def segments(own: list[str], other: list[str], least_z: float = 6.0, odds: float = 4.0, least_share: float = 0.01, most: int = 400) -> list[str]:
     """Word beginnings of 4 to 12 letters whose document frequency sets the classes apart, strongest first.
 
     ``least_share`` of the own documents hold them, a share ``odds`` times that of the
     others and ``least_z`` standard deviations above it; no shorter beginning is as good.
+    Its first four letters alone must be twice as frequent, as they match alone too.
     """
     counts = []
     for texts in (own, other):
@@ -62,7 +63,8 @@ def segments(own: list[str], other: list[str], least_z: float = 6.0, odds: float
         p = (a[s] + b[s]) / (n_a + n_b)
         return (a[s] / n_a - b[s] / n_b) / math.sqrt(p * (1 - p) * (1 / n_a + 1 / n_b) + 1e-12)
 
-    pure = {s: v for s in a if a[s] >= max(4, least_share * n_a) and a[s] / n_a >= odds * (b[s] + 0.5) / n_b and (v := z(s)) >= least_z}
+    share = lambda s, times: a[s] / n_a >= times * (b[s] + 0.5) / n_b
+    pure = {s: v for s in a if a[s] >= max(4, least_share * n_a) and share(s, odds) and share(s[:4], 2) and (v := z(s)) >= least_z}
     kept: dict[str, float] = {}
     for s in sorted(pure, key=lambda s: (len(s), s)):
         if not any(s[:n] in kept for n in range(4, len(s))):
@@ -95,7 +97,7 @@ class Distance:
             d.precompute_compress(compression_params=how)
             return zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress
 
-        self.ordinary, self.toxic = compressor(ordinary), compressor([*ordinary, *toxic])
+        self.ordinary, self.toxic = compressor(ordinary), compressor([*ordinary, *reversed(toxic)])
         self.cached, self.known = cached, {}
 
     def __call__(self, word: str) -> int:
