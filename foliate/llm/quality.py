@@ -8,7 +8,7 @@ however many words the corpus holds, so it is broadcast.  Each task sums its own
 and sends only the rows it touched; those are added up in two levels.
 
 A document is the mean and the spread of its tokens' vectors, rarer ones weighing more,
-with its length.  A two-layer network in numpy is fit on ``most_docs`` labelled
+with its length and how alike neighbouring vectors are.  A two-layer network in numpy is fit on ``most_docs`` labelled
 documents at most (those with the smallest hashes, which bounds what the driver holds),
 a quarter of which only calibrates the temperature of its probabilities.
 
@@ -136,19 +136,21 @@ def word_vectors(table: np.ndarray) -> np.ndarray:
 
 
 def pooled(ids: list[np.ndarray], vectors: np.ndarray) -> np.ndarray:
-    """A row of features for each document."""
-    out = np.zeros((len(ids), 2 * WIDTH + 2))
+    """A row of features for each document: mean and spread of its vectors, its length, its mean weight, and how alike neighbours are."""
+    out = np.zeros((len(ids), 2 * WIDTH + 3))
     for k, own in enumerate(ids):
         if not len(own):
             continue
-        total, squares, n = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1), len(own)
+        total, squares, alike, n = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1), 0.0, len(own)
         for at in range(0, n, 4096):
-            x = vectors[own[at : at + 4096]]
+            x = vectors[own[at : at + 4097]]  # one more, for the pair across the seam
+            alike += float((np.einsum("ij,ij->i", x[:-1, :-1], x[1:, :-1]) / np.maximum(x[:-1, -1] * x[1:, -1], 1e-12)).sum())
+            x = x[:4096]
             total += x.sum(0)
             squares += np.einsum("ij,ij->j", x, x)
         mean = total[:-1] / max(total[-1], 1e-9)
         spread = np.sqrt(np.maximum(squares[:-1] / n - (total[:-1] / n) ** 2, 0))
-        out[k] = [*mean, *spread, math.log1p(n), total[-1] / n]
+        out[k] = [*mean, *spread, math.log1p(n), total[-1] / n, alike / max(n - 1, 1)]
     return out
 
 
@@ -169,7 +171,7 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logit(x) / self.temperature, -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray, hidden: int = 32, epochs: int = 60, rate: float = 3e-3, decay: float = 1e-4, seed: int = 7) -> Network | float:
+def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray, hidden: int = 64, epochs: int = 60, rate: float = 3e-3, decay: float = 1e-3, seed: int = 7) -> Network | float:
     """Adam on the cross entropy of rows that aren't ``held``; those calibrate the temperature."""
     train = ~held
     if len(set(y[train].tolist())) < 2:
