@@ -13,8 +13,12 @@ give repeated results; columns other than ``doc_id`` and ``text`` are ignored.
 
 from __future__ import annotations
 
+import gc
 import json
+from array import array
 from collections.abc import Callable
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +38,11 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b if b in shown else next(spare)) for b in range(256)}
 
 
+_NONE = 1 << 60
+
+
 class SpeculativeBpe:
-    def __init__(self, path: str, cached: int = 300_000):
+    def __init__(self, path: str, cached: int = 350_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -57,7 +64,9 @@ class SpeculativeBpe:
         key = left * self.n + right
         order = np.argsort(key)
         self.keys, self.key_rank = key[order], order + 1  # ranks from 1 on; 0: a single byte
-        self.merges = dict(zip(key.tolist(), zip(range(1, len(key) + 1), made.tolist(), strict=True), strict=True))
+        # A pair's rank and token in one number, so that the least number is the first merge.
+        self.merges = dict(zip(key.tolist(), ((np.arange(1, len(key) + 1) << 20) | made).tolist(), strict=True))
+        self.byte_ids = [self.vocab[bytes([b])] for b in range(256)]
         self.rank, self.left, self.right = np.zeros(self.n, np.int64), np.full(self.n, -1, np.int64), np.full(self.n, -1, np.int64)
         first = np.unique(made, return_index=True)[1]
         self.rank[made[first]], self.left[made[first]], self.right[made[first]] = first + 1, left[first], right[first]
@@ -89,24 +98,19 @@ class SpeculativeBpe:
 
     def merge(self, word: bytes) -> list[int]:
         """Exact BPE of one pre-token: the lowest-ranked pair first, the leftmost of equal ones."""
-        ids = [self.vocab[word[k : k + 1]] for k in range(len(word))]
+        ids = list(map(self.byte_ids.__getitem__, word))
         if len(ids) > 256:
             return self._merge_long(ids)
         get, n = self.merges.get, self.n
-        while len(ids) > 1:
-            best = min((m for k in range(len(ids) - 1) if (m := get(ids[k] * n + ids[k + 1]))), default=None)
-            if best is None:
-                break
-            rank, token = best
-            out, k = [], 0
-            while k < len(ids):
-                if k + 1 < len(ids) and (m := get(ids[k] * n + ids[k + 1])) and m[0] == rank:
-                    out.append(token)
-                    k += 2
-                else:
-                    out.append(ids[k])
-                    k += 1
-            ids = out
+        ranks = [get(a * n + b, _NONE) for a, b in zip(ids, ids[1:])]  # noqa: B905
+        while ranks and (best := min(ranks)) != _NONE:
+            k = ranks.index(best)
+            token = ids[k] = best & 0xFFFFF
+            del ids[k + 1], ranks[k]
+            if k:
+                ranks[k - 1] = get(ids[k - 1] * n + token, _NONE)
+            if k < len(ranks):
+                ranks[k] = get(token * n + ids[k + 1], _NONE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -118,7 +122,7 @@ class SpeculativeBpe:
 
         def offer(k: int) -> None:
             if k >= 0 and after[k] >= 0 and (m := get(ids[k] * n + ids[after[k]])):
-                heapq.heappush(heap, (m[0], k, m[1], ids[k], ids[after[k]]))
+                heapq.heappush(heap, (m >> 20, k, m & 0xFFFFF, ids[k], ids[after[k]]))
 
         for k in range(len(ids)):
             offer(k)
@@ -164,25 +168,31 @@ class SpeculativeBpe:
         self.proposed += len(words)
         self.failed += int(bad.sum())
         for w, b, g, wrong in zip(words, raw, guesses, bad.tolist(), strict=True):
-            self.cache[w] = np.array(self.merge(b) if wrong else g, "<u4").tobytes()
+            self.cache[w] = array("I", self.merge(b) if wrong else g).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Each text's ids."""
-        split: list[list[str]] = []
+        words: list[str] = []
+        ends = []
         for t in texts:
             if self.splitter and "<|" in t:
-                split.append([w for k, s in enumerate(self.splitter.split(t)) for w in ([s] if k % 2 else self.words(s))])
+                words += [w for k, s in enumerate(self.splitter.split(t)) for w in ([s] if k % 2 else self.words(s))]
             else:
-                split.append(self.words(t))
-        met = set().union(*split)
-        if new := list(met.difference(self.cache)):
+                words += self.words(t)
+            ends.append(len(words))
+        found = list(map(self.cache.get, words))
+        missing = list(compress(range(len(found)), map(is_, found, repeat(None))))
+        if missing:
+            new = set(map(words.__getitem__, missing))
             if len(self.cache) + len(new) > self.cached:
-                self.cache = {w: self.cache[w] for w in met if w in self.cache}
+                self.cache = {w: ids for w, ids in zip(words, found, strict=True) if ids is not None}
             for s in self.special.keys() & new:
-                self.cache[s] = np.array([self.special[s]], "<u4").tobytes()
+                self.cache[s] = array("I", [self.special[s]]).tobytes()
             self.learn([w for w in new if w not in self.special])
-        get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), "<u4") for words in split]
+            get = self.cache.__getitem__
+            for k in missing:
+                found[k] = get(words[k])
+        return [np.frombuffer(b"".join(found[a:b]), "<u4") for a, b in zip([0, *ends], ends)]  # noqa: B905
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -195,6 +205,7 @@ def loaded(path: str) -> SpeculativeBpe:
     """One for each worker process: later tasks find its cache filled."""
     if path not in _loaded:
         _loaded[path] = SpeculativeBpe(path)
+        gc.freeze()  # the vocabulary stays; collections needn't trace it
     return _loaded[path]
 
 

@@ -27,8 +27,11 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_shards(spark, path, lambda ids: (zlib.crc32(ids.astype("<u4").tobytes()),), "ids_crc32 long")
 
 
+_DECIMAL = [str(k) for k in range(1 << 16)]
+
+
 def _bpe_digests(ids: np.ndarray, decoded: str) -> tuple:
-    return len(ids), hashlib.sha256(",".join(map(str, ids.tolist())).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+    return len(ids), hashlib.sha256(",".join(map(_DECIMAL.__getitem__, ids.tolist())).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
