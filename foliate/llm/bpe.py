@@ -198,23 +198,26 @@ class SpeculativeBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
+#: Words that a worker remembers, some 250 bytes each.
+CACHED = 350_000
 _loaded: dict[str, SpeculativeBpe] = {}
 
 
-def loaded(path: str) -> SpeculativeBpe:
+def loaded(path: str, cached: int = CACHED) -> SpeculativeBpe:
     """One for each worker process: later tasks find its cache filled."""
     if path not in _loaded:
         _loaded[path] = SpeculativeBpe(path)
         gc.freeze()  # the vocabulary stays; collections needn't trace it
+    _loaded[path].cached = cached
     return _loaded[path]
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, derive: Callable[[np.ndarray, str], tuple] | None = None, columns: str = "ids array<long>, decoded string") -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: str, derive: Callable[[np.ndarray, str], tuple] | None = None, columns: str = "ids array<long>, decoded string", cached: int = CACHED) -> DataFrame:
     """``doc_id`` and, of each whole text, the ids and the text decoded from them, or what ``derive(ids, decoded)`` makes of the two."""
     names = [c.strip().split(" ")[0] for c in columns.split(", ")]
 
     def make():
-        bpe = loaded(vocabulary)
+        bpe = loaded(vocabulary, cached)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = [(ids, bpe.decode(ids)) for ids in bpe.encode(common.texts(batch.column(1)))]
