@@ -271,6 +271,16 @@ def test_line_rules_against_brute_force(spark, docs, empty, broadcast_rows):
     assert line_rules.judge(docs).count() == docs.count() and line_rules.judge(empty).count() == 0
 
 
+def test_op6_limit_acts(spark):
+    """The registered limit finds the repeated lines and passages of sf0.1, and rejects what they deplete."""
+    got = queries.op6_line_rules(spark, "/root/testdata/sf0.1")
+    hit, depleted, lost = got.selectExpr("count_if(n_removed > 0)", "count_if(n_removed > 0.5 * n_words)", "count_if(not base_failed and not kept)").first()
+    assert hit > 1000 and depleted > 50 and lost > 0
+    passages = line_rules.frequent_lines(common.table(spark, "/root/testdata/sf0.1", "documents"), queries.LINE_LIMIT)
+    long = line_rules._lines(common.table(spark, "/root/testdata/sf0.1", "documents"), []).selectExpr("inline(_lines)").filter("n > 50").select("line").distinct()
+    assert passages.join(long, "line", "left_semi").count() > 0
+
+
 # 7. HTML -----------------------------------------------------------------------------------------
 
 
