@@ -16,7 +16,8 @@ longs are sorted, and neighbours with equal hashes and equal words are repeats.
 
 Defined results: a null text has no words; a null host is one host; every row is a
 document of its own, also among repeated rows; an empty table gives no rows; further
-columns are ignored, or kept by ``rejoin``.
+columns are ignored by ``judge`` and kept by ``cut``, which returns the texts without their
+boilerplate lines and judges what is left of them.
 """
 
 from __future__ import annotations
@@ -117,3 +118,29 @@ def judge(docs: DataFrame, limit: int = 100, most_removed: float = 0.5, broadcas
     n_removed = F.coalesce("n_removed", F.lit(0).cast("long"))
     kept = ~F.col("base_failed") & (n_removed <= F.lit(most_removed) * F.col("n_words"))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", n_removed.alias("n_removed"), kept.alias("kept"))
+
+
+def cut(docs: DataFrame, limit: int, most_removed: float = 0.5, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` without boilerplate lines in ``text``, ``n_removed`` (words cut) and ``kept``.
+
+    All rows and columns stay, but for columns of the two names, which are replaced.
+    ``kept``: what is left passes the base rules, and no more than ``most_removed`` of the words went.
+    """
+    columns = [c for c in docs.columns if c not in ("n_removed", "kept")]
+    frequent = common.store(frequent_lines(docs, limit), "frequent_lines").drop("docs")
+    few = frequent.limit(broadcast_rows + 1).count() <= broadcast_rows
+    # Equal ids, texts and hosts have equal lines, so one row's places stand for all.
+    key = {"_of": F.col("doc_id").cast("string"), "_of_text": F.sha1(F.col("text").cast("string")), "_of_host": F.sha1(F.col("source").cast("string"))}
+    lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
+    hashed = F.transform(lines, lambda x: _let(normal(x), lambda y: F.when(y != "", F.struct(F.xxhash64(y).alias("line"), F.size(F.split(y, " ")).cast("long").alias("n")))))
+    keyed = docs.select(*[k.alias(name) for name, k in key.items()], F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.col("source").isNull().alias("no_host"), hashed.alias("_lines"))
+    each = keyed.select(*key, "host", "no_host", F.posexplode("_lines").alias("place", "_line")).filter("_line is not null").select(*key, "host", "no_host", "place", "_line.*")
+    held = each.join(F.broadcast(frequent), ["host", "no_host", "line"]) if few else common.store(each, "document_lines").join(frequent, ["host", "no_host", "line"])
+    gone = held.groupBy(*key, "place").agg(F.first("n").alias("n")).groupBy(*key).agg(F.collect_list("place").alias("_gone"), F.sum("n").alias("_removed"))
+    gone = common.store(gone, "cut_lines").select(*[F.col(name).alias(f"_at{name}") for name in key], "_gone", "_removed")
+    packed = docs.select(F.struct(*columns).alias("_row"), F.col("text").cast("string").alias("text"), *[k.alias(name) for name, k in key.items()])
+    joined = packed.join(gone, [packed[name].eqNullSafe(gone[f"_at{name}"]) for name in key], "left")
+    left = _let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "_gone"), lambda i: F.get(x, i)), "\n"))
+    texts = joined.select("_row", F.when(F.col("_gone").isNotNull(), left).otherwise(F.col("text")).alias("text"), F.coalesce("_removed", F.lit(0).cast("long")).alias("_removed"))
+    kept = ~F.col("base_failed") & (F.col("_removed") <= F.lit(most_removed) * (F.col("n_words") + F.col("_removed")))
+    return measured(texts).select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in columns], F.col("_removed").alias("n_removed"), kept.alias("kept"))

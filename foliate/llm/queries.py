@@ -65,6 +65,11 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents"), LINE_LIMIT, MOST_REMOVED)
 
 
+def op6_lines_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines above the limit, and the verdict on what is left."""
+    return line_rules.cut(table(spark, sf_dir, "documents"), LINE_LIMIT, MOST_REMOVED)
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of pages."""
     return html_diff.extract(table(spark, sf_dir, "pages"))
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_surrogates": op4_surrogates,
     "op5_quality": op5_quality,
     "op6_line_rules": op6_line_rules,
+    "op6_lines_cut": op6_lines_cut,
     "op7_html_extraction": op7_html_extraction,
     "op8_decontamination": op8_decontamination,
     "op9_near_duplicates": op9_near_duplicates,

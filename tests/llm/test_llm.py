@@ -281,6 +281,35 @@ def test_op6_limit_acts(spark):
     assert passages.join(long, "line", "left_semi").count() > 0
 
 
+@pytest.mark.parametrize("broadcast_rows", [100, 0])
+def test_cut_lines_against_brute_force(spark, docs, empty, broadcast_rows):
+    """Frequent lines go, columns stay, and what is left is judged: 42 of 80 words are too few."""
+    boiler = " ".join(f"b{j}x" for j in range(38))
+    body = lambda k, n: " ".join(f"w{chr(97 + k)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(n))
+    extra = [(100 + k, f"{boiler.upper()}\n\n{body(k, 42 if k % 2 else 90)}\n{boiler} ", "h" if k % 3 else None, k, k) for k in range(12)]
+    extra += [extra[1], (200, f"{boiler}\n{body(25, 42)}", "h", 0, 0)]
+    kind = "doc_id long, text string, source string, n_removed long, n_words int"
+    df = spark.createDataFrame([(r.doc_id, r.text, r.source, 0, 7) for r in docs.collect()] + extra, kind)
+    normal = lambda x: re.sub(r"[ \t-\r]+", " ", re.sub("[1-9]", "0", x.lower())).strip()
+    often = Counter((r.source, x) for r in df.collect() for x in {normal(x) for x in (r.text or "").split("\n")} - {""})
+    want = []
+    for r in df.collect():
+        own = (r.text or "").split("\n")
+        out = [x for x in own if often[r.source, normal(x)] > 2]
+        left = "\n".join(x for x in own if often[r.source, normal(x)] <= 2)
+        gone = sum(len(x.split()) for x in out)
+        words = left.split()
+        again = Counter(zip(words, words[1:], words[2:]))
+        repeated = {k + d for k in range(len(words) - 2) if again[tuple(words[k : k + 3])] > 1 for d in range(3)}
+        kept = len(words) >= 50 and 2 * len(repeated) <= len(words) and 2 * gone <= len(words) + gone
+        want.append((r.doc_id, left if out else r.text, r.source, gone, r.n_words, kept))
+    got = line_rules.cut(df, 2, broadcast_rows=broadcast_rows)
+    assert rows(got, "doc_id", "text", "source", "n_removed", "n_words", "kept") == sorted(want, key=repr)
+    last = {r.doc_id: r for r in got.collect()}[200]
+    assert last.n_removed == 38 and not last.kept and {x.doc_id: x.kept for x in line_rules.judge(df, 2).collect()}[200]
+    assert set(line_rules.cut(docs, 2).columns) == {*docs.columns, "n_removed", "kept"} and line_rules.cut(empty, 2).count() == 0
+
+
 # 7. HTML -----------------------------------------------------------------------------------------
 
 
