@@ -2,7 +2,7 @@
 
 One pattern finds e-mail addresses, telephone, card, social security and account
 numbers, IP addresses, keys, secrets, and names after a form of address.  An entity's
-canonical form (digits of a number, lower case of an address or a name) is keyed with
+canonical form (digits of a number, lower case of an address, a name or hexadecimal digits) is keyed with
 SHA-256; what the digest yields keeps the entity's type, length, punctuation, case,
 script, country code and check digits, and a name's gender.  So one entity gets one
 surrogate everywhere, in whatever format it stands, without any table.
@@ -43,13 +43,15 @@ LATIN_ENDINGS, CYRILLIC_ENDINGS = ["n", "r", "s", "l", "ck", "nd", "rt", "m"], [
 
 _FORMS = "|".join(sorted([*MALE_FORMS, *FEMALE_FORMS, *OTHER_FORMS], key=lambda x: (-len(x), x)))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: In either case. A token that is one is found as such, so it has one surrogate wherever it stands; no account number is one.
+_HEX = r"(?=[0-9A-Fa-f]*\d)(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{32,64}(?![A-Za-z0-9])"
 #: In the order in which they are tried at one place.
 PATTERNS = {
     "EMAIL": r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])",
     "KEY": r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "SECRET": r"(?i:password|passwd|pwd|secret|api_?key|access_?token)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"',;<>]{4,}",
+    "SECRET": rf"(?i:password|passwd|pwd|secret|api_?key|access_?token|(?:auth_?)?token(?!\s{{0,3}}[=:]\s{{0,3}}[\"']?{_HEX}))\s{{0,3}}[=:]\s{{0,3}}[\"']?[^\s\"',;<>]{{4,}}",
+    "HEX": _HEX,
     "IBAN": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "HEX": r"(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{32,64}(?![A-Za-z0-9])",
     "IPV4": rf"(?<!\d\.){_OCTET}(?:\.{_OCTET}){{3}}(?![A-Za-z0-9]|\.\d)",
     "SSN": r"\d{3}-\d{2}-\d{4}(?![A-Za-z0-9]|-\d)",
     "CARD": r"\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![A-Za-z0-9]|-\d)",
@@ -158,7 +160,7 @@ def canonical(kind: Column, match: Column) -> Column:
     return (
         F.when(kind.isin("CARD", "SSN"), F.regexp_replace(match, "[^0-9]", ""))
         .when(kind == "PHONE", F.concat(F.when(match.startswith("+"), F.concat(F.length(F.regexp_extract(match, r"^\+(\d+?)(?:[ .(-]|\d{9,}$)", 1)).cast("string"), F.lit("+"))).otherwise("0+"), F.regexp_replace(match, "[^0-9]", "")))
-        .when(kind == "EMAIL", F.lower(match))
+        .when(kind.isin("EMAIL", "HEX"), F.lower(match))
         .when(kind == "IBAN", F.replace(match, F.lit(" "), F.lit("")))
         .when(kind == "SECRET", F.substring(match, F.length(_secret_name(match)) + 1, F.length(match)))
         .when(kind == "PERSON", F.concat(_gender(match), F.lit("|"), F.lower(_name(match))))
@@ -224,7 +226,7 @@ def render(kind: Column, match: Column, made: Column) -> Column:
         .when(kind == "PHONE", _refill(match, F.split_part(made, F.lit("+"), F.lit(2)), "[0-9]"))
         .when(kind == "IBAN", _refill(match, made))
         .when(kind == "SECRET", F.concat(_secret_name(match), made))
-        .when(kind == "EMAIL", cased)
+        .when(kind.isin("EMAIL", "HEX"), cased)
         .when(kind == "PERSON", F.concat(_form(match), F.substring(made, 3, 1000)))
         .otherwise(made)
     )

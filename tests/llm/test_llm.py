@@ -221,6 +221,17 @@ def test_surrogates_leave_the_rest(surrogates):
     assert surrogates[4].n_entities == 0 and surrogates[2].entities == ["IPV4", "IPV4", "KEY", "SECRET", "HEX"]
 
 
+def test_secrets_in_either_case(spark):
+    """An upper-cased copy hides its token too, as the same entity; so do tokens that aren't hexadecimal."""
+    value = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    data = [f'token = "{value}"', f'TOKEN = "{value.upper()}"', "auth_token: zq-9X7_rest", 'Token="pl4in.text"', "AB12" + "CD34" * 7, "AUTHTOKEN = 77fe"]
+    out = {r.doc_id: r for r in pii.replace(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")).collect()}
+    low, high = (re.fullmatch(p, out[k].text)[1] for k, p in enumerate([r'token = "([0-9a-f]{40})"', r'TOKEN = "([0-9A-F]{40})"']))
+    assert low.upper() == high != value.upper() and out[0].entities == out[1].entities == out[4].entities == ["HEX"]
+    assert all(out[k].entities == ["SECRET"] for k in (2, 3, 5)) and all(out[k].text != t for k, t in enumerate(data))
+    assert re.fullmatch(r"auth_token: [a-z]{2}-\d[A-Z]\d_[a-z]{4}", out[2].text) and re.fullmatch("[0-9A-F]{32}", out[4].text)
+
+
 def test_clashing_surrogates_are_parted(spark):
     """A hundred one-letter names have few given names to share; all stay distinct, each alike everywhere."""
     names = [f"Mr {a}{b} {c}{b}" for a in "ABCDEFGHIJ" for b in "aeiou" for c in "BC"]
