@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliate.functions import markdown
+from foliate.sources.tables import store
+
+BROADCAST_ROWS = 100_000
 
 
 def rewrite(pages: DataFrame, kernel: Callable[[str], str], only: str | None = None) -> DataFrame:
@@ -25,10 +28,35 @@ def rewrite(pages: DataFrame, kernel: Callable[[str], str], only: str | None = N
     return rows.filter(touched).mapInArrow(run, kind).unionByName(rows.filter(~touched))
 
 
-def linked(pages: DataFrame, paths: dict[str, str]) -> DataFrame:
-    """Links to known pages as wiki links; ``paths`` is one run's map of ids, shared with the workers."""
-    shared = pages.sparkSession.sparkContext.broadcast(paths)
-    return rewrite(pages, lambda t: markdown.links(t, shared.value), r"(?i)notion\.so")
+def linked(pages: DataFrame, targets: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Links to known pages as wiki links; ``targets`` (``target, path``) may be of any size: each page gets the paths that it asks for."""
+    kind = dict(pages.dtypes)["id"]
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        class Asked(dict):
+            def get(self, key, default=None):
+                self[key] = None
+                return default
+
+        for batch in batches:
+            found = [Asked() for _ in range(batch.num_rows)]
+            for t, own in zip(batch.column(1).to_pylist(), found, strict=True):
+                markdown.links(t, own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[x for x in own if x] for own in found], pa.list_(pa.string()))], names=["id", "asked"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [markdown.links(t, {x["target"]: x["path"] for x in own or ()}) for t, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["id", "text"])
+
+    rows = pages.select("id", "text")
+    touched = F.coalesce(F.col("text").rlike(r"(?i)notion\.so"), F.lit(False))
+    known = store(targets.groupBy("target").agg(F.min("path").alias("path")), "link_targets")
+    few = known.limit(broadcast_rows + 1).count() <= broadcast_rows
+    each = rows.filter(touched).mapInArrow(asked, f"id {kind}, asked array<string>").select("id", F.explode("asked").alias("target")).distinct()
+    held = each.join(F.broadcast(known) if few else known, "target").groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("target", "path")).alias("held"))
+    joined = rows.filter(touched).join(held, F.col("id").eqNullSafe(F.col("of")), "left").select("id", "text", "held")
+    return joined.mapInArrow(run, f"id {kind}, text string").unionByName(rows.filter(~touched))
 
 
 def stabilised(pages: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ page("G10_fences", lambda s: pages.rewrite(s, markdown.fences, "```|~~~"), "SELE
 page("G11_split_callouts", lambda s: pages.rewrite(s, markdown.split_callouts, "(?i)continued="), "SELECT id, text FROM src")
 page("G12_inline_tags", lambda s: pages.rewrite(s.withColumn("text", F.when(c("id") % 2 == 0, F.concat(F.lit('<span color="red"><u>'), "source", F.lit("</span></u>"))).otherwise(c("text"))), markdown.inline_tags, "(?i)<span"), "SELECT id, CASE WHEN id % 2 = 0 THEN '<span color=\"red\"><u>' || source || '</span></u>' WHEN id % 8 = 7 THEN '==' || source || '== <u>u</u>' ELSE text END AS text FROM src")
 page("G13_bold", lambda s: pages.rewrite(s.withColumn("text", F.concat(F.lit("x**(a)**y "), "source")), markdown.bold, r"\*\*"), "SELECT id, 'x' || chr(8203) || '**(a)**' || chr(8203) || 'y ' || source AS text FROM src")
-page("G17_links", lambda s: pages.linked(s, {r.m: r.p for r in s.select(F.md5("source").alias("m"), F.concat(F.lit("Root/"), "source", F.lit(".md")).alias("p")).distinct().limit(10_000).collect()}), "SELECT id, CASE WHEN id % 8 = 4 THEN '[[Root/' || source || '|' || source || ']] `[c](https://www.notion.so/' || md5(source) || ')`' ELSE text END AS text FROM src")
+page("G17_links", lambda s: pages.linked(s, s.select(F.md5("source").alias("target"), F.concat(F.lit("Root/"), "source", F.lit(".md")).alias("path")).distinct()), "SELECT id, CASE WHEN id % 8 = 4 THEN '[[Root/' || source || '|' || source || ']] `[c](https://www.notion.so/' || md5(source) || ')`' ELSE text END AS text FROM src")
 page("G18_asset_urls", lambda s: pages.rewrite(s.withColumn("text", F.concat(F.lit("![a](https://x/1) "), "source")), lambda t: markdown.asset_urls(t, {"https://x/1": "_assets/1 a.png"}), "https://"), "SELECT id, '![a](<_assets/1 a.png>) ' || source AS text FROM src")
 page("G21_tokens", lambda s: pages.rewrite(s.withColumn("text", F.concat(F.lit("<unknown id=1/> "), "source")), lambda t: markdown.tokens(t, ["done"]) or t, "<unknown"), "SELECT id, 'done ' || source AS text FROM src")
 page("G23_assets", pages.assets, "SELECT id, CASE WHEN id % 8 = 5 THEN 'image' ELSE 'file' END AS kind, CASE WHEN id % 8 = 5 THEN 'https://prod-files-secure.s3.amazonaws.com/' || source || '?X-Amz-Signature=1' ELSE 'https://www.notion.so/P-' || md5(source) END AS url, CASE WHEN id % 8 = 5 THEN 'i' ELSE source END AS caption, 0::BIGINT AS occurrence FROM src WHERE id % 8 IN (4, 5)")

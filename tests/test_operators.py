@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliate.functions import markdown, names, props, texts, urls
-from foliate.operators import diff, match, tree
+from foliate.operators import diff, match, pages, tree
 from foliate.sources.tables import Snapshots
 
 
@@ -222,3 +222,16 @@ def test_stabilised_json():
     value = {"a": [f"<{url}>", f"bare {url}"], "external": {"url": url, "n": 1}, "file": {"url": "https://h/x?y"}, "n": None}
     made, done, unsafe = props.stabilised(value)
     assert made == {"a": [f"<{url.split('?')[0]}>", f"bare {url}"], "external": {"url": url, "n": 1}, "file": {"url": "https://h/x"}, "n": None} and (done, unsafe) == (2, 1)
+
+
+@pytest.mark.parametrize("broadcast_rows", [100_000, 5])
+def test_links_to_more_targets_than_fit_a_limit(spark, broadcast_rows):
+    """All of 12,000 targets are rewritten, wherever they are joined; code, unknown links, null texts and equal rows stay."""
+    n = 12_000
+    link = "concat('[t', i, '](https://www.notion.so/P-', md5(string(i)), ')')"
+    rows = spark.range(n).withColumnRenamed("id", "i").selectExpr("i as id", f"concat({link}, ' `', {link}, '` [u](https://www.notion.so/P-', md5('none'), ')') as text")
+    rows = rows.union(rows.filter("id = 1")).union(spark.createDataFrame([(-1, None), (None, "plain")], "id long, text string"))
+    targets = spark.range(n).selectExpr("md5(string(id)) as target", "concat('Root/', id, '.md') as path")
+    out = pages.linked(rows, targets, broadcast_rows).collect()
+    want = rows.selectExpr("id", "if(id >= 0, concat('[[Root/', id, '|t', id, ']]', substr(text, instr(text, ' `'))), text) as text").collect()
+    assert sorted(map(repr, out)) == sorted(map(repr, want)) and len(out) == n + 3
