@@ -6,7 +6,7 @@ plan stays small at any depth, and only the frontier is joined.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliate.functions import names
@@ -122,3 +122,17 @@ def filenames(resources: DataFrame, previous: DataFrame | None = None) -> DataFr
     placed = kept.join(state, ["folder", "bk"])
     bare = ~F.coalesce("taken", F.lit(False)) & (F.col("id") == F.col("first"))
     return placed.select("id", "parent_id", F.coalesce("keep", F.when(bare, F.col("base")).otherwise(names.with_suffix(F.col("base"), F.col("id")))).alias("filename"))
+
+
+def ordered(planned: DataFrame) -> DataFrame:
+    """``planned`` (``id, path``) with ``place``, its place from 1 in the order of locale ``en``; paths that it holds equal go by their bytes, then by id.
+
+    Sorted by ranges and numbered within each, so no task holds all paths.
+    """
+    keys = [F.expr("path collate UNICODE"), F.col("path"), F.col("id")]
+    n = int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = planned.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    held = store(numbered, "ordered_paths").withColumns({"_part": F.shiftright("_at", 33), "_row": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    # One row for each range bounds the broadcast and the window.
+    base = held.groupBy("_part").agg(F.count("*").alias("n")).select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_base"))
+    return held.join(F.broadcast(base), "_part").select(*planned.columns, (F.col("_base") + F.col("_row") + 1).alias("place"))

@@ -66,6 +66,7 @@ register("W2_allocation", {"planned": _PATHS, "stored": _STORED, "there": _THERE
     SELECT id, CASE WHEN fell THEN regexp_replace(path, '\\.md$', '') || '--' || substr(id, 1, 8) || '.md' ELSE path END AS path, fell AS fell_back FROM x""")
 register("W3_unique_outputs", {"planned": _PATHS}, lambda planned: planned.groupBy(names.collision_key(c("path")).alias("k")).agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).filter("a <> b").select("k", "n"), "SELECT lower(path) AS k, count(*) AS n FROM planned GROUP BY 1 HAVING count(DISTINCT id) > 1")
 register("W4_locale_order", {"src": "SELECT n_name AS name FROM {nation} UNION ALL SELECT lower(r_name) FROM {region}"}, lambda src: src.select("name", F.expr("collation(name collate UNICODE) is not null").alias("known")), "SELECT name, true AS known FROM src")
+register("W4_path_order", {"nodes": TREE}, lambda nodes: tree.ordered(_paths(nodes).select("id", "path")), f", {_PLANNED} SELECT id, path, row_number() OVER (ORDER BY path COLLATE en, path, id) AS place FROM (SELECT id, stem || '.md' AS path FROM walk)")
 _OCC = "SELECT CAST(conv_id AS STRING) AS page, role AS kind, turn AS place FROM {conversations}"
 register("W5_occurrences", {"src": _OCC}, match.occurrences, "SELECT page, kind, place, row_number() OVER (PARTITION BY page, kind ORDER BY place) - 1 AS occurrence FROM src")
 _DOWN = "SELECT CAST(l_orderkey AS STRING) AS key, l_returnflag AS path, l_linestatus AS url, l_partkey AS place, l_suppkey AS s, l_quantity AS q FROM {lineitem}"

@@ -235,3 +235,11 @@ def test_links_to_more_targets_than_fit_a_limit(spark, broadcast_rows):
     out = pages.linked(rows, targets, broadcast_rows).collect()
     want = rows.selectExpr("id", "if(id >= 0, concat('[[Root/', id, '|t', id, ']]', substr(text, instr(text, ' `'))), text) as text").collect()
     assert sorted(map(repr, out)) == sorted(map(repr, want)) and len(out) == n + 3
+
+
+def test_paths_in_locale_order(spark):
+    """Locale order sets small letters before their capitals and accents beside their letters; binary order doesn't."""
+    want = ["a.md", "A.md", "ä.md", "b.md", "B.md", "e/x.md", "é/x.md", "z.md"]
+    df = spark.createDataFrame([(str(k), p) for k, p in enumerate(sorted(want))], "id string, path string")
+    assert [r.path for r in sorted(tree.ordered(df).collect(), key=lambda r: r.place)] == want != sorted(want)
+    assert sorted(r.place for r in tree.ordered(df.union(df)).collect()) == list(range(1, 17)) and tree.ordered(df.limit(0)).count() == 0
