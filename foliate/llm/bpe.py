@@ -192,6 +192,7 @@ class SpeculativeBpe:
             get = self.cache.__getitem__
             for k in missing:
                 found[k] = get(words[k])
+            common.forget_long(self.cache, new)
         return [np.frombuffer(b"".join(found[a:b]), "<u4") for a, b in zip([0, *ends], ends)]  # noqa: B905
 
     def decode(self, ids: np.ndarray) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir; one is set only where there is none, as in tests."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir; one is set only where there is none, in local mode, as in tests."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", "")
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not configured and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), f"foliate-{uuid.uuid4().hex}"))
     return configured or context._jsc.sc().getCheckpointDir().get()
 
@@ -77,6 +79,17 @@ def free(name: str, columns: list[str]) -> str:
     return name
 
 
+#: Bytes or characters of a piece of text that a cache keeps, so that its entries bound its size.
+LONGEST = 256
+
+
+def forget_long(known: dict, new: Iterable) -> None:
+    """Drops those of ``new`` from a cache that are too long to be kept."""
+    for x in new:
+        if len(x) > LONGEST:
+            known.pop(x, None)
+
+
 def texts(column: pa.Array) -> list[str]:
     """Nulls become empty texts."""
     return [x or "" for x in column.to_pylist()]

@@ -13,9 +13,9 @@ documents at most (those with the smallest hashes, which bounds what the driver
 a quarter of which only calibrates the temperature of its probabilities.
 
 Defined results: null and empty texts are zero vectors; rows without a label teach
-nothing; with a class missing every score is the class's share; repeated rows get
-equal scores; an empty table gives no rows; further columns are ignored, or kept by
-``keep_good``.
+nothing; of several labels or texts of one id the smallest teaches; with a class missing
+every score is the class's share; equal texts get equal scores, wherever they stand; an
+empty table gives no rows; further columns are ignored, or kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -53,9 +53,11 @@ class Tokens:
         except KeyError:
             if len(known) > self.cached:
                 known.clear()
-            for c in set(chunks).difference(known):
+            new = set(chunks).difference(known)
+            for c in new:
                 known[c] = np.array([zlib.crc32(t.encode()) % BUCKETS for t in _TOKEN.findall(c)], "<i4").tobytes()
             raw = b"".join(map(known.__getitem__, chunks))
+            common.forget_long(known, new)
         return np.frombuffer(raw, "<i4")
 
 
@@ -86,7 +88,7 @@ def contexts(ids: list[np.ndarray]) -> np.ndarray:
 def train_vectors(docs: DataFrame) -> np.ndarray:
     """The table of all documents' contexts: BUCKETS rows, a few megabytes."""
     spark = docs.sparkSession
-    levels = max(1, math.isqrt(max(1, docs.rdd.getNumPartitions())))
+    levels = max(1, math.isqrt(common.partitions(spark)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -102,17 +104,17 @@ def train_vectors(docs: DataFrame) -> np.ndarray:
                     held, n = [], 0
         if n:
             total += contexts(held)
-        rows = total.astype("<f4").reshape(-1, CHUNK, WIDTH + 1)
+        rows = total.astype("<i8").reshape(-1, CHUNK, WIDTH + 1)  # whole numbers: their sums don't depend on the order
         used = np.flatnonzero(rows.any((1, 2)))
         for k in range(0, len(used), 256):
             at = used[k : k + 256]
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(at), part, np.int32)), pa.array([zlib.compress(rows[i].tobytes(), 1) for i in at], pa.binary())], names=["chunk", "part", "sums"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((CHUNK, WIDTH + 1))
+        total = np.zeros((CHUNK, WIDTH + 1), "<i8")
         for raw in pdf["sums"]:
-            total += np.frombuffer(zlib.decompress(raw), "<f4").reshape(total.shape)
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "part": [0], "sums": [zlib.compress(total.astype("<f4").tobytes(), 1)]})
+            total += np.frombuffer(zlib.decompress(raw), "<i8").reshape(total.shape)
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "part": [0], "sums": [zlib.compress(total.tobytes(), 1)]})
 
     common.small_batches(spark)
     kind = "chunk int, part int, sums binary"
@@ -120,7 +122,7 @@ def train_vectors(docs: DataFrame) -> np.ndarray:
     summed = tables.groupBy("chunk", "part").applyInPandas(add, kind).groupBy("chunk").applyInPandas(add, kind)
     table = np.zeros((BUCKETS // CHUNK, CHUNK, WIDTH + 1), np.float32)
     for row in summed.select("chunk", "sums").toLocalIterator():
-        table[row.chunk] = np.frombuffer(zlib.decompress(bytes(row.sums)), "<f4").reshape(CHUNK, WIDTH + 1)
+        table[row.chunk] = np.frombuffer(zlib.decompress(bytes(row.sums)), "<i8").reshape(CHUNK, WIDTH + 1)
     return table.reshape(BUCKETS, WIDTH + 1)
 
 
@@ -165,7 +167,9 @@ class Network:
     temperature: float = 1.0
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum((x - self.mean) / self.scale @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+        """Row by row: a product of matrices may round a row by its place among others."""
+        z = (np.asarray(x, float) - self.mean) / self.scale
+        return np.array([float(np.maximum(row @ self.w1 + self.b1, 0) @ self.w2) + self.b2 for row in np.ascontiguousarray(z)])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logit(x) / self.temperature, -30, 30)))
@@ -220,10 +224,11 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, most_docs: int = 2
     """All columns of ``docs`` with the score as column ``name`` (which ``docs`` doesn't have), learnt from labels outside the held-out fold."""
     spark = docs.sparkSession
     vectors = spark.sparkContext.broadcast(word_vectors(train_vectors(docs)))
-    known = labels.filter(F.col("quality").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % folds != 0)).select("doc_id", F.col("quality").cast("int").alias("_label"))
+    known = labels.filter(F.col("quality").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % folds != 0)).groupBy("doc_id").agg(F.min("quality").cast("int").alias("_label"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = sorted((r.doc_id, r._label, r.features) for r in _features(own.join(F.broadcast(drawn), "doc_id"), vectors, ["doc_id", "_label"]).dropDuplicates(["doc_id"]).collect())
+    taught = own.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text"))  # most_docs rows at most
+    rows = sorted((r.doc_id, r._label, r.features) for r in _features(taught, vectors, ["doc_id", "_label"]).collect())
     if rows:
         held = np.array([common.id_hash(i) // folds % 4 == 0 for i, _, _ in rows])
         net = fit(np.array([f for _, _, f in rows], float), np.array([y for _, y, _ in rows]), held)

@@ -131,6 +131,7 @@ class ChunkEncoder:
             get = self.cache.__getitem__
             for k in missing:
                 found[k] = get(chunks[k])
+            common.forget_long(self.cache, new)
         return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends)]  # noqa: B905
 
 

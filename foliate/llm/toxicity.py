@@ -16,7 +16,8 @@ smallest hashes among texts of ``most_chars`` characters at most, which bounds w
 the driver holds.  Scores cover whole texts.
 
 Defined results: null and empty texts have no windows and get the score of zero counts;
-rows without a label or with a null id teach nothing; with a class missing every score
+rows without a label or with a null id teach nothing; of several labels or texts of one id
+the smallest teaches; with a class missing every score
 is the class's share; repeated rows get equal scores; an empty table gives no rows;
 columns other than ``doc_id`` and ``text`` are ignored.
 """
@@ -112,9 +113,11 @@ class Distance:
         except KeyError:
             if len(known) > self.cached:
                 known.clear()
-            for w in set(own).difference(known):
+            new = set(own).difference(known)
+            for w in new:
                 known[w] = self(w)
             found = bytes(map(known.__getitem__, own))
+            common.forget_long(known, new)
         return np.bincount(np.frombuffer(found, np.uint8), minlength=DISTANCES + 1)
 
 
@@ -135,7 +138,7 @@ class Model:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """0.5 is the calibrated threshold."""
-        return 1 / (1 + np.exp(-np.clip((x @ self.weights + self.bias) / self.temperature - self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(((x * self.weights).sum(-1) + self.bias) / self.temperature - self.shift, -30, 30)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> tuple[np.ndarray, float]:
@@ -176,17 +179,17 @@ def fit(rows: list[tuple[str, int, int]]) -> Model | float:
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, most_docs: int, most_chars: int) -> DataFrame:
     """``doc_id, text, label`` of the labelled rows outside the held-out fold, bounded by class as the module says."""
-    known = labels.filter(F.col(label).isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % folds != 0)).select("doc_id", F.col(label).cast("int").alias("label"))
+    known = labels.filter(F.col(label).isin(0, 1) & (F.crc32(F.col("doc_id").cast("string")) % folds != 0)).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
     one = [known.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs) for c in (0, 1)]
     drawn = one[0].union(one[1])
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.length("text") <= most_chars)
-    return texts.join(F.broadcast(drawn), "doc_id")  # 2 * most_docs rows at most
+    return texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # 2 * most_docs rows at most
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, most_docs: int = 2000, most_chars: int = 20_000) -> DataFrame:
     """``doc_id, held_out, score, predicted, windows`` (the windows at each distance) of each row."""
     drawn = sample(docs, labels, "toxic", folds, most_docs, most_chars)
-    rows = sorted((r.doc_id, r.text, r.label) for r in drawn.dropDuplicates(["doc_id"]).collect())
+    rows = sorted((r.doc_id, r.text, r.label) for r in drawn.collect())
     model = fit([(t, y, common.id_hash(i) // folds % 4) for i, t, y in rows])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
