@@ -523,3 +523,44 @@ def test_pipeline(spark, sf):
     held = {r.doc_id: r.text for r in now.collect()}
     assert all(r.ids == _plain().encode(held[r.doc_id], add_special_tokens=False).ids and r.n_tokens == len(r.ids) for r in out.collect())
 
+
+
+def test_scores_do_not_depend_on_the_batch():
+    random = np.random.default_rng(3)
+    x = random.normal(0, 1, (1000, 99))
+    net = quality.fit(x, (x[:, 0] > 0).astype(int), np.arange(1000) % 4 == 0)
+    whole = net.score(x)
+    for size in (1, 2, 7, 1000):
+        assert np.array_equal(np.concatenate([net.score(x[k : k + size]) for k in range(0, 1000, size)]), whole)
+    model = toxicity.Model([], [], random.normal(0, 1, 32), 0.1, 1.0, 0.0)
+    assert np.array_equal(np.concatenate([model.score(x[k : k + 1, :32]) for k in range(1000)]), model.score(x[:, :32]))
+
+
+def test_null_and_repeated_ids_are_linked_and_kept(spark):
+    """Null ids are linked like others; a row of a repeated id goes or stays by its own text."""
+    a = " ".join(f"w{k}" for k in range(60))
+    near, other, third = a + " end", " ".join(f"u{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
+    documents = [(None, a), (5, near), (2, a + " x"), (5, other), (None, third), (None, third + " y"), (9, third + " z")]
+    df = spark.createDataFrame([(*d, "k", "t") for d in documents], "doc_id long, text string, key string, top string")
+    assert rows(neardup.group(df), "doc_id", "n_shingles", "component_id", "kept") == brute_groups(documents)
+    out = neardup.deduplicate(df)
+    assert out.columns == df.columns and rows(out, "doc_id", "text") == sorted([(2, a + " x"), (5, other), (9, third + " z")], key=repr)
+    nulls = neardup.deduplicate(spark.createDataFrame([(None, third), (None, third + " y"), (None, None), (None, "")], "doc_id long, text string"))
+    assert sorted(bool(r.text) for r in nulls.collect()) == [False, False, True]
+
+
+def test_large_bands_are_parted_further(spark):
+    """Dissimilar classes with a common passage share bands; pairs beyond the limit go through a second band, none is lost."""
+    random = np.random.default_rng(8)
+    passage = [f"p{k}" for k in range(160)]
+    documents = [(k, " ".join([*passage, *(f"d{k}x{j}" for j in range(90))])) for k in range(120)]
+    documents += [(1000 + k, edited(documents[k][1].split(" "), 2, random)) for k in range(0, 120, 3)]
+    df = spark.createDataFrame(documents, "doc_id long, text string")
+    want = brute_groups(documents)
+    assert rows(neardup.group(df, block=4, pairs=1), "doc_id", "n_shingles", "component_id", "kept") == want
+    assert sum(not r[3] for r in want) == 40
+
+
+def test_op9(spark, sf, duck):
+    documents = duck.sql("SELECT doc_id, text FROM documents").fetchall()
+    assert rows(queries.op9_near_duplicates(spark, sf), "doc_id", "n_shingles", "component_id", "kept") == brute_groups(documents)
