@@ -1,16 +1,18 @@
 """Re-Pair grammars over token ids, and the binary shard format that holds them.
 
-A shard is one byte string, readable by itself (all integers little-endian):
+A shard is one byte string, readable by itself (integers little-endian, packed ones in
+as few bits as the largest of them needs, most significant bit first):
 
-    b"RPG1", uint32 first_nonterminal, uint32 n_docs, uint32 n_rules, uint64 n_symbols
-    int64  doc_ids[n_docs]           uint64 token_starts[n_docs + 1]   (within the shard)
-    uint64 symbol_starts[n_docs + 1] uint32 rules[n_rules][2]
-    uint32 expansion_lengths[n_rules]  uint32 symbols[n_symbols]
+    b"RPG2", uint32 first_nonterminal, uint32 n_docs, uint32 n_null, uint32 n_rules, uint64 n_symbols
+    uint8 bits of: token lengths, symbol lengths, rules, expansion lengths, symbols
+    int64 doc_ids[n_docs] (the first n_null stand for null)
+    packed: tokens and symbols of each document, both symbols of each rule, expansion lengths, symbols
 
 Symbols below ``first_nonterminal`` are token ids.  Symbol ``first_nonterminal + k``
 stands for the two symbols of rule ``k``; rules only refer to earlier rules.  No
-symbol crosses a document's end, so a document, or any window of its tokens, is
-decoded from its own symbols alone with the stored expansion lengths.
+symbol crosses a document's end.  A window of a document's tokens is found by the
+stored expansion lengths: symbols before it are passed over whole, and only rules that
+reach into it are descended.
 """
 
 from __future__ import annotations
@@ -19,13 +21,52 @@ import struct
 
 import numpy as np
 
-MAGIC = b"RPG1"
-_HEAD = struct.Struct("<4sIIIQ")
+MAGIC = b"RPG2"
+_HEAD = struct.Struct("<4sIIIIQ5B")
 
 
-def _pair_slots(left: np.ndarray, right: np.ndarray, bits: int, turn: int) -> np.ndarray:
-    """A slot for each pair, dealt differently in each round."""
-    mixed = left * np.uint32(2654435761 + 2 * turn) + right * np.uint32(2246822519 - 2 * turn)
+def bits_of(values: np.ndarray) -> int:
+    return int(values.max()).bit_length() if len(values) else 0
+
+
+def pack_bits(values: np.ndarray, bits: int) -> bytes:
+    """``bits`` bits of each value, one after the other."""
+    if not bits or not len(values):
+        return b""
+    wide = ">u4" if bits <= 32 else ">u8"
+    part = 1 << 16  # a multiple of 8, so that parts end with a byte
+
+    def one(x: np.ndarray) -> bytes:
+        ones = np.unpackbits(x.astype(wide).view(np.uint8).reshape(len(x), -1), axis=1)
+        return np.packbits(ones[:, ones.shape[1] - bits :]).tobytes()
+
+    return b"".join(one(values[k : k + part]) for k in range(0, len(values), part))
+
+
+def packed_bytes(n: int, bits: int) -> int:
+    return (n * bits + 7) // 8
+
+
+def unpack_bits(raw: np.ndarray, bits: int, start: int, stop: int) -> np.ndarray:
+    """Values ``start:stop`` of packed bytes."""
+    if not bits or start >= stop:
+        return np.zeros(max(stop - start, 0), np.int64)
+    out = np.empty(stop - start, np.int64)
+    weights = (1 << np.arange(bits - 1, -1, -1, dtype=np.int64)).astype(np.float64)  # exact: 53 bits at most
+    for k in range(start, stop, 1 << 16):
+        end = min(stop, k + (1 << 16))
+        first = k * bits // 8
+        ones = np.unpackbits(raw[first : (end * bits + 7) // 8])[k * bits - 8 * first :][: (end - k) * bits]
+        out[k - start : end - start] = (ones.reshape(-1, bits) @ weights).astype(np.int64)
+    return out
+
+
+def _slots(left: np.ndarray, right: np.ndarray, bits: int, turn: int) -> np.ndarray:
+    """A slot for each pair, dealt differently in each turn."""
+    odd = np.random.default_rng(turn).integers(1, 1 << 31, 3, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    mixed = left * odd[0] + right * odd[1]
+    mixed ^= mixed >> np.uint32(15)
+    mixed *= odd[2]
     return (mixed >> np.uint32(32 - bits)).astype(np.int64)
 
 
@@ -44,51 +85,81 @@ def _chosen(marked: np.ndarray, count: np.ndarray) -> np.ndarray:
     return win
 
 
-def build(ids: np.ndarray, ends: np.ndarray, first: int, rounds: int = 6, per_round: int = 4096, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _by_slots(seq: np.ndarray, inner: np.ndarray, turn: int, per_round: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, numbers and keys of the pairs that stand for the ``per_round`` fullest slots.
+
+    Of the pairs that share a slot, that which a second dealing counts highest stands for it.
+    """
+    bits = int(np.clip(np.ceil(np.log2(max(len(seq), 2))), 10, 18))
+    left, right = seq[:-1], seq[1:]
+    slot = _slots(left, right, bits, 2 * turn)
+    tally = np.bincount(slot[inner], minlength=1 << bits)
+    full = np.flatnonzero(tally >= least)
+    if not len(full):
+        return full, full, np.empty(0, np.uint64)
+    full = np.sort(full[np.argpartition(-tally[full], min(per_round, len(full)) - 1)[:per_round]])
+    rank = np.full(1 << bits, -1, np.int32)
+    rank[full] = np.arange(len(full))
+    of = rank[slot]
+    of[~inner] = -1
+    at = np.flatnonzero(of >= 0)
+    number = of[at]
+    key = (left[at].astype(np.uint64) << np.uint64(32)) | right[at]
+    second = _slots(left[at], right[at], bits, 2 * turn + 1)
+    best = np.zeros(len(full), np.int64)
+    np.maximum.at(best, number, (np.bincount(second, minlength=1 << bits)[second] << 32) | np.arange(len(at)))
+    own = key[best & 0xFFFFFFFF]
+    same = own[number] == key
+    return at[same], number[same], own
+
+
+def _exactly(seq: np.ndarray, inner: np.ndarray, per_round: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for the ``per_round`` most frequent pairs, counted by sorting."""
+    at = np.flatnonzero(inner)
+    key = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
+    own, back, count = np.unique(key, return_inverse=True, return_counts=True)
+    often = np.flatnonzero(count >= least)
+    if len(often) > per_round:
+        often = often[np.argpartition(-count[often], per_round - 1)[:per_round]]
+    rank = np.full(len(own), -1, np.int64)
+    rank[often] = np.arange(len(often))
+    number = rank[back]
+    hit = number >= 0
+    return at[hit], number[hit], own[often]
+
+
+def build(ids: np.ndarray, ends: np.ndarray, first: int, per_round: int = 4096, least: int = 8, slot_gain: float = 0.001) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules, expansion lengths and each document's end in symbols.
 
-    ``ends``: each document's end in ids, ascending.  A round counts all adjacent
-    pairs by slots, takes the ``per_round`` fullest with ``least`` or more occurrences,
-    gives a pair of each a nonterminal and replaces them at once.  Where two pairs
-    share a slot, one of them waits for a round that parts them.
+    ``ends``: each document's end in ids, ascending.  A round takes the ``per_round``
+    most frequent adjacent pairs, gives each a nonterminal and replaces them at once;
+    of overlapping ones the more frequent wins.  Rounds go on until no pair within a
+    document occurs ``least`` times beside itself; while a round shortens the sequence by
+    ``slot_gain`` or more, pairs are counted by slots, and after that by sorting.
     """
     seq, ends = ids.astype(np.uint32), ends.astype(np.int64)
     rules, lengths = [np.empty((0, 2), np.uint32)], [np.empty(0, np.uint32)]
-    made, length_of = 0, np.ones(first, np.uint32)
-    bits = int(np.clip(np.ceil(np.log2(max(len(ids), 2))), 10, 18))
-    for turn in range(rounds):
-        if len(seq) < 2:
-            break
-        slot = _pair_slots(seq[:-1], seq[1:], bits, turn)
-        tally = np.bincount(slot, minlength=1 << bits)
-        crossing = ends[:-1] - 1
-        crossing = crossing[(crossing >= 0) & (crossing < len(slot))]
-        tally -= np.bincount(slot[crossing], minlength=1 << bits)
-        full = np.flatnonzero(tally >= least)
-        if not len(full):
-            break
-        full = np.sort(full[np.argpartition(-tally[full], min(per_round, len(full)) - 1)[:per_round]])
-        rank = np.full(1 << bits, -1, np.int32)
-        rank[full] = np.arange(len(full))
-        of = rank[slot]
-        of[crossing] = -1
-        at = np.flatnonzero(of >= 0)
-        number = of[at]
-        key = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
-        own = np.zeros(len(full), np.uint64)
-        own[number] = key
-        same = own[number] == key
-        at, number = at[same], number[same]
-        count = np.bincount(number, minlength=len(full))
-        keep = count >= least
-        if not keep.any():
-            break
+    made, length_of, turn, slots = 0, np.ones(first, np.uint32), 0, True
+    while len(seq) > 1:
+        inner = np.ones(len(seq) - 1, bool)
+        inner[ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(seq))] - 1] = False
+        at, number, own = _by_slots(seq, inner, turn, per_round, least) if slots else _exactly(seq, inner, per_round, least)
+        turn += 1
+        # A pair that loses its places to others is no rule, so each round either shortens the sequence or is the last of its kind.
+        count = np.bincount(number, minlength=len(own))
+        win = _chosen(at, count[number]) if len(at) else np.ones(0, bool)
+        at, number = at[win], number[win]
+        keep = np.bincount(number, minlength=len(own)) >= least
         live = keep[number]
-        at, number = at[live], number[live]
-        win = _chosen(at, count[number])
-        at, number = at[win], (np.cumsum(keep) - 1)[number[win]]
+        at, number = at[live], (np.cumsum(keep) - 1)[number[live]]
+        if not len(at):
+            if not slots:
+                break
+            slots = False
+            continue
         new = own[keep]
         pair = np.stack([new >> np.uint64(32), new & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)
+        slots = slots and len(at) >= slot_gain * len(seq)
         seq[at] = (number + first + made).astype(np.uint32)
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
@@ -138,52 +209,73 @@ def expand(symbols: np.ndarray, flat: np.ndarray, starts: np.ndarray, lengths: n
     return out
 
 
-def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, first: int, **how) -> bytes:
-    """A shard of documents, whose ids stand one after the other in ``ids``."""
-    ends = np.cumsum(lengths, dtype=np.int64)
-    symbols, rules, expansions, symbol_ends = build(ids, ends, first, **how)
-    starts = lambda x: np.concatenate([[0], x]).astype("<u8").tobytes()
-    return b"".join((
-        _HEAD.pack(MAGIC, first, len(doc_ids), len(rules), len(symbols)), np.asarray(doc_ids, "<i8").tobytes(), starts(ends), starts(symbol_ends),
-        rules.astype("<u4").tobytes(), expansions.astype("<u4").tobytes(), symbols.astype("<u4").tobytes(),
-    ))
+def pack(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, first: int, nulls: int = 0, **how) -> bytes:
+    """A shard of documents, whose ids stand one after the other in ``ids``; the first ``nulls`` have no id."""
+    symbols, rules, expansions, symbol_ends = build(ids, np.cumsum(lengths, dtype=np.int64), first, **how)
+    parts = [np.asarray(lengths), np.diff(symbol_ends, prepend=0), rules.ravel(), expansions, symbols]
+    bits = [bits_of(x) for x in parts]
+    return b"".join((_HEAD.pack(MAGIC, first, len(doc_ids), nulls, len(rules), len(symbols), *bits), np.asarray(doc_ids, "<i8").tobytes(), *map(pack_bits, parts, bits)))
 
 
 class Shard:
-    """Reads a packed shard; nothing but the asked symbols is expanded."""
+    """Reads a packed shard; a window expands nothing but the symbols that reach into it."""
 
     def __init__(self, blob: bytes):
-        magic, self.first, docs, rules, symbols = _HEAD.unpack_from(blob)
+        if len(blob) < _HEAD.size:
+            raise ValueError("a damaged grammar shard")
+        magic, self.first, docs, self.nulls, rules, symbols, *bits = _HEAD.unpack_from(blob)
+        sizes = [packed_bytes(n, b) for n, b in zip((docs, docs, 2 * rules, rules, symbols), bits, strict=True)]
         if magic != MAGIC:
             raise ValueError("not a grammar shard")
-        at = _HEAD.size
-
-        def take(kind: str, n: int) -> np.ndarray:
-            nonlocal at
-            x = np.frombuffer(blob, kind, n, at)
-            at += x.nbytes
-            return x
-
-        self.doc_ids, self.token_starts, self.symbol_starts = take("<i8", docs), take("<u8", docs + 1).astype(np.int64), take("<u8", docs + 1).astype(np.int64)
-        self.rules, self.lengths, self.symbols = take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules), take("<u4", symbols)
-        self.flat, self.starts = flat_rules(self.rules, self.lengths, self.first)
-        if at != len(blob) or len(expected := self.symbol_starts) != docs + 1 or expected[-1] != symbols:
+        if len(blob) != _HEAD.size + 8 * docs + sum(sizes):
+            raise ValueError("a damaged grammar shard")
+        self.doc_ids = np.frombuffer(blob, "<i8", docs, _HEAD.size)
+        raw, at = np.frombuffer(blob, np.uint8), _HEAD.size + 8 * docs
+        parts = []
+        for n in sizes:
+            parts.append(raw[at : at + n])
+            at += n
+        starts = lambda x: np.concatenate([[0], np.cumsum(x, dtype=np.int64)])
+        self.token_starts, self.symbol_starts = starts(unpack_bits(parts[0], bits[0], 0, docs)), starts(unpack_bits(parts[1], bits[1], 0, docs))
+        self.n_rules, self._parts, self._bits = rules, parts, bits
+        if self.symbol_starts[-1] != symbols:
             raise ValueError("a damaged grammar shard")
 
+    def symbols(self, start: int = 0, stop: int | None = None) -> np.ndarray:
+        return unpack_bits(self._parts[4], self._bits[4], start, int(self.symbol_starts[-1]) if stop is None else stop)
+
+    def rule(self, k: int) -> list[int]:
+        return unpack_bits(self._parts[2], self._bits[2], 2 * k, 2 * k + 2).tolist()
+
+    def length(self, symbol: int) -> int:
+        """Tokens that a symbol stands for."""
+        return 1 if symbol < self.first else int(unpack_bits(self._parts[3], self._bits[3], symbol - self.first, symbol - self.first + 1)[0])
+
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.flat, self.starts, self.lengths, self.first)
+        """All documents' ids; this alone expands all rules."""
+        lengths = unpack_bits(self._parts[3], self._bits[3], 0, self.n_rules)
+        flat, starts = flat_rules(unpack_bits(self._parts[2], self._bits[2], 0, 2 * self.n_rules).reshape(-1, 2), lengths, self.first)
+        return expand(self.symbols(), flat, starts, lengths, self.first)
 
     def window(self, k: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids ``start:stop`` of the ``k``-th document."""
-        own = self.symbols[self.symbol_starts[k] : self.symbol_starts[k + 1]]
         total = int(self.token_starts[k + 1] - self.token_starts[k])
         stop = total if stop is None else min(stop, total)
-        if start >= stop:
-            return np.empty(0, np.uint32)
-        size = np.ones(len(own), np.int64)
-        big = own >= self.first
-        size[big] = self.lengths[own[big] - self.first]
-        end = np.cumsum(size)
-        a, b = np.searchsorted(end, start, "right"), np.searchsorted(end, stop, "left") + 1
-        skip = start - (int(end[a - 1]) if a else 0)
-        return expand(own[a:b], self.flat, self.starts, self.lengths, self.first)[skip : skip + stop - start]
+        out: list[int] = []
+        at = 0
+        # Symbols still to be read, the next one last; those before the window are passed over by their lengths.
+        for own in self.symbols(int(self.symbol_starts[k]), int(self.symbol_starts[k + 1])).tolist():
+            if at >= stop:
+                break
+            stack = [own]
+            while stack and at < stop:
+                symbol = stack.pop()
+                size = self.length(symbol)
+                if at + size <= start:
+                    at += size
+                elif symbol < self.first:
+                    out.append(symbol)
+                    at += 1
+                else:
+                    stack += reversed(self.rule(symbol - self.first))
+        return np.array(out, np.uint32)

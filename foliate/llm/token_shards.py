@@ -6,8 +6,8 @@ table, so Spark's commit protocol makes the write whole on any store, also when
 tasks are retried.  ``read_shards`` decodes them again.
 
 Defined results: a null text is empty and holds the end id alone; an empty table
-gives no shards; rows with equal ids stand side by side, ordered by text, each a
-document of its own; a null id comes first and is read back as null; columns other
+gives no shards; rows with equal ids stand side by side, ordered by a hash of the text,
+each a document of its own; null ids come first and are read back as null; columns other
 than ``doc_id`` and ``text`` are ignored.  A document longer than ``shard_tokens``
 is a shard of its own.
 """
@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 from foliate.llm import common, grammar
 
 SHARDS = "part int, seq int, part_start long, first_doc long, n_docs long, n_tokens long, shard binary"
-#: Stands for a null document id within a shard.
-NULL_ID = -(1 << 63)
 #: Marks that are a pre-token of their own after a letter or digit; an apostrophe may not be.
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -145,7 +143,7 @@ def loaded(path: str) -> ChunkEncoder:
     return _loaded[path]
 
 
-def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, shard_tokens: int = 1 << 21, rounds: int = 5, per_round: int = 4096) -> None:
+def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, shard_tokens: int = 1 << 21, per_round: int = 4096) -> None:
     """Writes ``docs``' ids to ``path``; ``end_id`` ends each document."""
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -154,38 +152,40 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, sh
         from pyspark import TaskContext
 
         part, seq, before = TaskContext.get().partitionId(), 0, 0
-        gc.disable()  # millions of byte strings and no cycles: tracing them is a tenth of the work
         encoder, end = loaded(tokenizer), np.array([end_id], "<u4").tobytes()
         ids: list[int] = []
         runs: list[bytes] = []
-        held = 0
+        held = nulls = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal seq, before, held
+            nonlocal seq, before, held, nulls
             lengths = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
-            blob = grammar.pack(np.array(ids, np.int64), lengths, np.frombuffer(b"".join(runs), "<u4"), encoder.size, rounds=rounds, per_round=per_round)
+            blob = grammar.pack(np.array(ids, np.int64), lengths, np.frombuffer(b"".join(runs), "<u4"), encoder.size, nulls, per_round=per_round)
             row = (part, seq, before, ids[0], len(ids), held, blob)
-            seq, before, held = seq + 1, before + held, 0
+            seq, before, held, nulls = seq + 1, before + held, 0, 0
             ids.clear()
             runs.clear()
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary()), strict=True)], names=["part", "seq", "part_start", "first_doc", "n_docs", "n_tokens", "shard"])
 
-        for batch in batches:
-            keys = batch.column(0).fill_null(NULL_ID).to_pylist()
-            for key, run in zip(keys, encoder.encode(batch.column(1).cast(pa.binary()).fill_null(b"").to_pylist()), strict=True):
-                run += end
-                if runs and held + len(run) // 4 > shard_tokens:
-                    yield flush()
-                ids.append(key)
-                runs.append(run)
-                held += len(run) // 4
-        if runs:
-            yield flush()
-        gc.enable()
+        gc.disable()  # millions of byte strings and no cycles: tracing them is a tenth of the work
+        try:
+            for batch in batches:
+                for key, run in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).cast(pa.binary()).fill_null(b"").to_pylist()), strict=True):
+                    run += end
+                    if runs and held + len(run) // 4 > shard_tokens:
+                        yield flush()
+                    nulls += key is None  # they come first
+                    ids.append(key or 0)
+                    runs.append(run)
+                    held += len(run) // 4
+            if runs:
+                yield flush()
+        finally:
+            gc.enable()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange(common.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(pack, SHARDS).write.option("compression", "zstd").parquet(path)
+    ordered = rows.withColumn("key", F.xxhash64("text")).repartitionByRange(common.partitions(spark), "doc_id", "key").sortWithinPartitions("doc_id", "key", "text")
+    ordered.select("doc_id", "text").mapInArrow(pack, SHARDS).write.option("compression", "zstd").parquet(path)
 
 
 def read_shards(spark, path: str, derive: Callable[[np.ndarray], tuple] | None = None, columns: str = "ids array<long>") -> DataFrame:
@@ -203,7 +203,7 @@ def read_shards(spark, path: str, derive: Callable[[np.ndarray], tuple] | None =
                 ids, bounds = shard.all_ids(), shard.token_starts
                 more = [(derive or (lambda x: (x.tolist(),)))(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 keys = shard.doc_ids
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64(), mask=keys == NULL_ID), pa.array(bounds[:-1] + start), pa.array(np.diff(bounds)), *(pa.array(list(x)) for x in zip(*more, strict=True))], names=["doc_id", "start", "n_tokens", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64(), mask=np.arange(len(keys)) < shard.nulls), pa.array(bounds[:-1] + start), pa.array(np.diff(bounds)), *(pa.array(list(x)) for x in zip(*more, strict=True))], names=["doc_id", "start", "n_tokens", *names])
 
     rows = shards.join(F.broadcast(base), "part").select((F.col("base") + F.col("part_start")).alias("start"), "shard")
     return rows.mapInArrow(decode, f"doc_id long, start long, n_tokens long, {columns}")

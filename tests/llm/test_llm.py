@@ -48,7 +48,7 @@ def rows(df, *columns):
 def test_grammar_round_trip(documents):
     lengths = np.array([len(d) for d in documents])
     ids = np.array([x for d in documents for x in d], np.uint32)
-    shard = grammar.Shard(grammar.pack(np.arange(len(documents)), lengths, ids, 7, rounds=4, least=2))
+    shard = grammar.Shard(grammar.pack(np.arange(len(documents)), lengths, ids, 7, least=2))
     assert shard.all_ids().tolist() == ids.tolist()
     for k, d in enumerate(documents):
         assert shard.window(k).tolist() == d
@@ -58,11 +58,36 @@ def test_grammar_round_trip(documents):
 def test_grammar_compresses_and_detects_damage():
     ids = np.tile(np.arange(50, dtype=np.uint32), 400)
     blob = grammar.pack(np.array([1]), np.array([len(ids)]), ids, 50)
-    assert len(grammar.Shard(blob).symbols) < len(ids) / 8
+    assert len(grammar.Shard(blob).symbols()) < len(ids) / 8
     with pytest.raises(ValueError):
         grammar.Shard(blob + b"x")
 
 
+def test_grammar_leaves_no_frequent_pair_and_reads_windows():
+    """No pair within a document is left ``least`` times; windows are those of the expansion; bits round-trip."""
+    random = np.random.default_rng(2)
+    words = [random.integers(0, 900, int(random.integers(2, 9))) for _ in range(300)]
+    documents = [np.concatenate([words[k] for k in (300 * random.power(0.3, int(random.integers(1, 60)))).astype(int)]) for _ in range(400)]
+    lengths, ids = np.array([len(d) for d in documents]), np.concatenate(documents).astype(np.uint32)
+    shard = grammar.Shard(grammar.pack(np.arange(400), lengths, ids, 900))
+    assert shard.all_ids().tolist() == ids.tolist() and len(shard.symbols()) < len(ids) / 2
+    left = Counter()
+    for k in range(400):
+        own = shard.symbols(int(shard.symbol_starts[k]), int(shard.symbol_starts[k + 1])).tolist()
+        at = 0
+        while at + 1 < len(own):
+            left[own[at], own[at + 1]] += 1
+            at += 2 if own[at + 1 : at + 3] == [own[at]] * 2 else 1
+    assert max(left.values()) < 16
+    for k in range(0, 400, 7):
+        a, b = sorted(random.integers(0, lengths[k] + 3, 2).tolist())
+        assert shard.window(k, a, b).tolist() == documents[k][a:b].tolist()
+    for bits in (1, 7, 17, 33):
+        x = random.integers(0, 1 << bits, 70_000)
+        raw = np.frombuffer(grammar.pack_bits(x, bits), np.uint8)
+        assert len(raw) == grammar.packed_bytes(len(x), bits) and np.array_equal(grammar.unpack_bits(raw, bits, 3, 69_999), x[3:69_999])
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text(st.characters(codec="utf-8"), max_size=30), min_size=1, max_size=5))
 def test_chunk_encoder_equals_the_library(documents):
