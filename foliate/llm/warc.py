@@ -9,7 +9,10 @@ rows, and otherwise shuffled against headers alone; payloads join decisions by p
 
 Archives are written by Spark's text sink: a record's end, two line ends, is its line
 separator, so each part file is a whole WARC file and the write is committed task by
-task on any store.  Revisits keep their HTTP header with the payload's length.
+task on any store.  Each file begins with a ``warcinfo`` record, and all headers are made
+afresh, dated by the write.  Revisits keep their HTTP header with the payload's length.
+Archives are read by the text source, line by line in order, an archive may have any size, and a task holds one record at a time.  (Spark's sinks
+compress a file as one gzip member, so records are read in order, not by offset.)
 
 Defined results: a null html is an empty payload; a null url leaves the target URI
 out; rows with equal ids and payloads are alike, those with the largest id all
@@ -19,8 +22,8 @@ rows; further columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -71,32 +74,29 @@ def record(date: str) -> Column:
         F.lit(f"WARC/1.1{END}WARC-Type: "), F.when(revisit, "revisit").otherwise("response"), F.lit(END),
         _header("WARC-Record-ID", _name(F.col("page_id"))), _header("WARC-Target-URI", F.col("url")), F.lit(f"WARC-Date: {date}{END}"),
         F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest"), F.lit(END),
-        F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}{END}"), _header("WARC-Refers-To", _name(F.col("original"))), _header("WARC-Refers-To-Target-URI", F.col("original_url")))).otherwise(""),
+        F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}{END}"), _header("WARC-Refers-To", _name(F.col("original"))), _header("WARC-Refers-To-Target-URI", F.col("original_url")), F.lit(f"WARC-Refers-To-Date: {date}{END}"))).otherwise(""),
         F.lit(f"Content-Type: application/http;msgtype=response{END}Content-Length: "), block.cast("string"), F.lit(END * 2), http, F.when(revisit, "").otherwise(F.col("payload")),
     )
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 1000, date: str = "2024-01-01T00:00:00Z", records: int = 5000, broadcast_rows: int = BROADCAST_ROWS) -> None:
-    """One record for each page, ``records`` to an archive at most."""
-    resolved = resolve(pages, least, broadcast_rows)
-    resolved.select(record(date).alias("value")).write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+def info(date: str) -> Column:
+    """An archive's first record, with the line ends that close it."""
+    block = f"software: foliate{END}format: WARC File Format 1.1{END}"
+    head = f"WARC-Date: {date}{END}Content-Type: application/warc-fields{END}Content-Length: {len(block)}{END * 2}"
+    return F.concat(F.lit(f"WARC/1.1{END}WARC-Type: warcinfo{END}WARC-Record-ID: <urn:uuid:"), F.expr("uuid()"), F.lit(f">{END}{head}{block}{END * 2}"))
 
 
-def _inflate(blob: bytes, most: int = 1 << 20) -> Iterator[bytes]:
-    """The members of a gzip file, in pieces."""
-    while blob:
-        d = zlib.decompressobj(31)
-        while not d.eof:
-            piece = d.decompress(blob, most)
-            blob = d.unconsumed_tail if not d.eof else d.unused_data
-            if not piece and not blob and not d.eof:
-                raise ValueError("a cut archive")
-            yield piece
+def write_archives(pages: DataFrame, path: str, least: int = 1000, date: str | None = None, records: int = 5000, broadcast_rows: int = BROADCAST_ROWS) -> None:
+    """One record for each page, ``records`` to an archive at most; ``date``: that of the headers, now if it isn't given."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # within the task; a file begins at each multiple of `records`
+    value = F.concat(F.when(place % records == 0, info(date)).otherwise(""), record(date))
+    resolve(pages, least, broadcast_rows).select(value.alias("value")).write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
-def parse(blob: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Each record's headers and block."""
-    pieces, held = _inflate(blob), bytearray()
+def parse(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Each record's headers and block, from the pieces of archives in order."""
+    held = bytearray()
 
     def need(n: int) -> bool:
         while len(held) < n:
@@ -134,22 +134,26 @@ def read_archives(spark, path: str) -> DataFrame:
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column(0):
+        rows, held = [], 0
+        pieces = (x.as_py() + b"\n" for batch in batches for x in batch.column(0))
+        for h, block in parse(pieces):
+            kind = h["warc-type"]
+            if kind == "warcinfo":
+                continue
+            http, _, payload = block.partition(b"\r\n\r\n")
+            size = next(int(x[15:]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+            digest = h["warc-payload-digest"].removeprefix("sha1:")
+            if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
+                raise ValueError(f"record {h['warc-record-id']} does not match its digest")
+            rows.append((page(h["warc-record-id"]), size, digest, kind, page(h.get("warc-refers-to")), h.get("warc-target-uri"), payload if kind == "response" else None))
+            held += len(payload)
+            if held > common.BATCH_BYTES or len(rows) >= common.BATCH_ROWS:
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
                 rows, held = [], 0
-                for h, block in parse(blob.as_py()):
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    size = next(int(x[15:]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                    kind, digest = h["warc-type"], h["warc-payload-digest"].removeprefix("sha1:")
-                    if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
-                        raise ValueError(f"record {h['warc-record-id']} does not match its digest")
-                    rows.append((page(h["warc-record-id"]), size, digest, kind, page(h.get("warc-refers-to")), h.get("warc-target-uri"), payload if kind == "response" else None))
-                    held += len(payload)
-                    if held > common.BATCH_BYTES or len(rows) >= common.BATCH_ROWS:
-                        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
-                        rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(run, COLUMNS)
+        if rows:
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+
+    common.small_batches(spark)
+    # Files that are compressed as a whole aren't split, so a task gets whole archives, their pieces in order.
+    pieces = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.gz").text(path).select(F.col("value").cast("binary"))
+    return pieces.mapInArrow(run, COLUMNS)

@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from foliate.llm import bpe, common, decontam, grammar, html_diff, line_rules, neardup, pii, quality, queries, token_shards, toxicity, warc
@@ -381,6 +382,64 @@ def test_differencing_of_pages_without_articles(spark):
     assert html_diff.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_differencing_decides_lines_and_structure_overrules(spark):
+    """Copies aren't partners, the nearer path is; shared lines go but in articles; counts tell who decided."""
+    page = lambda menu, body, own="": f"<nav>{menu}</nav><p>Site of all{own}</p><article><p>{body}</p><p>A chance repeat</p></article><div class='comments'>said {own}</div>"
+    data = [(1, "http://h/a/1", page("Menu", "one", 1)), (2, "http://h/a/2", page("Menu", "one", 2)), (3, "http://h/b/1", page("Menu", "two", 3)), (4, "http://h/b/2", page("Other", "three", 4)), (5, "http://h/b/3", page("Menu", "two", 5))]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    parsed = common.store(html_diff._parsed(pages.withColumn("key", F.xxhash64("url", "html")).select("page_id", "key", "url", "html")), "t")
+    lines_of = {r.page_id: bytes(r.hashes) for r in parsed.collect()}
+    got = {r.page_id: bytes(r.partner) for r in html_diff._partners(parsed).collect()}
+    near = {1: (3, 5), 2: (3, 5), 3: (4,), 4: (3, 5), 5: (4,)}  # copies 1, 2 and 3, 5 stand for each other
+    assert got.keys() == near.keys() and all(got[k] in [lines_of[x] for x in v] for k, v in near.items())
+    out = {r.page_id: r for r in html_diff.extract(pages).collect()}
+    assert [out[k].text for k in range(1, 6)] == [f"{b} A chance repeat" for b in ("one", "one", "two", "three", "two")]
+    assert all(r.n_lines == 5 and r.n_overruled == 1 for r in out.values()) and out[1].n_shared == 2 and out[3].n_shared == 1
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_partners_across_tasks(spark, parts):
+    """Whatever the number of range partitions, each page meets its nearest different neighbour."""
+    random = np.random.default_rng(parts)
+    data = [(k, f"http://h{k // 40}/{chr(97 + k // 8 % 5)}/{k:03d}", f"<p>c{int(random.integers(0, 3)) if k % 40 < 30 else 7}</p><p>x</p>") for k in range(80)]
+    want = {}
+    contents = [h for _, _, h in data]
+    for k, u, h in data:
+        host = lambda j: data[j][1].split("/")[2]
+        before = next((j for j in range(k - 1, -1, -1) if host(j) == host(k) and contents[j] != h), None)
+        after = next((j for j in range(k + 1, 80) if host(j) == host(k) and contents[j] != h), None)
+        path = lambda j: data[j][1].split("/", 3)[3]
+        if before is None or after is not None and html_diff.common_start(path(k), path(after)) > html_diff.common_start(path(k), path(before)):
+            before = after
+        if before is not None:
+            want[k] = contents[before]
+    now = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        df = spark.createDataFrame([(i, i, u, h) for i, u, h in data], "page_id long, key long, url string, html string")
+        parsed = common.store(html_diff._parsed(df), "t")
+        of = {bytes(r.hashes): data[r.page_id][2] for r in parsed.collect()}
+        assert {r.page_id: of[bytes(r.partner)] for r in html_diff._partners(parsed).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", now)
+
+
+def test_very_long_pages_are_aligned_in_bounded_memory():
+    a = [k % 700 if k % 3 else k for k in range(20_000)]
+    b = [k % 700 if k % 5 else -k for k in range(20_000)]
+    own = html_diff.shared(a, b)
+    rest = iter(b)
+    assert sum(own) > 8000 and all(x in rest for x, s in zip(a, own, strict=True) if s)
+
+
+def test_op7_counts_against_brute_force(spark, sf, duck):
+    """Shared lines are those of a longest common subsequence with the partner; these tables' menus are random, so few pages share any."""
+    got = {r.page_id: r for r in queries.op7_html_extraction(spark, sf).collect()}
+    seen = {i: html_diff.visible(h) for i, h in duck.sql("SELECT page_id, html FROM pages").fetchall()}
+    assert all(r.n_lines == len(seen[i][0]) and 0 <= r.n_overruled <= r.n_shared <= r.n_lines for i, r in got.items())
+    assert sum(r.n_shared for r in got.values()) > 0
+
+
 def test_op7(spark, sf, duck):
     want = []
     for i, u, h in duck.sql("SELECT page_id, url, html FROM pages").fetchall():
@@ -433,6 +492,18 @@ def test_decontamination_in_groups(spark, docs, empty, group_words):
     assert decontam.decontaminate(empty, bench).count() == 0 and decontam.find_hits(docs, bench.limit(0)).filter("size(items) > 0").count() == 0
 
 
+def test_grouped_search_equals_one_search(spark, docs):
+    """Many item groups give what one gives, for whole, repeated and very long texts, in a job that writes no texts."""
+    random = np.random.default_rng(4)
+    word = lambda n: " ".join(f"w{k}" for k in random.integers(0, 30, n))
+    bench = spark.createDataFrame([(k, word(int(random.integers(1, 25)))) for k in range(30)] + [(90, None)], "item_id long, text string")
+    texts = [b.text for b in bench.collect()]
+    own = [(k, " ".join(f"x {texts[int(random.integers(0, 30))]} y" for _ in range(6))) for k in range(12)] + [(50, word(40_000)), (3, None), (3, ""), (None, texts[0])]
+    df = spark.createDataFrame([*own, own[0]], "doc_id long, text string")
+    one, many = (rows(decontam.find_hits(df, bench, 10, n, clean=True), "doc_id", "text", "spans", "items", "n_words") for n in (200_000, 60))
+    assert one == many and sum(bool(r[3]) for r in one) > 12
+
+
 def test_op8(spark, sf, duck):
     items = [(str(i), t) for i, t in duck.sql("SELECT item_id, text FROM benchmark").fetchall()]
     got = {r.doc_id: r for r in queries.op8_decontamination(spark, sf).collect()}
@@ -513,6 +584,21 @@ def test_registers_estimate_and_merge():
 # 10. WARC ----------------------------------------------------------------------------------------
 
 
+def test_archives_of_any_size_and_content(spark, tmp_path):
+    """Payloads of line ends and long ones come back whole; each archive begins with its own record; headers are dated afresh."""
+    import gzip
+
+    random = np.random.default_rng(6)
+    soup = lambda n: "".join("\r\nab"[k] for k in random.choice(4, n, p=[0.4, 0.4, 0.1, 0.1]))
+    data = [(k, f"u{k}", soup(int(n))) for k, n in enumerate([*random.integers(0, 300, 60), 70_000, 200_000])] + [(100, "u", "x" * 3_000_000)]
+    warc.write_archives(spark.createDataFrame(data, "page_id long, url string, html string"), f"{tmp_path}/a", records=7)
+    got = {r.page_id: r for r in warc.read_archives(spark, f"{tmp_path}/a").collect()}
+    assert {k: got[k].payload.decode() for k in got} == {k: h for k, _, h in data}
+    files = [gzip.decompress(p.read_bytes()) for p in (tmp_path / "a").glob("*.gz")]
+    assert len(files) >= 9 and all(x.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and x.endswith(b"\r\n\r\n") for x in files)
+    assert sum(x.count(b"WARC-Type: warcinfo") for x in files) == len(files) and b"WARC-Date: 20" in files[0] and b"WARC-Date: 2024-01-01T00" not in files[0]
+
+
 def test_op10_against_sql(spark, sf, same):
     same(queries.op10_warc_revisits(spark, sf), queries.ORACLES["op10_warc_revisits"])
 
