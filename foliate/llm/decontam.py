@@ -7,9 +7,11 @@ that, are hits.  Word pairs that no item holds end every run, so stretches witho
 enough adjacent item pairs are passed over in numpy before the automaton sees them.
 
 Words: ASCII letters lower-cased, digits and all characters beyond ASCII; everything
-else parts them.  Items are gathered to the driver and built into automata of
-``group_words`` words at most; documents pass one after another, in a stored table
-between passes, so neither the driver's nor a worker's automaton grows with the benchmark.
+else parts them.  Items are dealt out as groups of ``group_words`` words at most, each a
+broadcast of its own that the driver drops once it is sent, so neither the driver nor a
+worker ever holds more than one group.  With several groups, one job searches the texts
+for each; only hits (a digest of the text, spans and items) leave it, and they join the
+documents once.
 
 Defined results: null texts and items have no words; an item without words matches
 nothing; equal items both count; empty tables give no rows, or documents without
@@ -19,7 +21,9 @@ hits; columns of ``docs`` other than those named are ignored or, in
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,8 @@ from pyspark.sql import functions as F
 
 from foliate.llm import common
 
+#: Columns of what is found, and rows of hits up to which they are broadcast.
+FOUND, BROADCAST_ROWS = ("spans", "items", "n_words"), 100_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -175,61 +181,96 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def automata(benchmark: DataFrame, window: int, group_words: int) -> list[list[tuple[str, list[bytes]]]]:
-    """Items in groups of ``group_words`` words at most (an item longer than that alone)."""
-    groups: list[list[tuple[str, list[bytes]]]] = [[]]
-    held = 0
-    for row in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
+def item_groups(benchmark: DataFrame, group_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items in groups of ``group_words`` words at most (an item longer than that alone), one group at a time; one empty group without items."""
+    group: list[tuple[str, list[bytes]]] = []
+    held, some = 0, False
+    for row in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
         ws = words(row[1])
-        if groups[-1] and held + len(ws) > group_words:
-            groups.append([])
-            held = 0
-        groups[-1].append((row[0] if row[0] is not None else "", ws))
+        if group and held + len(ws) > group_words:
+            yield group
+            group, held, some = [], 0, True
+        group.append((row[0] if row[0] is not None else "", ws))
         held += len(ws)
-    return groups
+    if group or not some:
+        yield group
+
+
+_built: dict[str, ItemAutomaton] = {}
+
+
+def _automaton(name: str, shared, window: int) -> ItemAutomaton:
+    """The automaton of a broadcast group; a worker keeps the last one for its later tasks."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = ItemAutomaton(shared.value, window)
+    return _built[name]
+
+
+def _searched(docs: DataFrame, shared, names: list[str], window: int, clean: bool) -> DataFrame:
+    """``docs`` with ``spans, items, n_words`` of one group; with ``clean``, without the spans in ``text``."""
+    name, text_at = uuid.uuid4().hex, names.index("text")
+
+    def make():
+        automaton = _automaton(name, shared, window)
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            counts, all_spans, all_items, texts = [], [], [], []
+            for text in batch.column(text_at).to_pylist():
+                tokens = words(text)
+                spans, items = automaton.search(tokens)
+                counts.append(len(tokens))
+                all_spans.append([x for s in spans for x in s])
+                all_items.append(sorted(items))
+                texts.append(cut(text, all_spans[-1]) if clean and spans else text)
+            columns = list(batch.columns)
+            columns[text_at] = pa.array(texts, pa.string()) if clean else columns[text_at]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(all_spans, pa.list_(pa.int32())), pa.array(all_items, pa.list_(pa.string())), pa.array(counts, pa.int64())], names=[*names, *FOUND])
+
+        return each
+
+    kinds = dict(docs.dtypes)
+    return common.on_batches(docs.select(*names), make, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", spans array<int>, items array<string>, n_words long")
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, group_words: int = 200_000, clean: bool = False) -> DataFrame:
     """``docs`` with ``n_words long``, ``spans array<int>`` (starts and ends of hit word spans in turn) and ``items array<string>`` (items that hit, sorted).
 
-    With ``clean``, the texts are without the spans: in the same pass as the last
-    search, so that a task needs one Python worker.
+    With ``clean``, the texts are without the spans: in the same pass as the search where
+    there is one group, so that a task needs one Python worker.
     """
     spark = docs.sparkSession
-    names = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
-    rows = docs.select(*names, F.lit(None).cast("array<int>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    names = [c for c in docs.columns if c not in FOUND]
+    groups = [spark.sparkContext.broadcast(g) for g in item_groups(benchmark, group_words)]
+    if len(groups) == 1:
+        return _searched(docs, groups[0], names, window, clean)
+    of = F.sha1(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    texts = docs.select(of.alias("of"), F.col("text").cast("string").alias("text"))
+    # Equal texts hit alike, so that each group's hits of a text are one row.
+    passes = [_searched(texts, g, ["of", "text"], window, False).filter("size(items) > 0").select("of", F.lit(k).alias("k"), "spans", "items") for k, g in enumerate(groups)]
+    each = reduce(DataFrame.union, passes).groupBy("of", "k").agg(F.first("spans").alias("spans"), F.first("items").alias("items"))
+    hits = each.groupBy("of").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    hits = common.store(hits, "benchmark_hits")
+    few = hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    packed = docs.select(F.struct(*names).alias("row"), of.alias("of")).join(F.broadcast(hits) if few else hits, "of", "left").select("row.*", "spans", "items")
     text_at = names.index("text")
-    groups = automata(benchmark, window, group_words)
-    for k, group in enumerate(groups):
-        shared = spark.sparkContext.broadcast(group)
-        last = k + 1 == len(groups)
-
-        def make(shared=shared, cleans=clean and last):
-            automaton = ItemAutomaton(shared.value, window)
-
-            def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-                counts, all_spans, all_items, texts = [], [], [], []
-                before, had = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()
-                for text, old, own in zip(batch.column(text_at).to_pylist(), before, had, strict=True):
-                    tokens = words(text)
-                    spans, items = automaton.search(tokens)
-                    if old:
-                        spans = merged(spans + list(zip(old[::2], old[1::2], strict=True)))
-                    counts.append(len(tokens))
-                    all_spans.append([x for s in spans for x in s])
-                    all_items.append(sorted(items | set(own or ())))
-                    texts.append(cut(text, all_spans[-1]) if cleans and spans else text)
-                columns = list(batch.columns[: len(names)])
-                columns[text_at] = pa.array(texts, pa.string()) if cleans else columns[text_at]
-                return pa.RecordBatch.from_arrays([*columns, pa.array(all_spans, pa.list_(pa.int32())), pa.array(all_items, pa.list_(pa.string())), pa.array(counts, pa.int64())], names=[*names, "spans", "items", "n_words"])
-
-            return each
-
-        rows = common.on_batches(rows.select(*names, "spans", "items"), make, f"{kinds}, n_words long")
-        if not last:
-            rows = common.store(rows, "decontamination")
-    return rows
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts, spans = batch.column(text_at).to_pylist(), []
+            for own in batch.column(len(names)).to_pylist():
+                own = own or []
+                spans.append([x for s in merged(list(zip(own[::2], own[1::2], strict=True))) for x in s])
+            columns = list(batch.columns[: len(names)])
+            if clean:
+                columns[text_at] = pa.array([cut(t, s) if s else t for t, s in zip(texts, spans, strict=True)], pa.string())
+            items = [x or [] for x in batch.column(len(names) + 1).to_pylist()]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), pa.array([len(words(t)) for t in texts], pa.int64())], names=[*names, *FOUND])
+
+        return each
+
+    kinds = dict(docs.dtypes)
+    return common.on_batches(packed, make, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", spans array<int>, items array<string>, n_words long")
 
 
 def cut(text: str, spans: list[int]) -> str:
