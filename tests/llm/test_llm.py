@@ -675,3 +675,64 @@ def test_large_bands_are_parted_further(spark):
 def test_op9(spark, sf, duck):
     documents = duck.sql("SELECT doc_id, text FROM documents").fetchall()
     assert rows(queries.op9_near_duplicates(spark, sf), "doc_id", "n_shingles", "component_id", "kept") == brute_groups(documents)
+
+
+def test_names_corefer_and_stay_apart(spark):
+    """One name for all forms of address and bare mentions; odd spellings are found; the key decides."""
+    text = "Mr. John Smith came. John Smith said hi. Dr. John Smith left. Mrs. McDonald, Mr. O'Neil, MR. JOHN SMITH. Smiths stay, fe80::1:ab, de89 3704 0044 0532 0130 00."
+    df = spark.createDataFrame([(1, text), (2, "Prof. Ann Smith's dog"), (3, "the same 10:20 and a::b, mp34 this that with")], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.replace(df, "one key").collect()}
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) came\. (\w+ \w+) said hi\. Dr\. (\w+ \w+) left\. Mrs\. (\w+), Mr\. (\w+), MR\. (\w+ \w+)\. Smiths stay, ([0-9a-f]{4}::\d:[0-9a-f]{2}), (de\d\d \d{4} \d{4} \d{4} \d{4} \d\d)\.", out[1])
+    name = f"{m[1]} {m[2]}"
+    assert m[1] in pii.MALE_NAMES and m[3] == m[4] == name and m[7] == name.upper() and not set(re.findall(r"\w+", out[1])) & {"John", "Smith", "McDonald", "Neil", "JOHN", "SMITH"}
+    iban = m[9].replace(" ", "").upper()
+    assert m[8] != "fe80::1:ab" and int("".join(str(int(x, 36)) for x in iban[4:] + iban[:4])) % 97 == 1
+    assert re.fullmatch(rf"Prof\. \w+ {m[2]}'s dog", out[2]) and out[3] == df.filter("doc_id = 3").first().text
+    assert pii.replace(df, "another key").filter("doc_id = 1").first().text != out[1]
+
+
+def test_permutations_are_bijections(spark):
+    """All values of a small shape map to all of them, none to itself, and cards that differ in the check digit alone stay apart."""
+    values = [("SECRET", f"{k:03d}") for k in range(1000)] + [("IPV4", f"1.{k}.0.5") for k in range(10, 60)] + [("CARD", f"411111111111{k:04d}") for k in range(500)] + [("HEX", f"{k:02x}") for k in range(256)] + [("EMAIL", f"{a}@{b}.co") for a in "abcdef" for b in "abcdef"]
+    keyed = pii.Keyed("k")
+    df = spark.createDataFrame(values, "kind string, own string")
+    got = {(r.kind, r.own): r.made for r in pii._first(df, "own", keyed).select("kind", "own", F.col(pii.FIRST).alias("made")).collect()}
+    assert len(got) == len(values) and all(o != m for (_, o), m in got.items())
+    assert len({(k, m) for (k, _), m in got.items()}) == len(values)
+    assert {m for (k, _), m in got.items() if k == "SECRET"} == {f"{k:03d}" for k in range(1000)}
+    assert all(luhn(o) == luhn(m) and len(o) == len(m) for (k, o), m in got.items() if k == "CARD")
+
+
+def test_full_shapes_end_and_stay_distinct(spark):
+    """A corpus that holds every value of a shape still gets distinct surrogates, and none stays as it was."""
+    df = spark.createDataFrame([(k, f"see {k // 81 + 1}.{k // 9 % 9 + 1}.{k % 9 + 1}.0 there, ssn {k % 10}23-45-6789") for k in range(729)], "doc_id long, text string")
+    out = [r.text for r in pii.replace(df).orderBy("doc_id").collect()]
+    assert len({t.split(" ")[1] for t in out}) == 729 and len({t.split(" ")[-1] for t in out}) == 10
+    assert all(a.text.split(" ")[1] != b.split(" ")[1] for a, b in zip(df.orderBy("doc_id").collect(), out, strict=True))
+
+
+def test_op4_against_brute_force(spark, sf, duck):
+    """Over the tables: what isn't an entity stays, equal entities have equal surrogates, different ones different, and no form with digits is left."""
+    texts = dict(duck.sql("SELECT doc_id, text FROM documents").fetchall())
+    entities = {r.doc_id: r for r in pii.found(common.table(spark, sf, "documents")).select("doc_id", F.col(pii.FOUND).alias("f")).collect()}
+    there, back, n = {}, {}, 0
+    for r in queries.op4_surrogates(spark, sf).collect():
+        own, at, made, to = entities[r.doc_id].f, 0, r.text, 0
+        if not own:
+            assert made == texts[r.doc_id]
+            continue
+        assert [e.kind for e in own] == r.entities
+        people = any(e.kind == "PERSON" for e in own)
+        for e in own:
+            start = texts[r.doc_id].index(e.match, at)
+            gap = texts[r.doc_id][at:start]
+            if people:
+                break
+            assert made[to : to + len(gap)] == gap
+            new = made[to + len(gap) : to + len(gap) + len(e.match)]  # all but names keep their length
+            assert new != e.match and [c.isdigit() for c in new] == [c.isdigit() for c in e.match]
+            if e.kind in ("IPV4", "SSN"):
+                n += 1
+                assert there.setdefault((e.kind, e.match), new) == new and back.setdefault((e.kind, new), e.match) == e.match
+            at, to = start + len(e.match), to + len(gap) + len(e.match)
+    assert n
