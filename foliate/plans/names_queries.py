@@ -17,7 +17,7 @@ TITLES = """SELECT p_partkey AS k, concat('id-', md5(p_name)) AS id, CASE p_part
     WHEN 4 THEN concat(repeat(p_name, 30), '?') WHEN 5 THEN concat(p_type, chr(10), '<', p_name, '>') WHEN 6 THEN 'LPT1' WHEN 7 THEN '' ELSE p_name END AS title FROM {part}"""
 URLS = "SELECT page_id AS k, CASE page_id % 7 WHEN 0 THEN replace(url, 'http', 'HTTP') WHEN 1 THEN concat(url, '%20a+b') WHEN 2 THEN 'not a url' ELSE url END AS u FROM {pages}"
 LINKS = f"SELECT c_custkey AS k, CASE c_custkey % 6 WHEN 0 THEN concat('https://www.notion.so/Title-', {_HEX}) WHEN 1 THEN concat('https://notion.so/', {_DASH}, '?v=1') WHEN 2 THEN concat('http://notion.so/', {_HEX}) WHEN 3 THEN concat('https://notion.so.example.com/', {_HEX}) WHEN 4 THEN concat('https://TEAM.notion.so/a/b-', {_HEX}, '/#x') ELSE c_name END AS u FROM {{customer}}"
-WORDS = "SELECT doc_id AS k, concat(substr(text, 1, 80), CASE doc_id % 5 WHEN 0 THEN ' <b> & | ]' WHEN 1 THEN '.MD' WHEN 2 THEN concat(chr(92), 'x.md') WHEN 3 THEN ' -- > ' ELSE '' END) AS t FROM {documents}"
+WORDS = "SELECT doc_id AS k, concat(text, CASE doc_id % 5 WHEN 0 THEN ' <b> & | ]' WHEN 1 THEN '.MD' WHEN 2 THEN concat(chr(92), 'x.md') WHEN 3 THEN ' -- > ' ELSE '' END) AS t FROM {documents}"
 
 _NORMAL = "CASE WHEN regexp_full_match(v, '[0-9a-f]{32}|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}', 'i') THEN lower(replace(v, '-', '')) END"
 _TRAIL = "lower(replace(nullif(regexp_extract({x}, '(?:[0-9a-f]{{32}}|[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}})$', 0, 'i'), ''), '-', ''))"
@@ -107,7 +107,7 @@ register("G19_flat_blocks", {"src": _BLOCKS}, lambda src: src.select("k", texts.
         WHEN 'code' THEN '```' || role || chr(10) || t || chr(10) || '```'
         ELSE CASE WHEN kind = 'image' AND turn % 2 = 1 THEN '![' || t || '](https://x.example/i)' WHEN kind = 'file' AND turn % 2 = 1 THEN '[' || coalesce(nullif(t, ''), 'File') || '](https://x.example/i)'
             ELSE '[Unsupported block: ' || replace(kind, '--', '-') || ']' || chr(10) || '<!-- foliate: unsupported block type=' || replace(kind, '--', '-') || ' id=' || replace(k, '--', '-') || ' -->' END END AS out FROM src""")
-_RICH = "SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS k, substr(text, 1, 20) AS t, turn % 2 = 0 AS b, turn % 3 = 0 AS i, conv_id % 2 = 0 AS cd, CASE WHEN conv_id % 3 = 0 THEN 'https://x.example' END AS href FROM {conversations}"
+_RICH = "SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS k, text AS t, turn % 2 = 0 AS b, turn % 3 = 0 AS i, conv_id % 2 = 0 AS cd, CASE WHEN conv_id % 3 = 0 THEN 'https://x.example' END AS href FROM {conversations}"
 register("G20_rich_text", {"src": _RICH}, lambda src: src.select("k", texts.rich_text(F.array(F.struct(c("t").alias("plain"), c("cd").alias("code"), c("b").alias("bold"), c("i").alias("italic"), F.lit(None).cast("boolean").alias("strike"), c("href")), F.struct(F.lit("!").alias("plain"), F.lit(False).alias("code"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), F.lit(True).alias("strike"), F.lit(None).cast("string").alias("href")))).alias("out")),
          "SELECT k, CASE WHEN href IS NULL THEN x ELSE '[' || x || '](' || href || ')' END || '~~!~~' AS out FROM (SELECT *, CASE WHEN i THEN '*' || y || '*' ELSE y END AS x FROM (SELECT *, CASE WHEN b THEN '**' || z || '**' ELSE z END AS y FROM (SELECT *, CASE WHEN cd THEN '`' || t || '`' ELSE t END AS z FROM src)))")
 _SIX = "SELECT event_id AS k, CASE event_id % 8 WHEN 0 THEN '::1' WHEN 1 THEN '2606:4700::1' WHEN 2 THEN '2001:db8::7' WHEN 3 THEN '2001:20::5' WHEN 4 THEN '::ffff:10.0.0.1' WHEN 5 THEN '::ffff:8.8.8.8' WHEN 6 THEN 'nothing' ELSE '2002::1' END AS ip FROM {events}"

@@ -80,7 +80,7 @@ _SETS = {"a": "SELECT o_custkey AS k FROM {orders} WHERE o_orderstatus = 'F'", "
 register("S1_concatenation", _SETS, lambda a, b: a.unionByName(b), "SELECT k FROM a UNION ALL SELECT k FROM b")
 register("S2_difference", _SETS, lambda a, b: a.subtract(b), "SELECT k FROM a EXCEPT SELECT k FROM b")
 register("S3_multiset", _SETS, lambda a, b: a.exceptAll(b), "SELECT k FROM a EXCEPT ALL SELECT k FROM b")
-_PLAN = "SELECT CAST(l_orderkey AS STRING) AS id, CASE l_linenumber % 3 WHEN 0 THEN 'WRITE' WHEN 1 THEN 'MOVE' ELSE 'TRASH' END AS kind, CASE WHEN l_linenumber % 3 = 0 THEN NULL WHEN l_partkey % 97 = 0 THEN '../x.md' ELSE concat(l_returnflag, CAST(l_orderkey AS STRING), '.md') END AS source_path, CASE WHEN l_linenumber % 3 = 2 THEN NULL ELSE concat(CASE WHEN l_partkey % 2 = 0 THEN 'A' ELSE 'a' END, CAST(l_partkey AS STRING), '.md') END AS target_path, CASE WHEN l_partkey % 89 = 0 THEN 'unmanaged' ELSE 'managed' END AS target_state, l_suppkey % 50 > 0 AS managed FROM {lineitem} WHERE l_linenumber < 4"
+_PLAN = "SELECT CAST(l_orderkey AS STRING) AS id, CASE l_linenumber % 3 WHEN 0 THEN 'WRITE' WHEN 1 THEN 'MOVE' ELSE 'TRASH' END AS kind, CASE WHEN l_linenumber % 3 = 0 THEN NULL WHEN l_partkey % 97 = 0 THEN '../x.md' ELSE concat(l_returnflag, CAST(l_orderkey AS STRING), '.md') END AS source_path, CASE WHEN l_linenumber % 3 = 2 THEN NULL ELSE concat(CASE WHEN l_partkey % 2 = 0 THEN 'A' ELSE 'a' END, CAST(l_partkey AS STRING), '.md') END AS target_path, CASE WHEN l_partkey % 89 = 0 THEN 'unmanaged' ELSE 'managed' END AS target_state, l_suppkey % 50 > 0 AS managed FROM {lineitem}"
 register("H12_violations", {"p": _PLAN}, lambda p: diff.violations(p, False, 100_000).groupBy("rule").agg(F.count("*").alias("n")), """, v AS (SELECT 'unmanaged_write' AS rule FROM p WHERE kind = 'WRITE' AND target_state = 'unmanaged' UNION ALL SELECT 'outside_root' FROM p WHERE source_path LIKE '../%' UNION ALL SELECT 'unmanaged_destructive' FROM p WHERE kind IN ('MOVE', 'TRASH') AND NOT managed
     UNION ALL SELECT 'partial_trash' FROM p WHERE kind = 'TRASH' UNION ALL SELECT 'shared_output' FROM (SELECT DISTINCT id FROM p WHERE kind IN ('WRITE', 'MOVE') AND lower(target_path) IN (SELECT lower(target_path) FROM p WHERE kind IN ('WRITE', 'MOVE') GROUP BY 1 HAVING count(DISTINCT id) > 1))
     UNION ALL SELECT 'too_much_trash' WHERE (SELECT count(*) FROM p WHERE kind = 'TRASH') > 50) SELECT rule, count(*) AS n FROM v GROUP BY rule""")
@@ -100,7 +100,7 @@ _VSQL = """, j AS (SELECT f.path, marker_id AS id, CASE WHEN symlink THEN 'symli
     v AS (SELECT type, path, id FROM j WHERE type IS NOT NULL UNION ALL SELECT 'missing_file', coalesce(local_path, expected_path), id FROM r WHERE status = 'active' AND id NOT IN (SELECT id FROM j WHERE id IS NOT NULL AND (type IS NULL OR type = 'content_mismatch')) UNION ALL SELECT 'missing_asset', local_path, page_id FROM a WHERE local_path NOT IN (SELECT path FROM af))"""
 register("H17_verify", _VERIFY, audit.verify, _VSQL + " SELECT * FROM v")
 register("H17_verify_summary", _VERIFY, lambda *x: audit.verify(*x).groupBy("type").agg(F.count("*").alias("n")), _VSQL + " SELECT type, count(*) AS n FROM v GROUP BY type")
-_CF = "SELECT CASE l_linenumber % 3 WHEN 0 THEN concat('.trash/', CAST(l_partkey AS STRING), '.md') WHEN 1 THEN concat('e/', CAST(l_partkey AS STRING), '.md') ELSE concat('l/', CAST(l_partkey AS STRING), '.md') END AS path, CAST(l_partkey AS STRING) AS id, l_quantity > 48 AS temporary, CASE WHEN l_suppkey % 2 = 0 THEN 'h' ELSE 'g' END AS content_hash, l_suppkey % 3 AS inode FROM {lineitem} WHERE l_orderkey % 6 = 0"
+_CF = "SELECT CASE l_linenumber % 3 WHEN 0 THEN concat('.trash/', CAST(l_partkey AS STRING), '.md') WHEN 1 THEN concat('e/', CAST(l_partkey AS STRING), '.md') ELSE concat('l/', CAST(l_partkey AS STRING), '.md') END AS path, CAST(l_partkey AS STRING) AS id, l_quantity > 48 AS temporary, CASE WHEN l_suppkey % 2 = 0 THEN 'h' ELSE 'g' END AS content_hash, l_suppkey % 3 AS inode FROM {lineitem}"
 _CR = "SELECT CAST(p_partkey AS STRING) AS id, CASE p_size % 3 WHEN 0 THEN NULL WHEN 1 THEN concat('l/', CAST(p_partkey AS STRING), '.md') ELSE concat('e/', CAST(p_partkey AS STRING), '.md') END AS local_path, concat('e/', CAST(p_partkey AS STRING), '.md') AS expected_path, 'h' AS content_hash FROM {part} WHERE p_partkey % 7 > 0"
 register("H18_crash_findings", {"f": _CF.replace("SELECT CASE", "SELECT DISTINCT CASE"), "r": _CR}, lambda f, r: audit.recover(match.first_of(f, ["path", "id"], ["temporary", "content_hash", "inode"]), r).groupBy("type").agg(F.count("*").alias("n")), """
     , g AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY path, id ORDER BY temporary, content_hash, inode) = 1), s AS (SELECT * FROM g WHERE NOT temporary),

@@ -44,17 +44,17 @@ _TITLED = f"SELECT c_custkey AS k, concat({O}, '\"a\":', {O}, '\"type\":\"number
 register("B4_page_title", {"src": _TITLED}, lambda src: src.select("k", props.page_title(c("j")).alias("title")), "SELECT k, CASE WHEN k % 4 = 0 THEN '' ELSE c_name || '!' END AS title FROM src")
 _RAWS = f"SELECT doc_id AS k, source, concat({O}, '\"file\":', {_OBJ(('url', _S("concat('https://h/', source, '?s=1')")))}, ',\"external\":', {_OBJ(('url', _S("'https://h/x?s=1'")))}, ',\"l\":[\"', CASE WHEN doc_id % 2 = 0 THEN '<https://prod-files-secure.s3.amazonaws.com/a?Signature=1>' ELSE 'plain' END, '\"]', {E}) AS j FROM {{documents}}"
 register("P15_stabilised_json", {"src": _RAWS}, lambda src: props.stabilise(src.select("k", "j"), "j"), f"SELECT k, {O} || '\"file\":' || {O} || '\"url\":\"https://h/' || source || '\"' || {E} || ',\"external\":' || {O} || '\"url\":\"https://h/x?s=1\"' || {E} || ',\"l\":[\"' || CASE WHEN k % 2 = 0 THEN '<https://prod-files-secure.s3.amazonaws.com/a>' ELSE 'plain' END || '\"]' || {E} AS j, CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS replaced, 0::BIGINT AS unsafe FROM src")
-#: Documents with markup around their first line.
+#: Documents with markup around and beside their whole texts.
 _N = "chr(10)"
 PAGES = f"""SELECT doc_id AS id, CASE doc_id % 8
-    WHEN 0 THEN concat('<callout type="tip">', {_N}, substr(text, 1, 20), {_N}, '</callout>')
-    WHEN 1 THEN concat('<columns>', {_N}, '<column>', {_N}, 'a', {_N}, '</column>', {_N}, '<column>', {_N}, source, {_N}, '</column>', {_N}, '</columns>')
+    WHEN 0 THEN concat('<callout type="tip">', {_N}, text, {_N}, '</callout>')
+    WHEN 1 THEN concat('<columns>', {_N}, '<column>', {_N}, 'a', {_N}, '</column>', {_N}, '<column>', {_N}, 'b', {_N}, '</column>', {_N}, '</columns>', {_N}, text)
     WHEN 2 THEN concat('<table header-row="true"><tr><td>', source, '</td><td>b</td></tr><tr><td>1|2</td><td>', lang, '</td></tr></table>')
-    WHEN 3 THEN concat('<synced_block url="x">', {_N}, source, {_N}, '</synced_block>', {_N}, 'after')
+    WHEN 3 THEN concat('<synced_block url="x">', {_N}, source, {_N}, '</synced_block>', {_N}, text)
     WHEN 4 THEN concat('[', source, '](https://www.notion.so/P-', md5(source), ') `[c](https://www.notion.so/', md5(source), ')`')
-    WHEN 5 THEN concat('![i](https://prod-files-secure.s3.amazonaws.com/', source, '?X-Amz-Signature=1) end')
+    WHEN 5 THEN concat('![i](https://prod-files-secure.s3.amazonaws.com/', source, '?X-Amz-Signature=1) ', text)
     WHEN 6 THEN concat('x', {_N}, {_N}, '<empty-block/>', {_N}, {_N}, 'y', {_N}, '```', {_N}, '<empty-block/>', {_N}, '```')
-    ELSE concat('<span color="red">', source, '</span> <span underline="true">u</span>') END AS text, source, lang, substr(text, 1, 20) AS head FROM {{documents}}"""
+    ELSE concat('<span color="red">', source, '</span> <span underline="true">u</span> ', text) END AS text, source, lang, text AS head FROM {{documents}}"""
 
 
 def page(name: str, build, sql: str | None) -> None:
@@ -63,20 +63,22 @@ def page(name: str, build, sql: str | None) -> None:
 
 page("G1_empty_blocks", lambda s: pages.rewrite(s, markdown.empty_blocks, "(?i)<empty-block"), f"SELECT id, CASE WHEN id % 8 = 6 THEN 'x' || {_N} || {_N} || 'y' || {_N} || '```' || {_N} || '<empty-block/>' || {_N} || '```' ELSE text END AS text FROM src")
 page("G2_enhanced", lambda s: pages.rewrite(s, markdown.enhanced, "<"), None)
-page("G3_callouts", lambda s: pages.rewrite(s, markdown.callouts, "(?i)<callout"), f"SELECT id, CASE WHEN id % 8 = 0 THEN '> [!tip]' || {_N} || regexp_replace('> ' || replace(trim(head, {_N}), {_N}, {_N} || '> '), '[ ]+$', '') ELSE text END AS text FROM src")
-page("G4_columns", lambda s: pages.rewrite(s, markdown.columns, "(?i)<columns"), f"SELECT id, CASE WHEN id % 8 = 1 THEN 'a' || {_N} || {_N} || source ELSE text END AS text FROM src")
+page("G3_callouts", lambda s: pages.rewrite(s, markdown.callouts, "(?i)<callout"), f"SELECT id, CASE WHEN id % 8 = 0 THEN '> [!tip]' || {_N} || regexp_replace('> ' || replace(trim(head, {_N}), {_N}, {_N} || '> '), '[ ]+(\n|$)', '\1', 'g') ELSE text END AS text FROM src")
+page("G4_columns", lambda s: pages.rewrite(s, markdown.columns, "(?i)<columns"), f"SELECT id, CASE WHEN id % 8 = 1 THEN 'a' || {_N} || {_N} || 'b' || {_N} || head ELSE text END AS text FROM src")
 page("G5_tables", lambda s: pages.rewrite(s, markdown.tables, "(?i)<table"), f"SELECT id, CASE WHEN id % 8 = 2 THEN '| ' || source || ' | b |' || {_N} || '| --- | --- |' || {_N} || '| 1' || chr(92) || '|2 | ' || lang || ' |' ELSE text END AS text FROM src")
-page("G7_synced", lambda s: pages.rewrite(s, markdown.synced, "(?i)<synced_block"), f"SELECT id, CASE WHEN id % 8 = 3 THEN source || {_N} || {_N} || 'after' ELSE text END AS text FROM src")
-page("G8_small_tags", lambda s: pages.rewrite(s, markdown.small_tags, "(?i)<(span|table_of_contents)"), "SELECT id, CASE WHEN id % 8 = 7 THEN '==' || source || '== <u>u</u>' ELSE text END AS text FROM src")
-page("G9_signed_urls", pages.stabilised, "SELECT id, CASE WHEN id % 8 = 5 THEN '![i](https://prod-files-secure.s3.amazonaws.com/' || source || ') end' ELSE text END AS text, CASE WHEN id % 8 = 5 THEN 1 ELSE 0 END::BIGINT AS replaced, 0::BIGINT AS unsafe FROM src")
+page("G7_synced", lambda s: pages.rewrite(s, markdown.synced, "(?i)<synced_block"), f"SELECT id, CASE WHEN id % 8 = 3 THEN source || {_N} || {_N} || head ELSE text END AS text FROM src")
+page("G8_small_tags", lambda s: pages.rewrite(s, markdown.small_tags, "(?i)<(span|table_of_contents)"), "SELECT id, CASE WHEN id % 8 = 7 THEN '==' || source || '== <u>u</u> ' || head ELSE text END AS text FROM src")
+page("G9_signed_urls", pages.stabilised, "SELECT id, CASE WHEN id % 8 = 5 THEN '![i](https://prod-files-secure.s3.amazonaws.com/' || source || ') ' || head ELSE text END AS text, CASE WHEN id % 8 = 5 THEN 1 ELSE 0 END::BIGINT AS replaced, 0::BIGINT AS unsafe FROM src")
 page("E6_replacement_totals", lambda s: pages.stabilised(s).agg(F.sum("replaced").alias("replaced"), F.sum("unsafe").alias("unsafe")), "SELECT count(*) FILTER (id % 8 = 5) AS replaced, 0::BIGINT AS unsafe FROM src")
-page("G10_fences", lambda s: pages.rewrite(s, markdown.fences, "```|~~~"), "SELECT id, text FROM src")
-page("G11_split_callouts", lambda s: pages.rewrite(s, markdown.split_callouts, "(?i)continued="), "SELECT id, text FROM src")
-page("G12_inline_tags", lambda s: pages.rewrite(s.withColumn("text", F.when(c("id") % 2 == 0, F.concat(F.lit('<span color="red"><u>'), "source", F.lit("</span></u>"))).otherwise(c("text"))), markdown.inline_tags, "(?i)<span"), "SELECT id, CASE WHEN id % 2 = 0 THEN '<span color=\"red\"><u>' || source || '</span></u>' WHEN id % 8 = 7 THEN '==' || source || '== <u>u</u>' ELSE text END AS text FROM src")
-page("G13_bold", lambda s: pages.rewrite(s.withColumn("text", F.concat(F.lit("x**(a)**y "), "source")), markdown.bold, r"\*\*"), "SELECT id, 'x' || chr(8203) || '**(a)**' || chr(8203) || 'y ' || source AS text FROM src")
+_BROKEN = lambda: F.concat(F.lit("1. item\n   ```py\nx = 1\n```\n"), "head")
+page("G10_fences", lambda s: pages.rewrite(s.withColumn("text", F.when(c("id") % 2 == 0, _BROKEN()).otherwise(c("text"))), markdown.fences, "```|~~~"), f"SELECT id, CASE WHEN id % 2 = 0 THEN '1. item' || {_N} || '   ```py' || {_N} || 'x = 1' || {_N} || '   ```' || {_N} || head ELSE text END AS text FROM src")
+_SPLIT = lambda: F.concat(F.lit('<callout type="tip">\nA\n</callout>\n<callout continued="true">\n'), "head", F.lit("\n</callout>"))
+page("G11_split_callouts", lambda s: pages.rewrite(s.withColumn("text", F.when(c("id") % 2 == 0, _SPLIT()).otherwise(c("text"))), markdown.split_callouts, "(?i)continued="), f"SELECT id, CASE WHEN id % 2 = 0 THEN '<callout type=\"tip\">' || {_N} || 'A' || {_N} || head || {_N} || '</callout>' ELSE text END AS text FROM src")
+page("G12_inline_tags", lambda s: pages.rewrite(s.withColumn("text", F.when(c("id") % 2 == 0, F.concat(F.lit('<span color="red"><u>'), "source", F.lit("</span></u>"))).otherwise(c("text"))), markdown.inline_tags, "(?i)<span"), "SELECT id, CASE WHEN id % 2 = 0 THEN '<span color=\"red\"><u>' || source || '</span></u>' WHEN id % 8 = 7 THEN '==' || source || '== <u>u</u> ' || head ELSE text END AS text FROM src")
+page("G13_bold", lambda s: pages.rewrite(s.withColumn("text", F.concat(F.lit("x**(a)**y "), "head")), markdown.bold, r"\*\*"), "SELECT id, 'x' || chr(8203) || '**(a)**' || chr(8203) || 'y ' || head AS text FROM src")
 page("G17_links", lambda s: pages.linked(s, s.select(F.md5("source").alias("target"), F.concat(F.lit("Root/"), "source", F.lit(".md")).alias("path")).distinct()), "SELECT id, CASE WHEN id % 8 = 4 THEN '[[Root/' || source || '|' || source || ']] `[c](https://www.notion.so/' || md5(source) || ')`' ELSE text END AS text FROM src")
-page("G18_asset_urls", lambda s: pages.rewrite(s.withColumn("text", F.concat(F.lit("![a](https://x/1) "), "source")), lambda t: markdown.asset_urls(t, {"https://x/1": "_assets/1 a.png"}), "https://"), "SELECT id, '![a](<_assets/1 a.png>) ' || source AS text FROM src")
-page("G21_tokens", lambda s: pages.rewrite(s.withColumn("text", F.concat(F.lit("<unknown id=1/> "), "source")), lambda t: markdown.tokens(t, ["done"]) or t, "<unknown"), "SELECT id, 'done ' || source AS text FROM src")
+page("G18_asset_urls", lambda s: pages.rewrite(s.withColumn("text", F.concat(F.lit("![a](https://x/1) "), "head")), lambda t: markdown.asset_urls(t, {"https://x/1": "_assets/1 a.png"}), "https://"), "SELECT id, '![a](<_assets/1 a.png>) ' || head AS text FROM src")
+page("G21_tokens", lambda s: pages.rewrite(s.withColumn("text", F.concat(F.lit("<unknown id=1/> "), "head")), lambda t: markdown.tokens(t, ["done"]) or t, "<unknown"), "SELECT id, 'done ' || head AS text FROM src")
 page("G23_assets", pages.assets, "SELECT id, CASE WHEN id % 8 = 5 THEN 'image' ELSE 'file' END AS kind, CASE WHEN id % 8 = 5 THEN 'https://prod-files-secure.s3.amazonaws.com/' || source || '?X-Amz-Signature=1' ELSE 'https://www.notion.so/P-' || md5(source) END AS url, CASE WHEN id % 8 = 5 THEN 'i' ELSE source END AS caption, 0::BIGINT AS occurrence FROM src WHERE id % 8 IN (4, 5)")
 page("G15_front_matter", lambda s: pages.rewrite(s.withColumn("text", F.col("source")), lambda t: markdown.front_matter([("managed_by", "foliate"), ("title", t), ("parent", None)])), f"SELECT id, '---' || {_N} || 'managed_by: foliate' || {_N} || 'title: ' || source || {_N} || '---' || {_N} AS text FROM src")
 register("G16_source_index", {"src": "SELECT n_regionkey AS source, n_nationkey AS place, n_name AS title, concat('d', CAST(n_nationkey AS STRING), '.md') AS path FROM {nation}"}, lambda src: src.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.concat(F.lit("- [["), texts.index_path(c("path")), F.lit("|"), texts.index_alias(c("title")), F.lit("]]")).alias("line")))), lambda x: x["line"]), "\n").alias("out")), f"SELECT source, string_agg('- [[d' || place || '|' || title || ']]', {_N} ORDER BY place) AS out FROM src GROUP BY source")

@@ -113,7 +113,7 @@ register("A1_cursor_pages", {"src": _PAGED.replace("array(", "array(")}, lambda
 register("A1_page_contract", {"src": _PAGED.replace("CASE WHEN event_id % 97 = 0 THEN NULL ELSE array(event_type, CAST(user_id AS STRING)) END", "CASE WHEN event_id % 97 = 0 THEN NULL ELSE event_type END")}, tables.page_violations, "SELECT collection, page_no, CASE WHEN results IS NULL THEN 'malformed' ELSE 'no_cursor' END AS reason FROM src WHERE results IS NULL OR (has_more AND next_cursor IS NULL)")
 register("A3_invalid_rows", {"src": "SELECT CASE WHEN event_id % 5 = 0 THEN 'database' WHEN event_id % 7 = 0 THEN NULL ELSE 'page' END AS object, CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(event_id AS STRING) END AS id FROM {events}"}, tables.invalid_rows, "SELECT * FROM src WHERE NOT coalesce(object = 'page', false) OR id IS NULL")
 register("A5_page_scan", {"src": "SELECT doc_id AS id, text AS markdown, doc_id % 5 = 0 AS truncated, CASE WHEN doc_id % 7 = 0 THEN 'b1' END AS unknown_block FROM {documents}"}, lambda src: src.select("id", F.length("markdown").cast("long").alias("n"), (~c("truncated") & c("unknown_block").isNull()).alias("complete")), "SELECT id, length(markdown) AS n, NOT truncated AND unknown_block IS NULL AS complete FROM src")
-register("A6_fallback_choice", {"src": "SELECT doc_id AS id, substr(text, 1, 30) AS markdown, source AS rendered, doc_id % 5 = 0 AS truncated, doc_id % 7 = 0 AS unresolved FROM {documents}"}, lambda src: src.select("id", F.when(c("truncated") | c("unresolved"), c("rendered")).otherwise(c("markdown")).alias("body")), "SELECT id, CASE WHEN truncated OR unresolved THEN rendered ELSE markdown END AS body FROM src")
+register("A6_fallback_choice", {"src": "SELECT doc_id AS id, text AS markdown, source AS rendered, doc_id % 5 = 0 AS truncated, doc_id % 7 = 0 AS unresolved FROM {documents}"}, lambda src: src.select("id", F.when(c("truncated") | c("unresolved"), c("rendered")).otherwise(c("markdown")).alias("body")), "SELECT id, CASE WHEN truncated OR unresolved THEN rendered ELSE markdown END AS body FROM src")
 register("A9_request_slots", {"src": "SELECT user_id AS client, event_id AS n, epoch_s FROM (SELECT user_id, event_id, CAST(event_id % 1000 AS DOUBLE) AS epoch_s FROM {events}) x"}, lambda src: src.selectExpr("client", "n", "max(epoch_s - 0.4 * (rn - 1)) over (partition by client order by rn) + 0.4 * (rn - 1) as slot") if "rn" in src.columns else src.selectExpr("client", "n", "epoch_s", "row_number() over (partition by client order by n) as rn").selectExpr("client", "n", "max(epoch_s - 0.4d * (rn - 1)) over (partition by client order by rn rows between unbounded preceding and current row) + 0.4d * (rn - 1) as slot"), "SELECT client, n, max(epoch_s - 0.4::DOUBLE * (rn - 1)) OVER (PARTITION BY client ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + 0.4::DOUBLE * (rn - 1) AS slot FROM (SELECT *, row_number() OVER (PARTITION BY client ORDER BY n) AS rn FROM src)")
 register("A10_ordered_scan", {"src": "SELECT o_orderkey AS k, o_orderstatus AS s FROM {orders}"}, lambda src: src.orderBy("k"), "SELECT k, s FROM src ORDER BY k")
 register("A11_point_lookup", {"src": "SELECT o_orderkey AS k, o_orderstatus AS s FROM {orders}"}, lambda src: src.filter(c("k") == 7), "SELECT k, s FROM src WHERE k = 7")
