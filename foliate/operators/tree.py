@@ -54,14 +54,15 @@ def missing_parents(resources: DataFrame) -> DataFrame:
     return resources.filter("parent_id is not null").join(resources.select(F.col("id").alias("parent_id")), "parent_id", "left_anti").select("id", "parent_id")
 
 
-def reach(candidates: DataFrame, links: DataFrame, root: str, most: int = 1000) -> DataFrame:
+def reach(candidates: DataFrame, links: DataFrame, root: str) -> DataFrame:
     """``id, reachability``: inside, outside, or unknown for a cycle or a missing ancestor.
 
     ``links``: ``id, parent_id``, where an id that isn't there can't be looked up.
+    A chain is followed to its end, however long; the ids seen on it end a cycle.
     """
     now = store(candidates.select("id", F.col("id").alias("at"), F.array("id").alias("seen")), "reach")
     done = None
-    for _ in range(most):
+    while True:
         inside = now.filter(F.col("at") == root).select("id", F.lit("inside").alias("reachability"))
         step = now.filter(F.col("at") != root).join(links.select(F.col("id").alias("at"), "parent_id", F.lit(True).alias("known")), "at", "left")
         ended = step.filter("known is null").select("id", F.lit("unknown").alias("reachability"))
@@ -72,8 +73,7 @@ def reach(candidates: DataFrame, links: DataFrame, root: str, most: int = 1000)
         done = settled if done is None else done.union(settled)
         now = store(on.filter("not array_contains(seen, parent_id)").select("id", F.col("parent_id").alias("at"), F.concat("seen", F.array("parent_id")).alias("seen")), "reach")
         if now.isEmpty():
-            break
-    return done
+            return done
 
 
 def index_path(path, has_source):

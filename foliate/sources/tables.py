@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder of this machine only where the session has none, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", "")
     context = spark.sparkContext
+    if not folder and not (context.master == "local" or context.master.startswith("local[")) and not context._jsc.sc().getCheckpointDir().isDefined():
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), f"foliate-{uuid.uuid4().hex}"))
     return folder or context._jsc.sc().getCheckpointDir().get()
@@ -45,27 +48,68 @@ class Snapshots:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _numbers(self) -> list[int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/done")
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(int(s.getPath().getName()) for s in fs.listStatus(path)) if fs.exists(path) else []
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def latest(self) -> int | None:
-        return max(self._numbers(), default=None)
+        path, fs = self._path("done")
+        return max((int(s.getPath().getName()) for s in fs.listStatus(path) if s.getLen()), default=None) if fs.exists(path) else None
+
+    def _folder(self, n: int) -> str:
+        """The folder of a run, which its marker names."""
+        path, fs = self._path(f"done/{n}")
+        held = fs.open(path)
+        try:
+            return held.readUTF()
+        finally:
+            held.close()
+
+    def names(self) -> list[str]:
+        """The tables of the last run."""
+        n = self.latest()
+        if n is None:
+            return []
+        path, fs = self._path(self._folder(n))
+        return sorted(s.getPath().getName() for s in fs.listStatus(path))
 
     def read(self, name: str) -> DataFrame | None:
         n = self.latest()
-        return None if n is None else self.spark.read.parquet(f"{self.root}/run={n}/{name}")
+        return None if n is None or name not in self.names() else self.spark.read.parquet(f"{self.root}/{self._folder(n)}/{name}")
 
     def commit(self, tables: dict[str, DataFrame]) -> int:
-        """Writes all tables of a run, then its marker; readers see the whole run or nothing of it."""
+        """Writes all tables of a run, then its marker; readers see the whole run or nothing of it.
+
+        Every writer has a folder of its own. Of two that follow the same run, the marker lets only the first
+        one through and the other fails, so no run is lost or mixed.
+        """
         n = (self.latest() or 0) + 1
+        folder = f"run={n}-{uuid.uuid4().hex}"
         for name, df in tables.items():
-            df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/run={n}/{name}")
-        marker = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/done/{n}")
-        marker.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(marker, False).close()
+            df.write.option("compression", "zstd").parquet(f"{self.root}/{folder}/{name}")
+        path, fs = self._path(f"done/{n}")
+        marker = fs.create(path, False)
+        marker.writeUTF(folder)
+        marker.close()
         return n
 
+    def migrate(self, steps: dict[int, Callable[[dict[str, DataFrame]], dict[str, DataFrame]]]) -> list[int]:
+        """Applies the steps that ``schema_migrations`` doesn't hold, by version; returns theirs.
+
+        A step gets all tables and returns those that it changes; they and its version become visible as one
+        run, so a ladder that stopped goes on where it stood and a finished one changes nothing.
+        """
+        done = []
+        for version in sorted(steps):
+            held = self.read("schema_migrations")
+            if held is not None and not held.filter(F.col("version") == version).isEmpty():
+                continue
+            tables = {name: self.read(name) for name in self.names()}
+            row = self.spark.createDataFrame([(version,)], "version long")
+            self.commit(tables | steps[version](dict(tables)) | {"schema_migrations": row if held is None else held.unionByName(row)})
+            done.append(version)
+        return done
+
 
 def paged(pages: DataFrame) -> DataFrame:
     """Rows of cursor pages ``(collection, page_no, results, has_more, next_cursor)`` up to each collection's last page, in order."""

@@ -37,4 +37,11 @@ def apply_run(state: Snapshots, census: DataFrame, batch: int, grace: int = 2) -
 
 def follow(censuses: DataFrame, state: Snapshots, checkpoint: str, grace: int = 2) -> StreamingQuery:
     """A streaming query over a stream of census rows; ``availableNow`` batches them by arrival."""
-    return censuses.writeStream.foreachBatch(lambda df, n: apply_run(state, df.persist(), n, grace) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def run(df: DataFrame, batch: int) -> None:
+        held = df.persist()
+        try:
+            apply_run(state, held, batch, grace)
+        finally:
+            held.unpersist()
+
+    return censuses.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
