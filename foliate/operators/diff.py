@@ -114,7 +114,7 @@ def allocate(planned: DataFrame, stored: DataFrame, existing: DataFrame) -> Data
     """``id, path, fell_back`` of planned paths (``id, path, ordinal``): a move whose target is taken goes beside it.
 
     Taken: planned for another resource, or there already (``existing``: ``path``).
-    What earlier fallbacks take is found by the uniqueness rule of ``violations``.
+    A fallback that is taken itself is found by ``blocked_fallbacks``.
     """
     keyed = planned.withColumn("k", names.collision_key(F.col("path")))
     owners = keyed.groupBy("k").agg(F.min("id").alias("a"), F.max("id").alias("b"))
@@ -123,3 +123,19 @@ def allocate(planned: DataFrame, stored: DataFrame, existing: DataFrame) -> Data
     taken = (F.col("a") != F.col("b")) | F.col("there").isNotNull()
     fell = moves & taken
     return rows.select("id", F.when(fell, names.beside(F.col("path"), F.col("id"))).otherwise(F.col("path")).alias("path"), fell.alias("fell_back"))
+
+
+def blocked_fallbacks(allocated: DataFrame, planned: DataFrame, stored: DataFrame, existing: DataFrame) -> DataFrame:
+    """``id, path`` of fallbacks (of ``allocate``) that are taken too, for which a run must stop.
+
+    Taken: planned for another resource, the fallback of another one, or there already, unless the resource itself is stored there.
+    """
+    def owned(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(names.collision_key(F.col("path")).alias("k")).agg(F.min("id").alias(f"{name}_a"), F.max("id").alias(f"{name}_b"))
+
+    fell = allocated.filter("fell_back").select("id", "path", names.collision_key(F.col("path")).alias("k"))
+    rows = fell.join(owned(planned, "plan"), "k", "left").join(owned(fell, "fall"), "k", "left")
+    rows = rows.join(stored.select("id", F.col("local_path").alias("now")), "id", "left").join(existing.select("path", F.lit(True).alias("there")).distinct(), "path", "left")
+    others = [F.coalesce(F.col(c) != F.col("id"), F.lit(False)) for c in ("plan_a", "plan_b", "fall_a", "fall_b")]
+    there = F.col("there").isNotNull() & ~F.col("path").eqNullSafe(F.col("now"))
+    return rows.filter(others[0] | others[1] | others[2] | others[3] | there).select("id", "path")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from foliate.functions import urls
 from foliate.operators import audit, diff, match, tree
 from foliate.plans.registry import ORACLES, QUERIES, register
 from foliate.plans.tree_queries import TREE
+from foliate.sources.tables import Snapshots, shared_dir
+from foliate.streaming import runs
 
 c = F.col
 #: Documents as resources, and the state that an earlier run could have left of them.
@@ -68,8 +72,10 @@ _ASSET = "SELECT o_custkey AS page, CAST(o_orderkey AS STRING) AS key, CASE WHEN
 register("E4_asset_fingerprint", {"a": _ASSET}, match.fingerprint, """SELECT page, string_agg(j, '|' ORDER BY j) AS fingerprint FROM (SELECT page, chr(123) || '"key":"' || key || '"' || CASE WHEN url IS NULL THEN '' ELSE ',"url":"' || url || '"' END || ',"hash":"' || hash || '"' || chr(125) AS j FROM a WHERE cache_status <> 'unverified') GROUP BY page""")
 _LEFT, _RIGHT = "SELECT l_returnflag AS x, l_linestatus AS y FROM {lineitem} WHERE l_orderkey % 2 = 0", "SELECT l_returnflag AS x, l_linestatus AS y FROM {lineitem} WHERE l_orderkey % 2 = 1"
 register("E5_multiset_difference", {"a": _LEFT, "b": _RIGHT}, lambda a, b: _signed_counts(a, b), "SELECT x, y, sum(n)::BIGINT AS surplus FROM (SELECT x, y, 1 AS n FROM a UNION ALL SELECT x, y, -1 FROM b) GROUP BY ALL HAVING sum(n) <> 0")
-register("H13_plan_apply_equality", {"a": _LEFT, "b": _LEFT}, lambda a, b: _signed_counts(a, b).agg((F.count("*") == 0).alias("equal")), "SELECT count(*) = 0 AS equal FROM (SELECT x, y, sum(n) AS s FROM (SELECT x, y, 1 AS n FROM a UNION ALL SELECT x, y, -1 FROM b) GROUP BY ALL HAVING sum(n) <> 0)")
-register("E7_warning_totals", {"w": "SELECT user_id AS root, event_type AS t FROM {events}"}, lambda w: w.filter("t = 'error'").groupBy("root").agg(F.count("*").alias("n"), F.lit(True).alias("failed_if_strict")), "SELECT root, count(*) AS n, true AS failed_if_strict FROM w WHERE t = 'error' GROUP BY root")
+_PLANNED_SET = "SELECT l_orderkey AS page, l_returnflag AS x, l_linestatus AS y FROM {lineitem}"
+_APPLIED_SET = "SELECT l_orderkey AS page, l_returnflag AS x, CASE WHEN l_partkey % 50 = 0 THEN 'Z' ELSE l_linestatus END AS y FROM {lineitem}"
+register("H13_plan_apply_equality", {"a": _PLANNED_SET, "b": _APPLIED_SET}, lambda a, b: _equal_sets(a, b), "SELECT page, bool_and(s = 0) AS equal FROM (SELECT page, x, y, sum(n) AS s FROM (SELECT page, x, y, 1 AS n FROM a UNION ALL SELECT page, x, y, -1 FROM b) GROUP BY ALL) GROUP BY page")
+register("E7_warning_totals", {"w": "SELECT user_id AS root, event_type AS t, user_id % 2 = 0 AS strict FROM {events}"}, lambda w: w.groupBy("root", "strict").agg(F.count_if(c("t") == "error").alias("n")).select("root", "n", (c("strict") & (c("n") > 0)).alias("failed")), "SELECT root, count(*) FILTER (t = 'error') AS n, bool_and(strict) AND count(*) FILTER (t = 'error') > 0 AS failed FROM w GROUP BY root")
 register("E11_owner_sets", {"p": "SELECT p_brand AS path, p_partkey AS id, p_type AS t FROM {part}"}, lambda p: p.groupBy(F.lower(F.concat("path", F.lit("/"), "t")).alias("k")).agg(F.array_join(F.array_sort(F.collect_set("id")).cast("array<string>"), ",").alias("owners")), "SELECT lower(path || '/' || t) AS k, string_agg(id::VARCHAR, ',' ORDER BY id) AS owners FROM (SELECT DISTINCT path, t, id FROM p) GROUP BY 1")
 register("E12_best_outcome", {"o": "SELECT user_id AS key, CASE event_id % 3 WHEN 0 THEN 'downloaded' WHEN 1 THEN 'verified' ELSE 'remote' END AS outcome, event_id AS place FROM {events} WHERE event_id % 4 > 0 OR user_id % 2 = 0"}, match.best_outcome, "SELECT key, outcome, place FROM o QUALIFY row_number() OVER (PARTITION BY key ORDER BY CASE outcome WHEN 'downloaded' THEN 2 WHEN 'verified' THEN 1 ELSE 0 END DESC, place) = 1")
 register("E13_smallest_reason", {"o": "SELECT user_id AS key, event_type AS reason FROM {events}"}, lambda o: o.groupBy("key").agg(F.min("reason").alias("reason")), "SELECT key, min(reason) AS reason FROM o GROUP BY key")
@@ -114,6 +120,56 @@ register("H26_migrations", {"m": "SELECT CAST(n_nationkey AS BIGINT) AS version,
 register("A12_state_swap", _UPSERT, lambda o, n: diff.upsert(o, n, "id", kept=["local_path"]).agg(F.count("*").alias("n"), F.count("local_path").alias("placed")), "SELECT count(*) AS n, count(coalesce(n.local_path, o.local_path)) AS placed FROM old o FULL JOIN new n USING (id)")
 
 
+def _equal_sets(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``page, equal``: whether both sides hold the same ``x, y`` of a page equally often."""
+    marked = a.withColumn("n", F.lit(1)).unionByName(b.withColumn("n", F.lit(-1)))
+    return marked.groupBy("page", "x", "y").agg(F.sum("n").alias("s")).groupBy("page").agg(F.bool_and(c("s") == 0).alias("equal"))
+
+
+def _new_state(spark: SparkSession) -> Snapshots:
+    return Snapshots(spark, f"{shared_dir(spark).rstrip('/')}/foliate-{uuid.uuid4().hex}/state")
+
+
+def _committed(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The resources as read back after two runs: the old ones, then the new ones merged into what the first left."""
+    state = _new_state(old.sparkSession)
+    state.commit({"resources": old})
+    state.commit({"resources": diff.upsert(state.read("resources"), new, "id", kept=["local_path"])})
+    return state.read("resources").select("id", "title", "local_path", F.lit(state.latest()).cast("long").alias("run"))
+
+
+def _migrated(old: DataFrame) -> DataFrame:
+    """A ladder of two steps, given in the wrong order and climbed twice; the second needs what the first adds."""
+    state = _new_state(old.sparkSession)
+    state.commit({"resources": old.select("id", "title")})
+    steps = {
+        2: lambda t: {"resources": t["resources"].withColumn("label", F.concat("status", F.lit("-"), "title"))},
+        1: lambda t: {"resources": t["resources"].withColumn("status", F.lit("active"))},
+    }
+    state.migrate(steps)
+    state.migrate(steps)
+    versions = state.read("schema_migrations").agg(F.count("*").alias("versions"), F.max("version").alias("version"))
+    return state.read("resources").select("id", "label", F.lit(state.latest()).cast("long").alias("run")).crossJoin(F.broadcast(versions))
+
+
+def _four_runs(src: DataFrame) -> DataFrame:
+    """The state after four censuses: whole, with some pages gone, some of them back and others renamed, and the same again; a tombstone isn't counted on."""
+    state = _new_state(src.sparkSession)
+    digit = F.col("k") % 10
+    whole = src.select("k", "id", "root_id", "title", F.concat("root_id", F.lit("/"), "title", F.lit(".md")).alias("expected_path"), F.lit(False).alias("in_trash"))
+    renamed = whole.withColumns({"title": F.when(digit == 4, F.concat("title", F.lit(" new"))).otherwise(c("title"))}).withColumn("expected_path", F.concat("root_id", F.lit("/"), "title", F.lit(".md")))
+    for n, census in enumerate([whole, whole.filter(~digit.isin(3, 5)), renamed.filter(digit != 3), renamed.filter(digit != 3)]):
+        runs.apply_run(state, census.drop("k"), n)
+    return state.read("resources").select("id", "title", "local_path", "status", c("missing_count").cast("long").alias("missing_count"))
+
+
+register("A12_commit_read_back", _UPSERT, _committed, "SELECT id, CASE WHEN n.id IS NOT NULL THEN n.title ELSE o.title END AS title, coalesce(n.local_path, o.local_path) AS local_path, 2::BIGINT AS run FROM old o FULL JOIN new n USING (id)")
+register("H26_ladder", {"old": _OLD_STATE}, _migrated, "SELECT id, 'active-' || title AS label, 3::BIGINT AS run, 2::BIGINT AS versions, 2::BIGINT AS version FROM old")
+_PAGES = "SELECT doc_id AS k, CAST(doc_id AS STRING) AS id, lang AS root_id, concat(source, '-', CAST(doc_id AS STRING)) AS title FROM {documents}"
+register("runs_over_snapshots", {"src": _PAGES}, _four_runs, """, x AS (SELECT *, CASE WHEN k % 10 = 4 THEN title || ' new' ELSE title END AS t FROM src)
+    SELECT id, t AS title, root_id || '/' || t || '.md' AS local_path, CASE WHEN k % 10 = 3 THEN 'tombstoned' ELSE 'active' END AS status, (CASE WHEN k % 10 = 3 THEN 2 ELSE 0 END)::BIGINT AS missing_count FROM x""")
+
+
 def _signed_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that one side has more often, with the surplus of the first; a hot row is one row of each task."""
     marked = a.withColumn("n", F.lit(1)).unionByName(b.withColumn("n", F.lit(-1)))

@@ -64,8 +64,17 @@ _THERE = "SELECT concat(p_brand, '/', p_name, '.md') AS path FROM {part} WHERE p
 register("W2_allocation", {"planned": _PATHS, "stored": _STORED, "there": _THERE}, lambda planned, stored, there: diff.allocate(planned, stored, there), """
     , x AS (SELECT p.id, p.path, coalesce(s.local_path <> p.path AND s.local_path <> '', false) AND (count(DISTINCT p.id) OVER (PARTITION BY lower(p.path)) > 1 OR p.path IN (SELECT path FROM there)) AS fell FROM planned p LEFT JOIN stored s USING (id))
     SELECT id, CASE WHEN fell THEN regexp_replace(path, '\\.md$', '') || '--' || substr(id, 1, 8) || '.md' ELSE path END AS path, fell AS fell_back FROM x""")
+_FALL = "concat('f/', CAST({k} % 20 AS STRING), '--', CAST({k} AS STRING), '.md')"
+_FALL_PLANNED = "SELECT CAST(p_partkey AS STRING) AS id, CASE WHEN p_partkey % 7 = 0 THEN upper(" + _FALL.replace("{k}", "(p_partkey - 1)") + ") ELSE concat('f/', CAST(p_partkey % 20 AS STRING), '.md') END AS path FROM {part}"
+_FALL_STORED = "SELECT CAST(p_partkey AS STRING) AS id, CASE WHEN p_partkey % 11 = 0 THEN " + _FALL.replace("{k}", "p_partkey") + " WHEN p_partkey % 3 > 0 THEN concat('old/', CAST(p_partkey AS STRING), '.md') END AS local_path FROM {part}"
+_FALL_THERE = "SELECT CASE WHEN p_partkey % 5 = 0 THEN " + _FALL.replace("{k}", "p_partkey") + " ELSE concat('old/', CAST(p_partkey AS STRING), '.md') END AS path FROM {part}"
+register("W2_blocked_fallbacks", {"planned": _FALL_PLANNED, "stored": _FALL_STORED, "there": _FALL_THERE}, lambda planned, stored, there: diff.blocked_fallbacks(diff.allocate(planned, stored, there), planned, stored, there), """
+    , x AS (SELECT p.id, p.path, s.local_path AS now, coalesce(s.local_path <> p.path AND s.local_path <> '', false) AND (count(DISTINCT p.id) OVER (PARTITION BY lower(p.path)) > 1 OR p.path IN (SELECT path FROM there)) AS fell FROM planned p LEFT JOIN stored s USING (id)),
+    f AS (SELECT id, now, regexp_replace(path, '[.](md|MD)$', '') || '--' || substr(id, 1, 8) || regexp_extract(path, '[.](md|MD)$') AS path FROM x WHERE fell)
+    SELECT id, path FROM f WHERE EXISTS (SELECT 1 FROM planned p WHERE lower(p.path) = lower(f.path) AND p.id <> f.id) OR (path IN (SELECT path FROM there) AND path IS DISTINCT FROM now)""")
 register("W3_unique_outputs", {"planned": _PATHS}, lambda planned: planned.groupBy(names.collision_key(c("path")).alias("k")).agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).filter("a <> b").select("k", "n"), "SELECT lower(path) AS k, count(*) AS n FROM planned GROUP BY 1 HAVING count(DISTINCT id) > 1")
-register("W4_locale_order", {"src": "SELECT n_name AS name FROM {nation} UNION ALL SELECT lower(r_name) FROM {region}"}, lambda src: src.select("name", F.expr("collation(name collate UNICODE) is not null").alias("known")), "SELECT name, true AS known FROM src")
+_MIXED = "SELECT n_name AS id, concat(CASE n_nationkey % 4 WHEN 0 THEN 'e' WHEN 1 THEN 'E' WHEN 2 THEN 'é' ELSE 'É' END, CASE WHEN n_nationkey % 3 = 0 THEN lower(n_name) ELSE n_name END, '.md') AS path FROM {nation} UNION ALL SELECT r_name, concat(lower(r_name), '.md') FROM {region}"
+register("W4_locale_order", {"src": _MIXED}, tree.ordered, "SELECT id, path, row_number() OVER (ORDER BY path COLLATE en, path, id) AS place FROM src")
 register("W4_path_order", {"nodes": TREE}, lambda nodes: tree.ordered(_paths(nodes).select("id", "path")), f", {_PLANNED} SELECT id, path, row_number() OVER (ORDER BY path COLLATE en, path, id) AS place FROM (SELECT id, stem || '.md' AS path FROM walk)")
 _OCC = "SELECT CAST(conv_id AS STRING) AS page, role AS kind, turn AS place FROM {conversations}"
 register("W5_occurrences", {"src": _OCC}, match.occurrences, "SELECT page, kind, place, row_number() OVER (PARTITION BY page, kind ORDER BY place) - 1 AS occurrence FROM src")

@@ -243,3 +243,37 @@ def test_paths_in_locale_order(spark):
     df = spark.createDataFrame([(str(k), p) for k, p in enumerate(sorted(want))], "id string, path string")
     assert [r.path for r in sorted(tree.ordered(df).collect(), key=lambda r: r.place)] == want != sorted(want)
     assert sorted(r.place for r in tree.ordered(df.union(df)).collect()) == list(range(1, 17)) and tree.ordered(df.limit(0)).count() == 0
+
+
+def test_two_writers_of_one_run(spark, tmp_path):
+    """The second writer that follows the same run fails and leaves the first one's tables as they are."""
+    one, two = Snapshots(spark, str(tmp_path)), Snapshots(spark, str(tmp_path))
+    one.commit({"t": spark.range(1)})
+    two.latest = lambda: None  # it looked before the first one finished
+    with pytest.raises(Exception, match="exist"):
+        two.commit({"t": spark.range(5)})
+    assert one.read("t").count() == 1 and one.latest() == 1 and one.names() == ["t"] and one.read("u") is None
+
+
+def test_migrations_go_on_where_they_stood(spark, tmp_path):
+    state = Snapshots(spark, str(tmp_path))
+    state.commit({"t": spark.range(2)})
+
+    def broken(tables):
+        raise ValueError("stop")
+
+    first = {1: lambda t: {"t": t["t"].selectExpr("id", "id + 1 AS more")}}
+    with pytest.raises(ValueError, match="stop"):
+        state.migrate(first | {2: broken})
+    assert state.latest() == 2 and state.read("t").columns == ["id", "more"]
+    assert state.migrate(first | {2: lambda t: {"u": t["t"].select("more")}}) == [2]
+    assert state.migrate(first | {2: broken}) == [] and state.names() == ["schema_migrations", "t", "u"]
+
+
+def test_fallbacks_that_are_taken(spark):
+    """Another one's plan, another one's fallback (equal short ids) and a file block; the resource's own file doesn't."""
+    planned = spark.createDataFrame([("1", "a.md"), ("2", "a.md"), ("3", "A--1.md"), ("123456789", "b.md"), ("12345678x", "b.md"), ("4", "c.md"), ("5", "c.md")], "id string, path string")
+    stored = spark.createDataFrame([("1", "o1"), ("2", "o2"), ("123456789", "o3"), ("12345678x", "o4"), ("4", "o5"), ("5", "c--5.md")], "id string, local_path string")
+    there = spark.createDataFrame([("c--4.md",), ("c--5.md",)], "path string")
+    out = diff.blocked_fallbacks(diff.allocate(planned, stored, there), planned, stored, there)
+    assert {r.id for r in out.collect()} == {"1", "123456789", "12345678x", "4"}
