@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.llm import bpe, common, decontam, html_diff, line_rules, neardup, pii, quality, token_shards, toxicity, warc
+from foliate.llm import bpe, common, decontam, html_diff, line_rules, neardup, phrases, pii, quality, token_shards, toxicity, warc
 from foliate.llm.common import table
 
 
@@ -96,6 +96,11 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collocations of each language by minimal perfect hashing."""
+    return phrases.mine(table(spark, sf_dir, "documents"), least=30, cover=80, most=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_shards": op1_token_shards,
     "op2_toxicity": op2_toxicity,
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_warc_revisits": op10_warc_revisits,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLES: dict[str, str] = {
@@ -157,4 +163,40 @@ ORACLES: dict[str, str] = {
                CASE WHEN original <> page_id THEN original END AS refers_to
         FROM p LEFT JOIN o USING (payload_digest)
     """,
+    "op13_phrases": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+        ), p AS (
+            SELECT r, lang, unnest(x) AS piece, generate_subscripts(x, 1) AS p FROM (SELECT r, lang, regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]') AS x FROM d)
+        ), w AS (
+            SELECT r, lang, p, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM (SELECT r, lang, p, regexp_extract_all(piece, '[^\x20\x09]+') AS x FROM p)
+        ), g AS (
+            SELECT lang, w AS w1, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4 FROM w WINDOW o AS (PARTITION BY r, p ORDER BY i)
+        ), f AS (
+            SELECT lang, phrase, count(*) AS a FROM (
+                SELECT lang, w1 AS phrase FROM g UNION ALL SELECT lang, w1 || ' ' || w2 FROM g WHERE w2 IS NOT NULL
+                UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3 FROM g WHERE w3 IS NOT NULL
+                UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM g WHERE w4 IS NOT NULL
+            ) GROUP BY ALL HAVING count(*) >= 30
+        ), n AS (
+            SELECT lang, count(*) AS n FROM w GROUP BY lang
+        ), c AS (
+            SELECT lang, phrase, a, string_split(phrase, ' ') AS x FROM f WHERE contains(phrase, ' ')
+        ), cut AS (
+            SELECT lang, phrase, a, x, unnest(range(1, len(x))) AS k FROM c
+        ), scored AS (
+            SELECT cut.lang, cut.phrase, cut.a, k, f.a AS l, g.a AS r, ((2000000::HUGEINT * cut.a) // (f.a + g.a))::BIGINT AS score
+            FROM cut JOIN f ON f.lang = cut.lang AND f.phrase = array_to_string(x[1:k], ' ') JOIN f g ON g.lang = cut.lang AND g.phrase = array_to_string(x[k + 1:], ' ')
+        ), best AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), inside AS (
+            SELECT lang, a, array_to_string(x[i:i + m - 1], ' ') AS phrase
+            FROM (SELECT lang, a, x, m, unnest(range(1, len(x) - m + 2)) AS i FROM (SELECT lang, a, x, unnest(range(2, len(x))) AS m FROM c))
+        ), gone AS (
+            SELECT DISTINCT inside.lang, inside.phrase FROM inside JOIN f USING (lang, phrase) WHERE 100::HUGEINT * inside.a >= 80::HUGEINT * f.a
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best ANTI JOIN gone USING (lang, phrase)) JOIN n USING (lang)
+        WHERE rank <= 2000
+    """,
 }
