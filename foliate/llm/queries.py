@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.llm import bpe, common, decontam, html_diff, line_rules, neardup, phrases, pii, quality, token_shards, toxicity, warc
+from foliate.llm import bpe, common, decontam, divergence, html_diff, line_rules, neardup, phrases, pii, quality, token_shards, toxicity, warc
 from foliate.llm.common import table
 
 
@@ -96,6 +96,11 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source against the others of its language, and its leading terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=30, top=50)
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collocations of each language by minimal perfect hashing."""
     return phrases.mine(table(spark, sf_dir, "documents"), least=30, cover=80, most=2000)
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_warc_revisits": op10_warc_revisits,
+    "op12_divergence": op12_divergence,
     "op13_phrases": op13_phrases,
 }
 
@@ -163,6 +169,36 @@ ORACLES: dict[str, str] = {
                CASE WHEN original <> page_id THEN original END AS refers_to
         FROM p LEFT JOIN o USING (payload_digest)
     """,
+    "op12_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+        ), w AS (
+            SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+        ), kept AS (
+            SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 30
+        ), g AS (
+            SELECT DISTINCT lang, source FROM d
+        ), v AS (
+            SELECT lang, count(*) AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY lang
+        ), own AS (
+            SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL
+        ), total AS (
+            SELECT lang, source, sum(n)::HUGEINT AS total FROM own GROUP BY ALL
+        ), p AS (
+            SELECT g.lang, g.source, k.term, coalesce(own.n, 0) AS n,
+                   1 + (1000000000::HUGEINT * (coalesce(own.n, 0) + 5)) // (coalesce(total.total, 0) + 5 * v.v) AS p,
+                   1 + (1000000000::HUGEINT * (k.n + 5)) // (v.total + 5 * v.v) AS q
+            FROM g JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN own ON own.lang = g.lang AND own.source = g.source AND own.term = k.term LEFT JOIN total ON total.lang = g.lang AND total.source = g.source
+        ), f AS (
+            SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), pair AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+        ), both_parts AS (
+            SELECT * FROM pair UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q
+        )
+        SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM both_parts
+        QUALIFY part = 'pair' OR rank <= 50
+    """,
     "op13_phrases": r"""
         WITH d AS (
             SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
