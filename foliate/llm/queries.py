@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliate.llm import bpe, common, decontam, divergence, html_diff, line_rules, neardup, phrases, pii, quality, token_shards, toxicity, warc
+from foliate.llm import bpe, common, decontam, divergence, html_diff, line_rules, neardup, phrases, pii, pitman_yor, quality, token_shards, toxicity, warc
 from foliate.llm.common import table
 
 
@@ -96,6 +96,11 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts under a hierarchical Pitman-Yor model."""
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each source against the others of its language, and its leading terms."""
     return divergence.audit(table(spark, sf_dir, "documents"), least_docs=30, top=50)
@@ -118,6 +123,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_warc_revisits": op10_warc_revisits,
+    "op11_lm_scores": op11_lm_scores,
     "op12_divergence": op12_divergence,
     "op13_phrases": op13_phrases,
 }
