@@ -3,12 +3,13 @@
 Three passes over the texts. (1) A sieve: windows of one to four words are hashed to buckets whose counts are added up;
 a phrase in a bucket of fewer than ``least`` can't be frequent. (2) Candidates: a window is one only if its own bucket and
 those of all its parts pass, so no frequent phrase is lost (the Apriori rule, which the sieve can only weaken). Their
-distinct texts get slots of a minimal perfect hash, built by shards on the executors, with both halves of each 128-bit
-key stored by slot, so a window that is no candidate is told from one that is. (3) Mappers ``bincount`` slots into numpy
-arrays, which are added up by blocks as a tree. Cuts and covers of candidates then are lookups of slots.
+64-bit keys go to the shards of a minimal perfect hash, built on the executors; keys are stored by slot, so a window
+that is no candidate is told from one that is, and so is the first task that has the phrase. (3) Mappers ``bincount``
+slots into numpy arrays, which are added up by blocks as a tree; the slot's own task gives the phrase's text. Cuts and
+covers of candidates then are lookups of slots.
 
-While all slots fit ``broadcast_slots``, every mapper holds the hash. Beyond that, windows go to the shards of the hash
-(counted before the shuffle), which stay in one task each, and cuts are joins on texts: the same rows.
+While all slots fit ``broadcast_slots``, every mapper holds the hash. Beyond that, keys have 128 bits, windows go to the
+shards of the hash (counted before the shuffle), which stay in one task each, and cuts are joins on texts: the same rows.
 
 Edge cases: a null text is empty, a null language is ``und`` (as is a language of that name); repeated rows count
 again; an empty table gives no rows; other columns are never read; ties go by phrase in UTF-8 byte order.
@@ -109,10 +110,10 @@ def keys_of(languages: list[str], phrases: list[bytes]) -> tuple[np.ndarray, np.
 class Slots:
     """A minimal perfect hash: levels of bits, a key at the first level where it stands alone; slots are ranks of bits.
 
-    Keys are stored by slot, so ``find`` gives -1 for others.
+    Keys are stored by slot, so ``find`` gives -1 for others; ``high`` is left out of 64-bit keys, ``owner`` is a number that goes with each.
     """
 
-    def __init__(self, low: np.ndarray, high: np.ndarray) -> None:
+    def __init__(self, low: np.ndarray, high: np.ndarray | None = None, owner: np.ndarray | None = None) -> None:
         self.levels: list[tuple[np.ndarray, np.ndarray, int, int]] = []
         left, base, order = np.arange(len(low)), 0, []
         while len(left):
@@ -129,7 +130,7 @@ class Slots:
             base += int(placed.sum())
             left = left[~placed]
         self.order = np.concatenate(order) if order else np.empty(0, np.int64)
-        self.low, self.high = low[self.order], high[self.order]
+        self.low, self.high, self.owner = low[self.order], *(None if x is None else x[self.order] for x in (high, owner))
 
     @staticmethod
     def _at(low: np.ndarray, level: int, m: int) -> np.ndarray:
@@ -147,21 +148,22 @@ class Slots:
             slots[left[hit]] = (base + ranks[at >> 6] + below)[hit]
             left = left[~hit]
         found = np.flatnonzero(slots >= 0)
-        wrong = found[(self.low[slots[found]] != low[found]) | (self.high[slots[found]] != high[found])]
+        wrong = self.low[slots[found]] != low[found]
+        wrong = found[wrong if self.high is None else wrong | (self.high[slots[found]] != high[found])]
         slots[wrong] = -1
         return slots
 
     def packed(self) -> bytes:
         import pickle
 
-        return zstandard.compress(pickle.dumps((self.levels, self.low, self.high), protocol=5), 1)
+        return zstandard.compress(pickle.dumps((self.levels, self.low, self.high, self.owner), protocol=5), 1)
 
     @classmethod
     def unpacked(cls, blob: bytes) -> Slots:
         import pickle
 
         self = cls.__new__(cls)
-        self.levels, self.low, self.high = pickle.loads(zstandard.decompress(blob))
+        self.levels, self.low, self.high, self.owner = pickle.loads(zstandard.decompress(blob))
         return self
 
 
@@ -171,6 +173,7 @@ class Index:
     def __init__(self, shards: list[Slots]) -> None:
         self.shards = shards
         self.starts = np.cumsum([0, *(len(s.low) for s in shards)])
+        self.owners = np.concatenate([s.owner for s in shards])
 
     def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         if len(self.shards) == 1:
@@ -223,13 +226,12 @@ def _sums(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return all_keys[first], np.add.reduceat(all_counts, first) if len(first) else all_counts
 
 
-def _sieve(docs: DataFrame, least: int, bits: int) -> tuple[DataFrame, list[np.ndarray]]:
-    """Words of each language; and for each length the buckets with ``least`` windows or more, as bits: 2^bits of each, a fixed size."""
-    spark = docs.sparkSession
+def _sieve(docs: DataFrame, least: int, bits: int) -> list[np.ndarray]:
+    """For each length the buckets with ``least`` windows or more, as bits: 2^bits of each, a fixed size."""
     block = min(bits, 18)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, totals = Words(), defaultdict(int)
+        words = Words()
         held: list[list[np.ndarray]] = [[] for _ in range(LONGEST_PHRASE)]
 
         def flush(k: int) -> pa.RecordBatch:
@@ -240,26 +242,20 @@ def _sieve(docs: DataFrame, least: int, bits: int) -> tuple[DataFrame, list[np.n
             for b, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
                 if j > i:
                     own = (found[i:j] & ((1 << block) - 1)).astype("<u4")
-                    out.append(((k << 20) + b, zstandard.compress(np.diff(own, prepend=np.uint32(0)).tobytes() + np.minimum(n[i:j], least).astype("<u4").tobytes(), 1)))
-            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary()), pa.nulls(len(out), pa.string()), pa.nulls(len(out), pa.int64())], names=["block", "sums", "lang", "n"])
+                    out.append(((k << 20) + b, zstandard.compress(np.diff(own, prepend=np.uint32(0)).tobytes() + np.minimum(n[i:j], least).astype("<u4").tobytes(), 3)))
+            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["block", "sums"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            _, known, own, ids, lanes, seeds = _seen(batch, words)
-            for name, n in zip(known, np.bincount(own[ids != 0], minlength=len(known)).tolist(), strict=True):
-                totals[name] += n
+            _, _, _, ids, lanes, seeds = _seen(batch, words)
             for k, (ok, low, _) in enumerate(windows(ids, lanes, seeds)):
-                held[k].append((low[ok] >> np.uint64(64 - bits)).astype(np.int64))
+                held[k].append((low[ok] >> np.uint64(64 - bits)).astype(np.uint32))
                 if sum(map(len, held[k])) > _HELD:
                     yield flush(k)
         for k in range(LONGEST_PHRASE):
             if any(map(len, held[k])):
                 yield flush(k)
-        if totals:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(totals), pa.int32()), pa.nulls(len(totals), pa.binary()), pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=["block", "sums", "lang", "n"])
-
-    rows = store(docs.mapInArrow(count, "block int, sums binary, lang string, n long"), "phrase_buckets")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, np.zeros(0, np.int64)
@@ -279,12 +275,77 @@ def _sieve(docs: DataFrame, least: int, bits: int) -> tuple[DataFrame, list[np.n
             yield done()
 
     passed = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(LONGEST_PHRASE)]
-    small_batches(spark)
-    sums = rows.filter("block IS NOT NULL").select("block", "sums").repartition(partitions(spark), "block").sortWithinPartitions("block").mapInArrow(add, "block int, bits binary")
+    spark = docs.sparkSession
+    sums = docs.mapInArrow(count, "block int, sums binary").repartition(partitions(spark), "block").sortWithinPartitions("block").mapInArrow(add, "block int, bits binary")
     for b, own in sums.collect():
         at = (b & ((1 << 20) - 1)) << (block - 3)
         passed[b >> 20][at : at + (1 << block) // 8] = np.frombuffer(own, np.uint8)
-    return rows.filter("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")), passed
+    return passed
+
+
+def _task() -> int:
+    from pyspark import TaskContext
+
+    return TaskContext.get().partitionId()
+
+
+def _slots(docs: DataFrame, sieve, shift: int, shards: int) -> DataFrame:
+    """``shard, n, hash`` over the keys of windows that pass; each key's owner is the first task that has it."""
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, words, held, known = sieve.value, Words(), [], np.empty(0, np.uint64)
+
+        def compact() -> np.ndarray:
+            out = np.unique(np.concatenate([known, *held]))
+            held.clear()
+            return out
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            _, _, _, ids, lanes, seeds = _seen(batch, words)
+            held += [low for _, _, low, _ in _passing(windows(ids, lanes, seeds), bits, shift)]
+            if sum(map(len, held)) > _HELD:
+                known = compact()
+                if len(known) > _HELD:
+                    yield dealt(known)
+                    known = np.empty(0, np.uint64)
+        known = compact()
+        if len(known):
+            yield dealt(known)
+
+    def dealt(known: np.ndarray) -> pa.RecordBatch:
+        own = shard_of(known, shards)
+        order = np.argsort(own, kind="stable")
+        ends = np.searchsorted(own[order], np.arange(shards + 1))
+        full = np.flatnonzero(np.diff(ends)).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([_task()] * len(full), pa.int32()), pa.array([zstandard.compress(np.diff(known[order[ends[k] : ends[k + 1]]], prepend=np.uint64(0)).tobytes(), 3) for k in full], pa.binary())], names=["shard", "owner", "keys"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, owners = None, [], []
+
+        def compact() -> None:
+            found, first = np.unique(np.concatenate(keys), return_index=True)
+            owners[:], keys[:] = [np.concatenate(owners)[first]], [found]
+
+        def done() -> pa.RecordBatch:
+            compact()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([len(keys[0])], pa.int64()), pa.array([Slots(keys[0], owner=owners[0]).packed()], pa.binary())], names=["shard", "n", "hash"])
+
+        for batch in batches:
+            for shard, owner, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if shard != now:
+                    if now is not None:
+                        yield done()
+                    now, keys, owners = shard, [], []
+                keys.append(np.cumsum(np.frombuffer(zstandard.decompress(data), "<u8")))
+                owners.append(np.full(len(keys[-1]), owner, np.int32))
+                if sum(map(len, keys[1:])) > max(_HELD, len(keys[0])):
+                    compact()
+        if now is not None:
+            yield done()
+
+    rows = docs.mapInArrow(find, "shard int, owner int, keys binary").repartition(max(shards, partitions(docs.sparkSession)), "shard").sortWithinPartitions("shard", "owner")
+    return store(rows.mapInArrow(build, "shard int, n long, hash binary"), "phrase_slots")
 
 
 def _candidates(docs: DataFrame, held, shift: int) -> DataFrame:
@@ -333,37 +394,53 @@ def _hashed(candidates: DataFrame, shards: int) -> DataFrame:
     return store(sharded.groupBy("shard").applyInArrow(build, "shard int, slot long, lang string, phrase string, hash binary"), "phrase_slots")
 
 
-def _counted_by_slot(docs: DataFrame, sieve, shift: int, index, n: int) -> np.ndarray:
-    """Counts by slot: each mapper's arrays are added up block by block, ``FAN`` at a time."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def _counted_by_slot(docs: DataFrame, sieve, shift: int, index, n: int) -> tuple[np.ndarray, DataFrame, DataFrame]:
+    """Counts by slot, each mapper's arrays added up block by block, ``FAN`` at a time; ``slot, lang, phrase``; and ``lang, n``."""
+    names, types = ["block", "part", "counts", "slot", "lang", "phrase", "n"], [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+
+    def rows_of(**columns: list) -> pa.RecordBatch:
+        many = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(many, t) for c, t in zip(names, types, strict=True)], names=names)
 
-        bits, find, words = sieve.value, index.value.find, Words()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, find, part, words, totals = sieve.value, index.value.find, _task(), Words(), defaultdict(int)
+        mine = index.value.owners == part  # those whose texts this task still owes
         total, held = np.zeros(n, np.int64), []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            _, _, _, ids, lanes, seeds = _seen(batch, words)
-            for _, _, low, high in _passing(windows(ids, lanes, seeds), bits, shift):
+            flat, known, own, ids, lanes, seeds = _seen(batch, words)
+            for name, words_of in zip(known, np.bincount(own[ids != 0], minlength=len(known)).tolist(), strict=True):
+                totals[name] += words_of
+            slots_of, languages, phrases = [], [], []
+            for k, at, low, high in _passing(windows(ids, lanes, seeds), bits, shift):
                 slots = find(low, high)
-                held.append(slots[slots >= 0])
+                at, slots = at[slots >= 0], slots[slots >= 0]
+                held.append(slots)
+                new = np.flatnonzero(mine[slots])
+                found, first = np.unique(slots[new], return_index=True)
+                mine[found] = False
+                for slot, i in zip(found.tolist(), at[new[first]].tolist(), strict=True):
+                    slots_of.append(slot)
+                    languages.append(known[own[i]])
+                    phrases.append(b" ".join(flat[i : i + k]).decode())
+            if slots_of:
+                yield rows_of(slot=slots_of, lang=languages, phrase=phrases)
             if sum(map(len, held)) > _HELD:
                 total += np.bincount(np.concatenate(held), minlength=n)
                 held = []
         if held:
             total += np.bincount(np.concatenate(held), minlength=n)
-        part, out = TaskContext.get().partitionId(), []
-        for b in range(0, n, BLOCK):
-            if total[b : b + BLOCK].any():
-                out.append((b // BLOCK, zstandard.compress(total[b : b + BLOCK].tobytes(), 1)))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([part] * len(out), pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["block", "part", "counts"])
+        full = [b for b in range(0, n, BLOCK) if total[b : b + BLOCK].any()]
+        yield rows_of(block=[b // BLOCK for b in full], part=[part] * len(full), counts=[zstandard.compress(total[b : b + BLOCK].tobytes(), 1) for b in full])
+        yield rows_of(lang=list(totals), n=list(totals.values()))
 
     def add(group: pa.Table) -> pa.Table:
         arrays = [np.frombuffer(zstandard.decompress(x), np.int64) for x in group.column("counts").to_pylist()]
         return pa.table({"block": group.column("block")[:1], "part": group.column("part")[:1], "counts": pa.array([zstandard.compress(np.sum(arrays, axis=0).tobytes(), 1)], pa.binary())})
 
-    rows = store(docs.mapInArrow(count, "block int, part int, counts binary"), "phrase_counts")
+    made = store(docs.mapInArrow(count, "block int, part int, counts binary, slot long, lang string, phrase string, n long"), "phrase_counts")
+    rows = made.filter("block IS NOT NULL").select("block", "part", "counts")
     parts = (rows.agg(F.max("part")).first()[0] or 0) + 1
     while parts > 1:
         rows = rows.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("block", "part").applyInArrow(add, "block int, part int, counts binary")
@@ -374,7 +451,21 @@ def _counted_by_slot(docs: DataFrame, sieve, shift: int, index, n: int) -> np.nd
     for b, _, counts in rows.collect():  # n numbers, of checked size
         own = np.frombuffer(zstandard.decompress(counts), np.int64)
         total[b * BLOCK : b * BLOCK + len(own)] = own
-    return total
+    texts = made.filter("slot IS NOT NULL").select("slot", "lang", "phrase")
+    if texts.count() != n:
+        raise RuntimeError("the table was read in other partitions than before, so texts are missing")
+    return total, texts, made.filter("n IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
+
+
+def _words_of_languages(docs: DataFrame) -> DataFrame:
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            n = [sum(w != _BREAK for w in tokens(t)) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(n, pa.int64())], names=["lang", "n"])
+
+        return each
+
+    return on_batches(docs, make, "lang string, n long").filter("n > 0").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def _counted_by_shard(docs: DataFrame, hashed: DataFrame, sieve, shift: int, shards: int) -> DataFrame:
@@ -435,13 +526,13 @@ def _counted_by_shard(docs: DataFrame, hashed: DataFrame, sieve, shift: int, sha
     return hashed.filter("slot >= 0").select("shard", "slot", "lang", "phrase").join(sums, ["shard", "slot"]).select("lang", "phrase", "a")
 
 
-def _cut_by_slot(hashed: DataFrame, index, counts, least: int, cover: int) -> DataFrame:
+def _cut_by_slot(texts: DataFrame, index, counts, least: int, cover: int) -> DataFrame:
     """``slot, lang, phrase, a, l, r, score, covers`` of candidates: cuts and covered phrases are read by slot."""
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch | None]:
-        found, count, starts = index.value, counts.value, index.value.starts
+        found, count = index.value, counts.value
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            slots = starts[np.array(batch.column("shard"))] + np.array(batch.column("slot"))
+            slots = np.array(batch.column("slot"))
             a = count[slots]
             phrases = batch.column("phrase").cast(pa.binary()).to_pylist()
             split = [p.split(b" ") for p in phrases]
@@ -467,7 +558,7 @@ def _cut_by_slot(hashed: DataFrame, index, counts, least: int, cover: int) -> Da
 
         return each
 
-    rows = store(on_batches(hashed.filter("slot >= 0").select("shard", "slot", "lang", "phrase"), make, "slot long, lang string, phrase string, a long, l long, r long, score long, covers array<long>"), "phrase_cuts")
+    rows = store(on_batches(texts, make, "slot long, lang string, phrase string, a long, l long, r long, score long, covers array<long>"), "phrase_cuts")
     return rows.join(rows.select(F.explode("covers").alias("slot")).distinct(), "slot", "left_anti").drop("slot", "covers")
 
 
@@ -496,20 +587,21 @@ def mine(docs: DataFrame, least: int = 30, cover: int = 80, most: int = 2000, bi
     docs = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
     if bits is None:
         bits = min(26, max(20, int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0).bit_length() - 4))
-    totals, passed = _sieve(docs, least, bits)
+    passed = _sieve(docs, least, bits)
+    shards = 1 + sum(int(np.bitwise_count(p).sum()) for p in passed) // shard_slots
     sieve = spark.sparkContext.broadcast(passed)
-    candidates = store(_candidates(docs, sieve, 64 - bits), "phrase_candidates")
-    n = candidates.count()
-    shards = max(1, -(-n // shard_slots))
-    hashed = _hashed(candidates, shards)
+    hashes = _slots(docs, sieve, 64 - bits, shards)
+    n = hashes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if n <= broadcast_slots:
-        hashes = dict(hashed.filter("slot < 0").select("shard", "hash").collect())  # at most broadcast_slots keys
-        none = Slots(np.empty(0, np.uint64), np.empty(0, np.uint64))
-        index = spark.sparkContext.broadcast(Index([Slots.unpacked(hashes[s]) if s in hashes else none for s in range(shards)]))
-        counts = spark.sparkContext.broadcast(_counted_by_slot(docs, sieve, 64 - bits, index, n))
-        scored = _cut_by_slot(hashed, index, counts, least, cover)
+        own = dict(hashes.select("shard", "hash").collect())  # at most broadcast_slots keys
+        none = Slots(np.empty(0, np.uint64), owner=np.empty(0, np.int32))
+        index = spark.sparkContext.broadcast(Index([Slots.unpacked(own[s]) if s in own else none for s in range(shards)]))
+        counts, texts, totals = _counted_by_slot(docs, sieve, 64 - bits, index, n)
+        scored = _cut_by_slot(texts, index, spark.sparkContext.broadcast(counts), least, cover)
     else:
-        scored = _cut_by_text(_counted_by_shard(docs, hashed, sieve, 64 - bits, shards), least, cover)
+        candidates, shards = _candidates(docs, sieve, 64 - bits), max(1, -(-n // shard_slots))
+        scored = _cut_by_text(_counted_by_shard(docs, _hashed(candidates, shards), sieve, 64 - bits, shards), least, cover)
+        totals = _words_of_languages(docs)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     first = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
     return first.join(F.broadcast(totals) if totals.limit(10_001).count() <= 10_000 else totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
