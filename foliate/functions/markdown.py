@@ -218,22 +218,6 @@ def crossed(paragraph: str) -> bool:
     return bool(stack)
 
 
-def inline_tags(text: str) -> str:
-    """``small_tags`` paragraph by paragraph; one whose tags cross stays as it is."""
-    return re.sub(r"(?:[^\n]+\n?)+", lambda m: m[0] if "<" in m[0] and crossed(m[0]) and re.search(r"<span\b", m[0], re.I) else small_tags(m[0]), text)
-
-
-def enhanced(text: str) -> str:
-    """All rewriting of a page's own markup."""
-    def use(rest: str) -> str:
-        rest = split_callouts(synced(rest))
-        for step in (inline_tags, tables, columns, callouts):
-            rest = step(rest)
-        return rest
-
-    return bold(outside_code(fences(text), use))
-
-
 _LINK = re.compile(r"(!?)\[((?:[^\[\]\\]|\\.|\[[^\[\]]*\])*)\]\(\s*<?([^\s()<>]+(?:\([^\s()]*\)[^\s()<>]*)*)>?(\s+(?:\"[^\"]*\"|'[^']*'))?\s*\)")
 _MENTION = re.compile(r"<(page|mention-page)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>(.*?)</\1>", re.I | re.S)
 
@@ -273,58 +257,6 @@ def links(text: str, paths: dict[str, str]) -> str:
     return outside_code(text, use)
 
 
-def is_signed(url: str, hosts: tuple[str, ...] = ("notion.so", "notion-static.com")) -> bool:
-    """A URL of a known store with a signature in its query."""
-    try:
-        u = urlsplit(url.replace("&amp;", "&"))
-    except ValueError:
-        return False
-    host = (u.hostname or "").lower().rstrip(".")
-    known = any(host == h or host.endswith("." + h) for h in hosts) or re.fullmatch(r"prod-files-secure\.s3(?:\.[a-z0-9-]+)?\.amazonaws\.com", host) or (re.fullmatch(r"s3(?:\.[a-z0-9-]+)?\.amazonaws\.com", host) and re.match(r"/secure\.notion-static\.com(?:/|$)", u.path, re.I))
-    return bool(known) and any(unquote(p.split("=")[0]).lower() in SIGNATURES for p in u.query.split("&"))
-
-
-_URL = re.compile(r"https?://[^\s<>\"'\\)\]]+", re.I)
-
-
-def signed_urls(text: str) -> tuple[str, int, list[str]]:
-    """The text with signed URLs in destinations, autolinks and quoted attributes cut to origin and path; how many; and those found elsewhere, which can't be cut safely."""
-    replaced, unsafe = 0, []
-
-    def use(rest: str) -> str:
-        nonlocal replaced
-        out, at = [], 0
-        for m in _URL.finditer(rest):
-            if not is_signed(m[0]):
-                continue
-            before, after = rest[max(0, m.start() - 2) : m.start()], rest[m.end() : m.end() + 1]
-            held = before.endswith(("](", "(<", "](<", "<")) and after in (")", ">", " ") or before.endswith(('="', "='")) and after == before[-1]
-            if not held:
-                unsafe.append(m[0])
-                continue
-            u = urlsplit(m[0].replace("&amp;", "&"))
-            out.append(rest[at : m.start()] + f"{u.scheme}://{u.netloc}{u.path}")
-            at, replaced = m.end(), replaced + 1
-        return "".join([*out, rest[at:]])
-
-    return outside_code(text, use), replaced, unsafe
-
-
-def asset_urls(text: str, local: dict[str, str]) -> str:
-    """Destinations of links, images and autolinks that have a local copy."""
-    def use(rest: str) -> str:
-        def link(m: re.Match) -> str:
-            to = local.get(m[3])
-            if to is None:
-                return m[0]
-            return f"{m[1]}[{m[2]}]({f'<{to}>' if re.search(r'[\s()]', to) else to}{m[4] or ''})"
-
-        rest = _LINK.sub(link, rest)
-        return re.sub(r"<(https?://[^\s<>]+)>", lambda m: f"[{m[1]}]({local[m[1]]})" if m[1] in local else m[0], rest)
-
-    return outside_code(text, use)
-
-
 def assets(text: str) -> list[tuple[str, str, str, int]]:
     """Kind, URL, caption and occurrence of each image (an image) and link (a file)."""
     found, counts = [], {"image": 0, "file": 0}
@@ -340,53 +272,14 @@ def assets(text: str) -> list[tuple[str, str, str, int]]:
     return found
 
 
-def tokens(text: str, rendered: list[str], pattern: str = r"<unknown\b[^>]*/?>") -> str | None:
-    """Unknown-block tokens replaced by what was rendered for them in order; None unless each has one."""
-    n = len(re.findall(pattern, text))
-    if n != len(rendered):
-        return None
-    each = iter(rendered)
-    return re.sub(pattern, lambda _: next(each), text)
-
-
-def bold(text: str) -> str:
-    """A zero-width space outside bold marks that touch punctuation within and a letter without, where CommonMark wouldn't see them."""
-    def use(rest: str) -> str:
-        def one(m: re.Match) -> str:
-            inner, left, right = m[1], rest[m.start() - 1 : m.start()], rest[m.end() : m.end() + 1]
-            odd = lambda ch: bool(ch) and not ch.isalnum() and not ch.isspace()
-            before = "\u200b" if odd(inner[0]) and left.isalnum() else ""
-            after = "\u200b" if odd(inner[-1]) and right.isalnum() else ""
-            return f"{before}**{inner}**{after}"
-
-        return re.sub(r"\*\*(?=\S)([^*\n]+?)(?<=\S)\*\*", one, rest)
-
-    return outside_code(text, use)
-
-
-def split_callouts(text: str) -> str:
-    """Two callouts of one kind that only a closing and an opening tag part are one."""
-    return outside_code(text, lambda rest: re.sub(r"</callout>\s*\n<callout((?:[^>\"']|\"[^\"]*\"|'[^']*')*)\bcontinued=(?:\"true\"|'true')[^>]*>\n?", "", rest, flags=re.I))
-
-
-def fences(text: str) -> str:
-    """A fence that opens indented in a numbered list and closes at the margin is closed at its indentation; anything else stays."""
-    lines = text.split("\n")
-    out, fence, indent, listed = [], "", 0, False
-    for line in lines:
-        m = re.match(r"^( *)(`{3,}|~{3,})(.*)$", line)
-        if re.match(r"^ {0,3}\d+[.)] ", line) and not fence:
-            listed = True
-        elif line.strip() and not line.startswith(" ") and not fence:
-            listed = False
-        if m and not fence:
-            fence, indent = m[2], len(m[1])
-        elif m and m[2][0] == fence[0] and len(m[2]) >= len(fence) and not m[3].strip():
-            if listed and indent and not m[1]:
-                line = " " * indent + line
-            fence = ""
-        out.append(line)
-    return text if fence else "\n".join(out)
+def around_tokens(text: str, pattern: str) -> list[str]:
+    """What stands before, between and after the tokens that aren't in code."""
+    out = [""]
+    for code, piece in parts(text):
+        first, *rest = [piece] if code else re.split(pattern, piece)
+        out[-1] += first
+        out += rest
+    return out
 
 
 def front_matter(fields: list[tuple[str, object]]) -> str:

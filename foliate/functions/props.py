@@ -118,10 +118,10 @@ def stabilised(value: object) -> tuple[object, int, int]:
 
     The URL of a hosted file loses its query whatever it is; that of an external one stays.
     """
-    from foliate.functions import markdown
+    from foliate.functions import destinations
 
     if isinstance(value, str):
-        text, done, unsafe = markdown.signed_urls(value)
+        text, done, unsafe = destinations.signed_urls(value)
         return text, done, len(unsafe)
     done = unsafe = 0
     if isinstance(value, list):

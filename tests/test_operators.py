@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from foliate.functions import markdown, names, props, texts, urls
+from foliate.functions import destinations, markdown, markup, names, props, texts, urls
 from foliate.operators import diff, match, pages, tree
 from foliate.sources.tables import Snapshots
 
@@ -127,14 +127,14 @@ CALLOUT = '<callout type="warning">\nMind **this**\n</callout>'
 
 
 def test_markdown_kernels():
-    assert markdown.enhanced(CALLOUT) == "> [!warning]\n> Mind **this**"
-    assert markdown.enhanced(f"```\n{CALLOUT}\n```") == f"```\n{CALLOUT}\n```"
-    assert markdown.enhanced("`<table><tr><td>x</td></tr></table>`") == "`<table><tr><td>x</td></tr></table>`"
-    assert markdown.enhanced('<table header-row="true"><tr><td>Fruit</td><td>Count</td></tr><tr><td>Apple</td><td>3</td></tr></table>') == "| Fruit | Count |\n| --- | --- |\n| Apple | 3 |"
+    assert markup.enhanced(CALLOUT) == "> [!warning]\n> Mind **this**"
+    assert markup.enhanced(f"```\n{CALLOUT}\n```") == f"```\n{CALLOUT}\n```"
+    assert markup.enhanced("`<table><tr><td>x</td></tr></table>`") == "`<table><tr><td>x</td></tr></table>`"
+    assert markup.enhanced('<table header-row="true"><tr><td>Fruit</td><td>Count</td></tr><tr><td>Apple</td><td>3</td></tr></table>') == "| Fruit | Count |\n| ----- | ----- |\n| Apple | 3     |"
     kept = "<table><tr><th>Raw</th></tr><tr><td>HTML table</td></tr></table>"
-    assert markdown.enhanced(kept) == kept
-    assert markdown.enhanced('<synced_block url="o">\n<synced_block url="i">\nInner block\n</synced_block>\n</synced_block>\n## Between blocks\n<synced_block url="s">\nSecond block\n</synced_block>\nAfter blocks\n') == "Inner block\n\n## Between blocks\n\nSecond block\n\nAfter blocks\n"
-    assert markdown.enhanced("<columns>\n<column>\nFirst\n</column>\n<column>\nSecond\n</column>\n</columns>") == "First\n\nSecond"
+    assert markup.enhanced(kept) == kept
+    assert markup.enhanced('<synced_block url="o">\n<synced_block url="i">\nInner block\n</synced_block>\n</synced_block>\n## Between blocks\n<synced_block url="s">\nSecond block\n</synced_block>\nAfter blocks\n') == "Inner block\n\n## Between blocks\n\nSecond block\n\nAfter blocks\n"
+    assert markup.enhanced("<columns>\n<column>\nFirst\n</column>\n<column>\nSecond\n</column>\n</columns>") == "First\n\nSecond"
     assert markdown.columns("<columns>stray<column>x</column></columns>") == "<columns>stray<column>x</column></columns>"
     assert markdown.callouts("<callout>open") == "<callout>open"
 
@@ -148,7 +148,7 @@ def test_links():
 
 def test_signed_urls():
     url = "https://prod-files-secure.s3.us-west-2.amazonaws.com/a/b.png?X-Amz-Signature=1&amp;X-Amz-Date=2"
-    text, replaced, unsafe = markdown.signed_urls(f"![x]({url}) <{url}> bare {url} <img src=\"{url}\">")
+    text, replaced, unsafe = destinations.signed_urls(f"![x]({url}) <{url}> bare {url} <img src=\"{url}\">")
     bare = url.split("?")[0]
     assert text == f"![x]({bare}) <{bare}> bare {url} <img src=\"{bare}\">" and replaced == 3 and unsafe == [url]
 
@@ -214,7 +214,7 @@ def test_log_redaction(caplog):
 
 def test_crossed_tags_stay():
     crossed = '<span color="red">a<u>b</span></u>\n\n<span color="red">c</span>'
-    assert markdown.enhanced(crossed) == '<span color="red">a<u>b</span></u>\n\n==c=='
+    assert markup.enhanced(crossed) == '<span color="red">a<u>b</span></u>\n\n==c=='
 
 
 def test_stabilised_json():
