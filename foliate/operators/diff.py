@@ -32,20 +32,32 @@ def regenerates(action: Column, reasons: Column) -> Column:
     return action.isin("CREATE", "UPDATE") | ((action == "MOVE") & (F.size(reasons) > 1))
 
 
-def missing(stored: DataFrame, seen: DataFrame, elsewhere: DataFrame, complete: DataFrame, grace: int = 2, mode: str = "full") -> DataFrame:
-    """``id, missing_count, to_trash`` of stored resources (``id, root_id, status, missing_count``) of complete roots.
+def missing(stored: DataFrame, seen: DataFrame, elsewhere: DataFrame, complete: DataFrame, grace: int = 2, mode: str = "full", confirmed: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
+    """``id, missing_count, to_trash, reason`` of stored resources (``id, root_id, status, missing_count``) of complete roots.
 
     ``seen``: ``id, in_trash`` of this run; ``elsewhere``: ids seen under another root;
     ``complete``: root ids whose census allows deletion.  Nothing on a page run.
+    ``confirmed``: ``id, reason`` (moved_out_of_scope, manual_reconcile) of what goes at once; ``removed``: root ids that
+    are no longer configured, whose resources are missing for that reason.
     """
     if mode == "page":
-        return stored.limit(0).select("id", F.lit(0).alias("missing_count"), F.lit(False).alias("to_trash"))
-    rows = stored.filter("status <> 'tombstoned'").join(complete.select("root_id"), "root_id", "left_semi")
+        return stored.limit(0).select("id", F.lit(0).alias("missing_count"), F.lit(False).alias("to_trash"), F.lit("").alias("reason"))
+    roots = complete.select("root_id") if removed is None else complete.select("root_id").unionByName(removed.select("root_id"))
+    rows = stored.filter("status <> 'tombstoned'").join(roots, "root_id", "left_semi")
     rows = rows.join(seen.select("id", "in_trash", F.lit(True).alias("seen")), "id", "left").join(elsewhere.select("id", F.lit(True).alias("other")).distinct(), "id", "left")
     n, is_seen = F.col("missing_count"), F.col("seen").isNotNull()
     trashed = F.coalesce("in_trash", F.lit(False))
+    gone = F.lit("not_found")
+    if removed is not None:
+        rows = rows.join(removed.select("root_id", F.lit(True).alias("removed")).distinct(), "root_id", "left")
+        gone = F.when(F.col("removed"), "root_removed").otherwise("not_found")
     count = F.when(trashed, n + 1).when(~is_seen & F.col("other").isNotNull(), None).when(is_seen, F.when(n > 0, 0)).otherwise(n + 1)
-    out = rows.select("id", count.cast("int").alias("missing_count"), ((trashed | (~is_seen & F.col("other").isNull())) & (n + 1 >= grace)).alias("to_trash"), F.when(trashed, "in_trash").otherwise("not_found").alias("reason"))
+    to_trash, reason = (trashed | (~is_seen & F.col("other").isNull())) & (n + 1 >= grace), F.when(trashed, "in_trash").otherwise(gone)
+    if confirmed is not None:
+        rows = rows.join(confirmed.groupBy("id").agg(F.min("reason").alias("confirmed")), "id", "left")
+        at_once = F.col("confirmed").isNotNull()
+        count, to_trash, reason = F.when(at_once, n).otherwise(count), at_once | to_trash, F.coalesce("confirmed", reason)
+    out = rows.select("id", count.cast("int").alias("missing_count"), to_trash.alias("to_trash"), reason.alias("reason"))
     return out.filter("missing_count is not null")
 
 
@@ -72,37 +84,38 @@ def upsert(old: DataFrame, new: DataFrame, key: str, kept: list[str] = (), froze
     return joined.select(key, *(one(c).alias(c) for c in columns if c != key))
 
 
-def violations(actions: DataFrame, complete: bool, managed: int, allow_large: bool = False) -> DataFrame:
+def violations(actions: DataFrame, complete: bool, managed: int, allow_large: bool = False, most_ratio: float = 0.2, most_count: int = 50) -> DataFrame:
     """``rule, id`` of a plan's actions (``kind, id, source_path, target_path, target_state, managed``) that break a safety rule."""
-    found = []
-
-    def rule(name: str, condition: Column) -> None:
-        found.append(actions.filter(F.coalesce(condition, F.lit(False))).select(F.lit(name).alias("rule"), "id"))
-
-    kind = F.col("kind")
-    rule("unmanaged_write", (kind == "WRITE") & (F.col("target_state") == "unmanaged"))
-    rule("outside_root", F.exists(F.array("source_path", "target_path"), lambda p: p.isNotNull() & ~names.within_root(p)))
-    rule("unmanaged_destructive", kind.isin("MOVE", "TRASH") & ~F.col("managed"))
-    rule("root_removal", (kind == "TRASH") & F.col("source_path").isin("", "."))
-    if not complete:
-        rule("partial_trash", kind == "TRASH")
+    kind, trash = F.col("kind"), F.col("kind") == "TRASH"
+    rules = {
+        "unmanaged_write": (kind == "WRITE") & (F.col("target_state") == "unmanaged"),
+        "outside_root": F.exists(F.array("source_path", "target_path"), lambda p: p.isNotNull() & ~names.within_root(p)),
+        "unmanaged_destructive": kind.isin("MOVE", "TRASH") & ~F.col("managed"),
+        "root_removal": trash & F.col("source_path").isin("", "."),
+        "partial_trash": trash & F.lit(not complete),
+    }
+    # One reading gives each row its broken rules; one aggregate finds shared outputs, one row the trash of all.
+    broken = F.filter(F.array(*(F.when(condition, name) for name, condition in rules.items())), lambda x: x.isNotNull())
+    rows = actions.select(F.explode(broken).alias("rule"), "id")
     outputs = actions.filter(kind.isin("WRITE", "MOVE")).select("id", names.collision_key(F.col("target_path")).alias("k"))
-    shared = outputs.groupBy("k").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("k")
-    found.append(outputs.join(shared, "k", "left_semi").select(F.lit("shared_output").alias("rule"), "id").distinct())
+    shared = outputs.groupBy("k", "id").agg(F.lit("shared_output").alias("rule"))
+    several = shared.groupBy("k").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select("k")
+    out = rows.unionByName(shared.join(several, "k", "left_semi").select("rule", "id").distinct())
     if not allow_large:
-        total = actions.agg(F.count_if(kind == "TRASH").alias("n"))
-        found.append(total.filter(trash_limits(F.col("n"), managed)).select(F.lit("too_much_trash").alias("rule"), F.lit(None).cast("string").alias("id")))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+        total = actions.agg(F.count_if(trash).alias("n"))
+        out = out.unionByName(total.filter(trash_limits(F.col("n"), managed, most_ratio, most_count)).select(F.lit("too_much_trash").alias("rule"), F.lit(None).cast("string").alias("id")))
     return out
 
 
+class Refused(ValueError):
+    """A plan that breaks safety rules: nothing of its run was written."""
+
+
 def raise_on(broken: DataFrame, message: str = "the plan breaks safety rules") -> None:
     """The one eager step of a run: nothing is written if there is a violation."""
     some = [r.asDict() for r in broken.limit(20).collect()]
     if some:
-        raise ValueError(f"{message}: {some}")
+        raise Refused(f"{message}: {some}")
 
 
 def counts(actions: DataFrame) -> DataFrame:

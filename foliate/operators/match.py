@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,48 +14,64 @@ def occurrences(assets: DataFrame, page: str = "page", kind: str = "kind", place
     return assets.withColumn("occurrence", (F.row_number().over(Window.partitionBy(page, kind).orderBy(place)) - 1).cast("long"))
 
 
-def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One page: rows of side ``m`` (in text) take rows of side ``b`` (blocks) one after the other.
-
-    By equal URL taken before, by unique URL path, by unique file name, by kind,
-    occurrence and caption.  Several candidates at a step make the asset ambiguous.
-    """
-    mine = pdf[pdf["side"] == "m"].sort_values("place")
-    blocks = pdf[pdf["side"] == "b"].sort_values("place").to_dict("records")
-    used: set[str] = set()
-    by_url: dict[str, str] = {}
-    out = []
-    for a in mine.to_dict("records"):
-        free = [b for b in blocks if b["block"] not in used]
-        row = {"page": a["page"], "place": a["place"], "status": "unmatched", "block": None, "strategy": None}
-        steps = [
-            ("url_path", a["url_key"], lambda b, a=a: b["url_key"] == a["url_key"]),
-            ("filename", a["name_key"], lambda b, a=a: b["name_key"] == a["name_key"]),
-            ("position_caption", True, lambda b, a=a: (b["kind"], b["occurrence"], b["caption"]) == (a["kind"], a["occurrence"], a["caption"])),
-        ]
-        if a["url_key"] and a["url"] in by_url:
-            row |= {"status": "matched", "block": by_url[a["url"]], "strategy": "url_path"}
-            steps = []
-        for name, present, test in steps:
-            found = [b["block"] for b in free if test(b)] if present else []
-            if len(found) == 1:
-                used.add(found[0])
-                if name == "url_path":
-                    by_url[a["url"]] = found[0]
-                row |= {"status": "matched", "block": found[0], "strategy": name}
-            elif found:
-                row |= {"status": "ambiguous", "strategy": name}
-            if found:
-                break
-        out.append(row)
-    return pd.DataFrame(out, columns=["page", "place", "status", "block", "strategy"])
+class _Page:
+    """One page's blocks that are still free, by each key, and the blocks that its URLs have taken."""
+
+    def __init__(self) -> None:
+        self.free: dict[tuple, dict[str, None]] = {}
+        self.keys: dict[str, list[tuple]] = {}
+        self.by_url: dict[str, str] = {}
+
+    def add(self, row: dict) -> None:
+        self.keys[row["block"]] = keys = [("url_path", row["url_key"]), ("filename", row["name_key"]), ("position_caption", row["kind"], row["occurrence"], row["caption"])]
+        for key in keys:
+            self.free.setdefault(key, {})[row["block"]] = None
+
+    def take(self, row: dict) -> tuple[str, str | None, str | None]:
+        """Status, block and strategy of an asset: the first key with a free block decides, alone or ambiguously."""
+        if row["url_key"] and row["url"] in self.by_url:
+            return "matched", self.by_url[row["url"]], "url_path"
+        for key in (("url_path", row["url_key"]), ("filename", row["name_key"]), ("position_caption", row["kind"], row["occurrence"], row["caption"])):
+            found = self.free.get(key) if len(key) > 2 or key[1] else None
+            if not found:
+                continue
+            if len(found) > 1:
+                return "ambiguous", None, key[0]
+            block = next(iter(found))
+            for other in self.keys[block]:
+                self.free[other].pop(block, None)
+            if key[0] == "url_path":
+                self.by_url[row["url"]] = block
+            return "matched", block, key[0]
+        return "unmatched", None, None
 
 
 def match(assets: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``page, place, status, block, strategy`` of each asset; the order on a page decides, so a page is one task's group."""
-    columns = ["page", "place", "url", "url_key", "name_key", "kind", "occurrence", "caption", "block", "side"]
-    rows = assets.withColumns({"side": F.lit("m"), "block": F.lit(None).cast("string")}).select(columns).unionByName(blocks.withColumn("side", F.lit("b")).select(columns))
-    return rows.groupBy("page").applyInPandas(greedy, "page string, place long, status string, block string, strategy string")
+    """``page, place, status, block, strategy`` of each asset: each takes, in order, a block that those before it left.
+
+    By equal URL taken before, by unique URL path, by unique file name, by kind, occurrence and caption. Rows stream in
+    order, a page's blocks before its assets; a task holds one page's blocks, and each asset takes constant time.
+    """
+    columns = ["page", "side", "place", "url", "url_key", "name_key", "kind", "occurrence", "caption", "block"]
+    rows = assets.withColumns({"side": F.lit(1), "block": F.lit(None).cast("string")}).select(columns).unionByName(blocks.withColumn("side", F.lit(0)).select(columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, page = object(), _Page()
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                if row["page"] != now:
+                    now, page = row["page"], _Page()
+                if row["side"]:
+                    out.append((row["page"], row["place"], *page.take(row)))
+                else:
+                    page.add(row)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], names=["page", "place", "status", "block", "strategy"])
+
+    n = int(assets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stream = rows.repartition(n, "page").sortWithinPartitions("page", "side", "place")
+    return stream.mapInArrow(run, "page string, place long, status string, block string, strategy string")
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -152,22 +152,60 @@ def _migrated(old: DataFrame) -> DataFrame:
     return state.read("resources").select("id", "label", F.lit(state.latest()).cast("long").alias("run")).crossJoin(F.broadcast(versions))
 
 
+#: Parameters of the runs below: any number may go, but a fifth at most.
+LIMITS = runs.Limits(grace=2, most_ratio=0.2, most_count=1 << 40)
+
+
+def _censuses(src: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A whole census, and the one in which some pages have other titles."""
+    whole = src.select("k", "id", "root_id", "title", F.concat("root_id", F.lit("/"), "title", F.lit(".md")).alias("expected_path"), F.lit(False).alias("in_trash"), F.col("text").alias("markdown"))
+    renamed = whole.withColumn("title", F.when(F.col("k") % 10 == 4, F.concat("title", F.lit(" new"))).otherwise(c("title"))).withColumn("expected_path", F.concat("root_id", F.lit("/"), "title", F.lit(".md")))
+    return whole, renamed
+
+
 def _four_runs(src: DataFrame) -> DataFrame:
     """The state after four censuses: whole, with some pages gone, some of them back and others renamed, and the same again; a tombstone isn't counted on."""
     state = _new_state(src.sparkSession)
     digit = F.col("k") % 10
-    whole = src.select("k", "id", "root_id", "title", F.concat("root_id", F.lit("/"), "title", F.lit(".md")).alias("expected_path"), F.lit(False).alias("in_trash"))
-    renamed = whole.withColumns({"title": F.when(digit == 4, F.concat("title", F.lit(" new"))).otherwise(c("title"))}).withColumn("expected_path", F.concat("root_id", F.lit("/"), "title", F.lit(".md")))
+    whole, renamed = _censuses(src)
     for n, census in enumerate([whole, whole.filter(~digit.isin(3, 5)), renamed.filter(digit != 3), renamed.filter(digit != 3)]):
-        runs.apply_run(state, census.drop("k"), n)
+        runs.apply_run(state, census.drop("k", "markdown"), n, LIMITS)
     return state.read("resources").select("id", "title", "local_path", "status", c("missing_count").cast("long").alias("missing_count"))
 
 
+def _refused_run(src: DataFrame) -> DataFrame:
+    """The state after a third of all pages was missing twice: the second run would trash too much, so it leaves what the first one left."""
+    state = _new_state(src.sparkSession)
+    whole, renamed = _censuses(src)
+    runs.apply_run(state, whole.drop("k"), 0, LIMITS)
+    runs.apply_run(state, whole.filter("k % 3 > 0").drop("k"), 1, LIMITS)
+    try:
+        runs.apply_run(state, renamed.filter("k % 3 > 0").drop("k"), 2, LIMITS)
+        refused = False
+    except diff.Refused:
+        refused = True
+    return state.read("resources").select("id", "title", "status", c("missing_count").cast("long").alias("missing_count"), F.lit(refused).alias("refused"))
+
+
+def _rewritten_pages(src: DataFrame) -> DataFrame:
+    """The bodies after two runs, the second with one text in ten changed: only those are rewritten."""
+    state = _new_state(src.sparkSession)
+    whole, _ = _censuses(src)
+    marked = whole.withColumn("markdown", F.concat(F.lit('<callout type="tip">A</callout>\n\n'), "markdown"))
+    runs.apply_run(state, marked.drop("k"), 0, LIMITS)
+    changed = marked.withColumn("markdown", F.when(F.col("k") % 10 == 7, F.concat(F.lit("<synced_block>B</synced_block>\n\n"), "markdown")).otherwise(c("markdown")))
+    runs.apply_run(state, changed.drop("k"), 1, LIMITS)
+    rewritten = state.read("runs").filter("batch = 1").select("n_rewritten")
+    return state.read("bodies").select("id", "body").join(F.broadcast(rewritten))
+
+
 register("A12_commit_read_back", _UPSERT, _committed, "SELECT id, CASE WHEN n.id IS NOT NULL THEN n.title ELSE o.title END AS title, coalesce(n.local_path, o.local_path) AS local_path, 2::BIGINT AS run FROM old o FULL JOIN new n USING (id)")
 register("H26_ladder", {"old": _OLD_STATE}, _migrated, "SELECT id, 'active-' || title AS label, 3::BIGINT AS run, 2::BIGINT AS versions, 2::BIGINT AS version FROM old")
-_PAGES = "SELECT doc_id AS k, CAST(doc_id AS STRING) AS id, lang AS root_id, concat(source, '-', CAST(doc_id AS STRING)) AS title FROM {documents}"
+_PAGES = "SELECT doc_id AS k, CAST(doc_id AS STRING) AS id, lang AS root_id, concat(source, '-', CAST(doc_id AS STRING)) AS title, text FROM {documents}"
 register("runs_over_snapshots", {"src": _PAGES}, _four_runs, """, x AS (SELECT *, CASE WHEN k % 10 = 4 THEN title || ' new' ELSE title END AS t FROM src)
     SELECT id, t AS title, root_id || '/' || t || '.md' AS local_path, CASE WHEN k % 10 = 3 THEN 'tombstoned' ELSE 'active' END AS status, (CASE WHEN k % 10 = 3 THEN 2 ELSE 0 END)::BIGINT AS missing_count FROM x""")
+register("runs_refused", {"src": _PAGES}, _refused_run, "SELECT id, title, CASE WHEN k % 3 = 0 THEN 'missing' ELSE 'active' END AS status, (CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS missing_count, true AS refused FROM src")
+register("runs_rewritten", {"src": _PAGES}, _rewritten_pages, "SELECT id, CASE WHEN k % 10 = 7 THEN 'B' || chr(10) || chr(10) ELSE '' END || '> [!tip]' || chr(10) || '> A' || chr(10) || chr(10) || text AS body, (SELECT count(*) FROM src WHERE k % 10 = 7) AS n_rewritten FROM src")
 
 
 def _signed_counts(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
@@ -42,11 +43,34 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Levels:
+    """Tables of one kind, stored one after the other and read as one, so a plan doesn't grow with their number."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.paths, self.schema = spark, [], None
+        self.root = f"{shared_dir(spark).rstrip('/')}/foliate-{uuid.uuid4().hex}/{name}"
+        root = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        root.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(root.getParent())
+
+    def add(self, df: DataFrame) -> DataFrame:
+        self.paths.append(f"{self.root}/{len(self.paths)}")
+        self.schema = self.schema or df.schema
+        df.write.option("compression", "zstd").parquet(self.paths[-1])
+        return self.spark.read.schema(self.schema).parquet(self.paths[-1])
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
+
+
+#: Seconds after which a marker without content is that of a writer that died.
+PATIENCE = 60
+
+
 class Snapshots:
     """State tables as numbered snapshots; a run becomes visible when its marker is written, all tables at once."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, patience: float = PATIENCE):
+        self.spark, self.root, self.patience = spark, root.rstrip("/"), patience
 
     def _path(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -56,6 +80,17 @@ class Snapshots:
         path, fs = self._path("done")
         return max((int(s.getPath().getName()) for s in fs.listStatus(path) if s.getLen()), default=None) if fs.exists(path) else None
 
+    def _next(self) -> int:
+        """The number after the last run's; numbers of writers that died between marker and content are passed over."""
+        path, fs = self._path("done")
+        n = (self.latest() or 0) + 1
+        held = {int(s.getPath().getName()): s for s in fs.listStatus(path)} if fs.exists(path) else {}
+        while n in held and not held[n].getLen():
+            if time.time() - held[n].getModificationTime() / 1000 < self.patience:
+                raise RuntimeError(f"another writer is at run {n}")
+            n += 1
+        return n
+
     def _folder(self, n: int) -> str:
         """The folder of a run, which its marker names."""
         path, fs = self._path(f"done/{n}")
@@ -83,7 +118,7 @@ class Snapshots:
         Every writer has a folder of its own. Of two that follow the same run, the marker lets only the first
         one through and the other fails, so no run is lost or mixed.
         """
-        n = (self.latest() or 0) + 1
+        n = self._next()
         folder = f"run={n}-{uuid.uuid4().hex}"
         for name, df in tables.items():
             df.write.option("compression", "zstd").parquet(f"{self.root}/{folder}/{name}")

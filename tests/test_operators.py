@@ -1,6 +1,5 @@
 """Operators over small rows that the tables don't hold."""
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,19 +99,98 @@ def test_cycles_and_reach(spark):
     assert {r.id: r.reachability for r in tree.reach(ask, nodes, "r").collect()} == {"r": "inside", "a": "inside", "b": "unknown", "d": "unknown"}
 
 
-def test_greedy_match():
-    base = {"page": "p", "kind": "image", "caption": "", "occurrence": 0}
-    rows = [
-        base | {"side": "m", "place": 0, "url": "https://h/1?a", "url_key": "/1", "name_key": None, "block": None},
-        base | {"side": "m", "place": 1, "url": "https://h/1?a", "url_key": "/1", "name_key": None, "block": None},
-        base | {"side": "m", "place": 2, "url": "https://h/9", "url_key": "/9", "name_key": "two", "block": None, "occurrence": 5},
-        base | {"side": "m", "place": 3, "url": "https://h/8", "url_key": "/8", "name_key": None, "block": None, "occurrence": 7},
-        base | {"side": "b", "place": 0, "url": "x", "url_key": "/1", "name_key": "one", "block": "b1"},
-        base | {"side": "b", "place": 1, "url": "y", "url_key": "/2", "name_key": "two", "block": "b2"},
-        base | {"side": "b", "place": 2, "url": "z", "url_key": "/3", "name_key": "two", "block": "b3"},
-    ]
-    out = match.greedy(pd.DataFrame(rows)).set_index("place")
-    assert out["block"].tolist()[:2] == ["b1", "b1"] and out["status"].tolist() == ["matched", "matched", "ambiguous", "unmatched"]
+def in_order(assets, blocks):
+    """One page, step by step: the plain reading of what ``match.match`` streams."""
+    free, by_url, out = list(blocks), {}, []
+    for a in assets:
+        steps = [("url_path", a["url_key"], lambda b, a=a: b["url_key"] == a["url_key"]), ("filename", a["name_key"], lambda b, a=a: b["name_key"] == a["name_key"]), ("position_caption", True, lambda b, a=a: (b["kind"], b["occurrence"], b["caption"]) == (a["kind"], a["occurrence"], a["caption"]))]
+        row = ("unmatched", None, None)
+        if a["url_key"] and a["url"] in by_url:
+            row, steps = ("matched", by_url[a["url"]], "url_path"), []
+        for name, present, test in steps:
+            found = [b for b in free if test(b)] if present else []
+            if len(found) == 1:
+                free.remove(found[0])
+                row = ("matched", found[0]["block"], name)
+                if name == "url_path":
+                    by_url[a["url"]] = found[0]["block"]
+            elif found:
+                row = ("ambiguous", None, name)
+            if found:
+                break
+        out.append((a["place"], *row))
+    return out
+
+
+def test_match_in_order(spark):
+    import random
+
+    draw = random.Random(4)
+    kind = "page string, place long, url string, url_key string, name_key string, kind string, occurrence long, caption string"
+    assets, blocks, want = [], [], []
+    for page in range(30):
+        one = lambda k, page=page: {"page": f"p{page}", "place": k, "url": f"https://h/{draw.randint(0, 4)}?{draw.randint(0, 1)}", "url_key": draw.choice(["/1", "/2", "/3", None, ""]), "name_key": draw.choice(["a", "b", None]), "kind": draw.choice(["image", "file"]), "occurrence": draw.randint(0, 2), "caption": draw.choice(["", "c"])}
+        mine, own = [one(k) for k in range(draw.randint(0, 12))], [one(k) | {"block": f"b{k}"} for k in range(draw.randint(0, 12))]
+        assets += mine
+        blocks += own
+        want += [(f"p{page}", *r) for r in in_order(mine, own)]
+    got = match.match(spark.createDataFrame(assets, kind), spark.createDataFrame(blocks, kind + ", block string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_long_chains(spark):
+    """A chain of 20,000 nodes, a cycle and what hangs below it, a missing parent: fifteen rounds."""
+    chain = spark.range(20_000).selectExpr("cast(id AS string) AS id", "CASE WHEN id > 0 THEN cast(id - 1 AS string) END AS parent_id")
+    odd = spark.createDataFrame([("x", "y"), ("y", "x"), ("below", "x"), ("d", "gone"), ("e", "d"), ("self", "self")], "id string, parent_id string")
+    got = {r.id: (r.top, r.depth, r.state) for r in tree.climb(chain.unionByName(odd)).collect()}
+    assert all(got[str(k)] == ("0", k, "rooted") for k in range(20_000))
+    assert {k: got[k][2] for k in ("x", "y", "below", "self", "d", "e")} == {"x": "cycle", "y": "cycle", "below": "cycle", "self": "cycle", "d": "missing", "e": "missing"}
+    assert got["e"][:2] == ("gone", 2) and got["d"][:2] == ("gone", 1)
+
+
+def test_runs_refuse(spark, tmp_path):
+    """Too much trash, a partial census with trash, an unmanaged target, two pages at one path: nothing is written."""
+    from foliate.streaming import runs
+
+    kind = "id string, root_id string, title string, expected_path string, in_trash boolean"
+    rows = [(str(k), "R" if k < 90 else "S", f"t{k}", f"{k}.md", False) for k in range(100)]
+    census = lambda keep: spark.createDataFrame([r for r in rows if keep(int(r[0]))], kind)
+    roots = lambda r, s: spark.createDataFrame([("R", r), ("S", s)], "root_id string, complete boolean")
+    state = Snapshots(spark, str(tmp_path))
+    read = lambda: {r.id: (r.status, r.missing_count) for r in state.read("resources").collect()}
+    assert runs.apply_run(state, census(lambda k: True), 0, roots=roots(True, True))
+    assert runs.apply_run(state, census(lambda k: k >= 30), 1, roots=roots(True, True))
+    held = read()
+    with pytest.raises(diff.Refused, match="too_much_trash"):
+        runs.apply_run(state, census(lambda k: k >= 30), 2, roots=roots(True, True))
+    assert read() == held and held["3"] == ("missing", 1)
+    with pytest.raises(diff.Refused, match="partial_trash"):
+        runs.apply_run(state, census(lambda k: k >= 5), 2, roots=roots(True, False))
+    with pytest.raises(diff.Refused, match="unmanaged_write"):
+        runs.apply_run(state, spark.createDataFrame([*rows, ("new", "R", "n", "n.md", False)], kind), 2, roots=roots(True, True), unmanaged=spark.createDataFrame([("n.md",)], "path string"))
+    with pytest.raises(diff.Refused, match="shared_output"):
+        runs.apply_run(state, spark.createDataFrame([*rows, ("n1", "R", "n", "n.md", False), ("n2", "R", "n", "N.md", False)], kind), 2, roots=roots(True, True))
+    assert read() == held
+    # a root that vanishes as a whole counts its pages missing; one that isn't configured any more removes them for that reason
+    assert runs.apply_run(state, census(lambda k: k < 90), 2, roots=roots(True, True))
+    assert read()["95"] == ("missing", 1) and read()["3"] == ("active", 0)
+    only = spark.createDataFrame([("R", True)], "root_id string, complete boolean")
+    assert runs.apply_run(state, census(lambda k: k < 90), 3, roots=only)
+    assert read()["95"] == ("tombstoned", 2) and {r.reason for r in state.read("plan").collect()} == {"root_removed"}
+    gone = spark.createDataFrame([("4", "moved_out_of_scope")], "id string, reason string")
+    assert runs.apply_run(state, census(lambda k: k < 90), 4, roots=only, confirmed=gone)
+    assert read()["4"][0] == "tombstoned" and [(r.id, r.reason) for r in state.read("plan").collect()] == [("4", "moved_out_of_scope")]
+
+
+def test_markers_of_dead_writers(spark, tmp_path):
+    """A writer that dies between marker and content blocks others for a while, not for good."""
+    state = Snapshots(spark, str(tmp_path))
+    state.commit({"t": spark.range(1)})
+    (tmp_path / "done/2").touch()
+    with pytest.raises(RuntimeError, match="run 2"):
+        state.commit({"t": spark.range(2)})
+    late = Snapshots(spark, str(tmp_path), patience=0)
+    assert late.latest() == 1 and late.commit({"t": spark.range(3)}) == 3 and late.read("t").count() == 3
 
 
 def test_snapshots_swap_whole_runs(spark, tmp_path):
@@ -171,10 +249,10 @@ def test_streamed_runs(spark, tmp_path):
     for k in range(3):
         stream = spark.readStream.schema(kind).parquet(f"{tmp_path}/in/{k}")
         runs.follow(stream, Snapshots(spark, f"{tmp_path}/one{k}"), f"{tmp_path}/cp{k}").awaitTermination()
-        assert runs.apply_run(state, spark.read.parquet(f"{tmp_path}/in/{k}"), k)
+        assert runs.apply_run(state, spark.read.parquet(f"{tmp_path}/in/{k}"), k, runs.Limits(allow_large=True))
     assert not runs.apply_run(state, spark.read.parquet(f"{tmp_path}/in/2"), 2)
     assert {r.id: (r.title, r.local_path, r.status, r.missing_count) for r in state.read("resources").collect()} == {"1": ("A", "A.md", "active", 0), "2": ("b", "b.md", "tombstoned", 2)}
-    assert [tuple(r)[:5] for r in state.read("runs").orderBy("batch").select("n_create", "n_update", "n_move", "n_trash", "n_unchanged").collect()] == [(2, 0, 0, 0, 0), (0, 0, 0, 0, 1), (0, 0, 1, 0, 0)]
+    assert [tuple(r)[:5] for r in state.read("runs").orderBy("batch").select("n_create", "n_update", "n_move", "n_trash", "n_unchanged").collect()] == [(2, 0, 0, 0, 0), (0, 0, 0, 0, 1), (0, 0, 1, 1, 0)]
     assert Snapshots(spark, f"{tmp_path}/one0").read("resources").count() == 2
 
 
