@@ -17,7 +17,7 @@ surrogate.
 
 Names are keyed by their words and by the gender that the document's forms of address
 give them, so 'Mr John Smith', 'Dr John Smith' and, in the same document, a bare 'John
-Smith' become one name; the surname is the same for all its bearers.  Given names come
+Smith', 'John' or 'Smith' become parts of one name; the surname is the same for all its bearers.  Given names come
 from lists by gender and script.  Names that clash, and social security numbers (which
 all begin with 9 then), are told apart by their rank among those that clash: an added
 syllable or another first digit.  Ranks and followed forms are the only tables; they are
@@ -26,7 +26,10 @@ looked up by a join, and without any texts are rewritten in place.
 Defined results: null and empty texts stay as they are; repeated rows get equal texts;
 an empty table gives no rows; all columns of the input are kept, and
 ``n_entities`` and ``entities`` are replaced if it has them; bare names aren't counted
-in them.  Names are only known by a form of address; two notations of one IPv6 address
+in them.  Names are only known by a form of address (capitalised, one or several in a row), and
+with them the full name, the given name and the surname wherever they stand alone in the document;
+a person known by one word that is a common word as well (``COMMON``) is not replaced where that
+word stands alone.  A word that is itself a form of address is never a name; two notations of one IPv6 address
 are two entities; letters beyond the Latin and Cyrillic alphabets stay within numbers
 and secrets.
 """
@@ -58,8 +61,12 @@ ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUV
 HEXADECIMAL, BASE32, NOT_BASE32 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0189"
 EVERY = "".join([*ALPHABETS, HEXADECIMAL, BASE32, NOT_BASE32])
 
-_FORMS = "(?:" + "|".join(sorted([*MALE_FORMS, *FEMALE_FORMS, *OTHER_FORMS], key=lambda x: (-len(x), x))) + r")(?:\. ?| )"
-_LOUD_FORMS = r"(?:(?:MRS|MR|DR)(?:\. ?| )|(?:MS|MX|PROF)\. ?)"
+#: Names that are words as well: alone, and without a full name beside them, they are read as words.
+COMMON = set("april august autumn baker best bill black blue brown church cook day dean duke faith fall field fisher forest frank grace gray green grey hall hill hope hunter joy juin juli juillet june junge jung king lake long lord mai march mark mars marsh may mayo mills moon noble north page pearl pope prince rich rose ruby rush sand sharp short smart snow sommer south spring stein stone storm summer sun swift violet wall ward waters weiss west white will winter wolf wood woods young".split())
+
+#: One form of address or several in a row, none of which is a name then.
+_FORMS = "(?:(?:" + "|".join(sorted([*MALE_FORMS, *FEMALE_FORMS, *OTHER_FORMS], key=lambda x: (-len(x), x))) + r")(?:\. ?| ))++"
+_LOUD_FORMS = r"(?:(?:MRS|MR|DR)(?:\. ?| )|(?:MS|MX|PROF)\. ?)++"
 _WORD = r"\p{Lu}(?=[\p{L}'’-]*\p{Ll})\p{L}*(?:['’-]\p{Lu}\p{L}+)*(?!\p{L})"
 _LOUD_WORD = r"\p{Lu}(?=['’]?\p{Lu})\p{Lu}*(?:['’-]\p{Lu}{2,})*(?!\p{L})"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -86,6 +93,7 @@ ANY = _START + "(?:" + "|".join(PATTERNS.values()) + ")"
 BROADCAST_ROWS, ROUNDS, STEPS = 100_000, 3, 6
 #: Names that inputs are not expected to have.
 FOUND, ROW, SHA, FIRST, NEW, PARTS, TASKS = (f"__pii_{x}" for x in ("found", "row", "sha", "first", "new", "parts", "tasks"))
+_OWN = {x.lower() for x in (FOUND, ROW, SHA, FIRST, NEW, PARTS, TASKS)}
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -256,8 +264,12 @@ def _name(match: Column) -> Column:
 
 
 def _gender(match: Column) -> Column:
-    bare = F.lower(F.regexp_replace(_form(match), r"[. ]+$", ""))
-    return F.when(bare.isin([x.lower() for x in MALE_FORMS]), "m").when(bare.isin([x.lower() for x in FEMALE_FORMS]), "f").otherwise("x")
+    """Of the first form of address that has one."""
+    def of(forms: Column) -> Column:
+        told = F.transform(forms, lambda f: F.when(f.isin([x.lower() for x in MALE_FORMS]), "m").when(f.isin([x.lower() for x in FEMALE_FORMS]), "f"))
+        return F.coalesce(F.get(F.filter(told, lambda g: g.isNotNull()), F.lit(0)), F.lit("x"))
+
+    return _let(F.split(F.lower(_form(match)), "[. ]+"), of)
 
 
 def _secret_name(match: Column) -> Column:
@@ -419,8 +431,23 @@ def _woven(parts: Column, new: Column) -> Column:
 
 
 def _rewritten(text: Column, new: Column) -> Column:
-    """``text`` with its mentions replaced by ``new`` in order, and bare names of the people among them by theirs."""
-    people = F.filter(F.transform(FOUND, lambda e, i: F.struct(F.when(e["kind"] == "PERSON", _name(e["match"])).alias("find"), _name(F.get(new, i)).alias("put"))), lambda p: p["find"].isNotNull())
+    """``text`` with its mentions replaced by ``new`` in order, and bare names of the people among them by theirs.
+
+    A person's full name, given name and surname are replaced wherever they stand alone; of a person known by one word
+    alone, that word is, unless it is a ``COMMON`` one.
+    """
+    def entry(find: Column, put: Column) -> Column:
+        return F.struct(find.alias("find"), put.alias("put"))
+
+    def bare_names(e: Column, i: Column) -> Column:
+        def of(own: Column, put: Column) -> Column:
+            tokens, puts = F.split(own, " "), F.split(put, " ")
+            single = F.when(F.lower(own).isin(sorted(COMMON)), F.array().cast("array<struct<find:string,put:string>>")).otherwise(F.array(entry(own, put)))
+            return F.when(F.size(tokens) == 1, single).otherwise(F.array(entry(own, put), entry(F.get(tokens, F.lit(0)), F.get(puts, F.lit(0))), entry(F.element_at(tokens, -1), F.element_at(puts, -1))))
+
+        return F.when(e["kind"] == "PERSON", _let(_name(e["match"]), lambda own: _let(_name(F.get(new, i)), lambda put: of(own, put)))).otherwise(F.array().cast("array<struct<find:string,put:string>>"))
+
+    people = F.flatten(F.transform(FOUND, bare_names))
 
     def all_parts(parts: Column) -> Column:
         def bare(own: Column) -> Column:
@@ -441,6 +468,10 @@ def replace(docs: DataFrame, key: str | None = None, broadcast_rows: int = BROAD
     """
     key = key or docs.sparkSession.conf.get("spark.foliate.surrogate.key", "")
     keyed = Keyed(key or DEMONSTRATION_KEY)
+    clashing = {c: f"__pii_other_{k}" for k, c in enumerate(docs.columns) if c.lower() in _OWN}
+    if clashing:  # such columns have another name meanwhile
+        back = {new: old for old, new in clashing.items()}
+        return replace(docs.withColumnsRenamed(clashing), key, broadcast_rows).withColumnsRenamed(back)
     columns = [c for c in docs.columns if c not in ("n_entities", "entities")]
     other = common.store(exceptions(docs, keyed), "pii_exceptions")
     held = found(docs.select(*columns))
