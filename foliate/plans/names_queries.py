@@ -100,7 +100,7 @@ register("G14_marker", {"src": _CONTENT}, lambda src: src.select("k", texts.mark
 _CELLS = "SELECT c_nationkey AS k, count(*) AS n, min(c_mktsegment) AS a, max(c_name) AS b FROM {customer} GROUP BY c_nationkey"
 register("G6_table_text", {"src": _CELLS}, lambda src: src.select("k", texts.table_text(F.array(F.array("a", F.concat("b", F.lit("|x"))), F.array(F.lit("1\n2"), F.col("n").cast("string"))), c("k") % 2 == 0).alias("out")),
          "SELECT k, CASE WHEN k % 2 = 0 THEN '| ' || a || ' | ' || b || chr(92) || '|x |' || chr(10) || '| --- | --- |' || chr(10) || '| 1<br>2 | ' || n || ' |' ELSE '|  |  |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || a || ' | ' || b || chr(92) || '|x |' || chr(10) || '| 1<br>2 | ' || n || ' |' END AS out FROM src")
-_BLOCKS = "SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS k, CASE turn % 12 WHEN 0 THEN 'paragraph' WHEN 1 THEN 'heading_1' WHEN 2 THEN 'heading_2' WHEN 3 THEN 'bulleted_list_item' WHEN 4 THEN 'numbered_list_item' WHEN 5 THEN 'to_do' WHEN 6 THEN 'quote' WHEN 7 THEN 'divider' WHEN 8 THEN 'code' WHEN 9 THEN 'image' WHEN 10 THEN 'file' ELSE 'odd--kind' END AS kind, substr(text, 1, 60) AS t, role, turn FROM {conversations}"
+_BLOCKS = "SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS k, CASE turn % 12 WHEN 0 THEN 'paragraph' WHEN 1 THEN 'heading_1' WHEN 2 THEN 'heading_2' WHEN 3 THEN 'bulleted_list_item' WHEN 4 THEN 'numbered_list_item' WHEN 5 THEN 'to_do' WHEN 6 THEN 'quote' WHEN 7 THEN 'divider' WHEN 8 THEN 'code' WHEN 9 THEN 'image' WHEN 10 THEN 'file' ELSE 'odd--kind' END AS kind, text AS t, role, turn FROM {conversations}"
 register("G19_flat_blocks", {"src": _BLOCKS}, lambda src: src.select("k", texts.block_line(c("kind"), c("t"), c("role") == "user", c("role"), F.when(c("turn") % 2 == 1, F.lit("https://x.example/i")), c("k")).alias("out")), """
     SELECT k, CASE kind WHEN 'paragraph' THEN t WHEN 'heading_1' THEN '# ' || t WHEN 'heading_2' THEN '## ' || t WHEN 'bulleted_list_item' THEN '- ' || t WHEN 'numbered_list_item' THEN '1. ' || t
         WHEN 'to_do' THEN CASE WHEN role = 'user' THEN '- [x] ' ELSE '- [ ] ' END || t WHEN 'quote' THEN '> ' || replace(t, chr(10), chr(10) || '> ') WHEN 'divider' THEN '---'

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliate.functions import flanking, markdown, markup, props, texts
-from foliate.operators import pages
+from foliate.operators import pages, render
 from foliate.plans.registry import register
 
 c = F.col
@@ -112,6 +112,22 @@ page("G15_front_matter", lambda s: pages.rewrite(s.withColumn("text", F.concat_w
 register("G16_source_index", {"src": "SELECT n_regionkey AS source, n_nationkey AS place, n_name AS title, concat('d', CAST(n_nationkey AS STRING), '.md') AS path FROM {nation}"}, lambda src: src.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.concat(F.lit("- [["), texts.index_path(c("path")), F.lit("|"), texts.index_alias(c("title")), F.lit("]]")).alias("line")))), lambda x: x["line"]), "\n").alias("out")), f"SELECT source, string_agg('- [[d' || place || '|' || title || ']]', {_N} ORDER BY place) AS out FROM src GROUP BY source")
 register("G24_block_assets", {"src": "SELECT concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS block, conv_id AS page, turn AS place, CASE turn % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'pdf' ELSE 'paragraph' END AS type, CASE WHEN turn % 4 = 3 THEN NULL ELSE 'https://x' END AS url FROM {conversations}"}, lambda src: pages_assets(src), "SELECT page, block, kind, row_number() OVER (PARTITION BY page, kind ORDER BY place) - 1 AS occurrence FROM (SELECT *, CASE WHEN type = 'image' THEN 'image' ELSE 'file' END AS kind FROM src WHERE type IN ('image', 'file', 'pdf', 'video', 'audio') AND url IS NOT NULL)")
 
+#: Conversations as pages: every four turns are a list three deep with a paragraph in it, and each page ends with a table.
+_NESTED = """SELECT CAST(conv_id AS STRING) AS page, concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING)) AS id, CASE WHEN turn % 4 > 0 THEN concat(CAST(conv_id AS STRING), '-', CAST(turn - 1 AS STRING)) END AS parent, CAST(turn AS BIGINT) AS place,
+        CASE turn % 4 WHEN 0 THEN 'bulleted_list_item' WHEN 1 THEN 'numbered_list_item' WHEN 2 THEN 'to_do' ELSE 'paragraph' END AS type, text, role = 'user' AS checked, CAST(NULL AS STRING) AS language, CAST(NULL AS STRING) AS url, CAST(NULL AS INT) AS width, CAST(NULL AS BOOLEAN) AS header, CAST(NULL AS STRING) AS cell, CAST(NULL AS STRING) AS payload FROM {conversations}
+    UNION ALL SELECT CAST(conv_id AS STRING), concat(CAST(conv_id AS STRING), '-t'), NULL, 1000, 'table', NULL, NULL, NULL, NULL, CASE WHEN conv_id % 3 = 0 THEN 3 ELSE 2 END, conv_id % 2 = 0, NULL, concat('rows of ', CAST(conv_id AS STRING)) FROM {conversations} WHERE turn = 0
+    UNION ALL SELECT CAST(conv_id AS STRING), concat(CAST(conv_id AS STRING), '-r', CAST(turn AS STRING)), concat(CAST(conv_id AS STRING), '-t'), CAST(turn AS BIGINT), 'table_row', NULL, NULL, NULL, NULL, NULL, NULL, role, NULL FROM {conversations}"""
+_cells = lambda b: b.withColumn("cells", F.when(c("type") == "table_row", F.array(c("cell"), F.concat(c("cell"), F.lit("|"))))).drop("cell")
+_IN = lambda x: f"'  ' || replace({x}, {_N}, {_N} || '  ')"
+register("G19_nested_blocks", {"src": _NESTED}, lambda src: render.render(_cells(src))[0], f""", t AS (SELECT page, place, text, CASE WHEN checked THEN '- [x] ' ELSE '- [ ] ' END AS box FROM src WHERE type NOT IN ('table', 'table_row')),
+    q AS (SELECT page, place // 4 AS g, max(CASE WHEN place % 4 = 0 THEN text END) AS a, max(CASE WHEN place % 4 = 1 THEN text END) AS b, max(CASE WHEN place % 4 = 2 THEN box || text END) AS d, max(CASE WHEN place % 4 = 3 THEN text END) AS e FROM t GROUP BY ALL),
+    r AS (SELECT *, d || CASE WHEN e <> '' THEN {_N} || {_IN('e')} ELSE '' END AS dd FROM q), s AS (SELECT *, '1. ' || b || coalesce({_N} || {_IN('dd')}, '') AS bb FROM r),
+    u AS (SELECT page, string_agg('- ' || a || coalesce({_N} || {_IN('bb')}, ''), {_N} || {_N} ORDER BY g) AS x FROM s GROUP BY page),
+    w AS (SELECT page, string_agg('| ' || cell || ' | ' || cell || chr(92) || '| |', {_N} ORDER BY place) AS body, min(cell) FILTER (place = 0) AS first, string_agg('| ' || cell || ' | ' || cell || chr(92) || '| |', {_N} ORDER BY place) FILTER (place > 0) AS later FROM src WHERE type = 'table_row' GROUP BY page)
+    SELECT page, x || {_N} || {_N} || CASE WHEN CAST(page AS BIGINT) % 3 = 0 THEN '[Unsupported block: table]' || {_N} || '<!-- foliate: unsupported block type=table id=' || page || '-t -->'
+        WHEN CAST(page AS BIGINT) % 2 = 0 THEN '| ' || first || ' | ' || first || chr(92) || '| |' || {_N} || '| --- | --- |' || coalesce({_N} || later, '') ELSE '|  |  |' || {_N} || '| --- | --- |' || {_N} || body END AS text FROM u JOIN w USING (page)""")
+register("G19_sidecars", {"src": _NESTED}, lambda src: render.render(_cells(src))[1], "SELECT page, id, type, payload FROM src WHERE type = 'table' AND CAST(page AS BIGINT) % 3 = 0")
+
 
 def pages_assets(blocks):
     from foliate.operators.match import occurrences

@@ -94,7 +94,7 @@ register("C1_stored_lookup", {"a": _RES, "s": "SELECT concat('C', CAST(c_custkey
 register("C2_planned_lookup", {"a": _RES, "p": "SELECT concat('C', CAST(c_custkey AS STRING)) AS id, concat(c_name, '.md') AS path FROM {customer} WHERE c_custkey % 4 > 0"}, lambda a, p: a.join(p, "id").select("id", "path"), "SELECT id, path FROM a JOIN p USING (id)")
 register("C3_missing_parents", {"nodes": _RES + " UNION ALL " + _NAT}, tree.missing_parents, "SELECT id, parent_id FROM nodes n WHERE parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM nodes p WHERE p.id = n.parent_id)")
 _REL = "SELECT o_custkey AS k, o_orderkey AS place, CASE WHEN o_orderkey % 5 = 0 THEN 'gone' ELSE CAST(o_orderkey % 50 AS STRING) END AS ref FROM {orders}"
-register("C4_relations", {"rel": _REL, "map": "SELECT CAST(p_partkey AS STRING) AS ref, concat(p_brand, '/', p_name, '.md') AS path FROM {part} WHERE p_partkey < 40"}, lambda rel, map: rel.join(F.broadcast(map), "ref", "left").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce(F.concat(F.lit("[["), texts.index_path(c("path")), F.lit("]]")), "ref").alias("x")))).alias("l")).select("k", F.array_join(F.transform("l", lambda x: x["x"]), ",").alias("out")), r"SELECT k, string_agg(coalesce('[[' || regexp_replace(path, '\.md$', '') || ']]', ref), ',' ORDER BY place) AS out FROM rel LEFT JOIN map USING (ref) GROUP BY k")
+register("C4_relations", {"rel": _REL, "map": "SELECT CAST(p_partkey AS STRING) AS ref, concat(p_brand, '/', p_name, '.md') AS path FROM {part} WHERE p_partkey % 3 > 0"}, lambda rel, map: rel.join(map, "ref", "left").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce(F.concat(F.lit("[["), texts.index_path(c("path")), F.lit("]]")), "ref").alias("x")))).alias("l")).select("k", F.array_join(F.transform("l", lambda x: x["x"]), ",").alias("out")), r"SELECT k, string_agg(coalesce('[[' || regexp_replace(path, '\.md$', '') || ']]', ref), ',' ORDER BY place) AS out FROM rel LEFT JOIN map USING (ref) GROUP BY k")
 from foliate.plans.names_queries import _SEG, _TRAIL, LINKS  # noqa: E402
 
 register("C5_link_targets", {"links": LINKS, "map": "SELECT md5(c_name) AS id, concat(c_mktsegment, '/', c_name) AS path FROM {customer} WHERE c_custkey % 2 = 0"}, lambda links, map: links.withColumn("id", urls.page_id(c("u"))).join(map, "id", "left").select("k", F.coalesce("path", "u").alias("out")), rf"SELECT k, coalesce(path, u) AS out FROM (SELECT *, CASE WHEN regexp_matches(u, '^https://(?:[^/?#:]+\.)?notion\.so(?:[/?#:]|$)', 'i') THEN {_TRAIL.format(x=_SEG)} END AS id FROM links) LEFT JOIN map USING (id)")
@@ -104,7 +104,7 @@ register("C7_seen_elsewhere", {"kept": _KEPT, "seen": _SEEN}, lambda kept, seen:
 register("C8_removed_roots", {"stored": _ROOTS, "configured": _ROOTS + " WHERE r_regionkey % 2 = 0"}, lambda stored, configured: stored.join(configured, "root_id", "left_anti").select("root_id", F.lit("complete").alias("status"), F.lit(True).alias("deletion_allowed")), "SELECT root_id, 'complete' AS status, true AS deletion_allowed FROM stored ANTI JOIN configured USING (root_id)")
 register("C9_shared_ids", {"seen": _SEEN}, lambda seen: seen.groupBy("id").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("id"), "SELECT id FROM seen GROUP BY id HAVING count(DISTINCT root) > 1")
 register("C10_conflicting_paths", {"src": "SELECT CASE doc_id % 2 WHEN 0 THEN upper(md5(text)) ELSE md5(text) END AS id, source AS path FROM {documents}"}, lambda src: src.groupBy(names.normal_id(c("id")).alias("id")).agg(F.min("path").alias("a"), F.max("path").alias("b")).filter("a <> b").select("id"), "SELECT lower(id) AS id FROM src GROUP BY 1 HAVING count(DISTINCT path) > 1")
-_MD = "SELECT CAST(conv_id AS STRING) AS page, turn AS place, concat('https://h/', role, '/', CAST(turn % 3 AS STRING), '?', CAST(turn AS STRING)) AS url, concat('/', role, '/', CAST(turn % 3 AS STRING)) AS url_key, CAST(turn % 3 AS STRING) AS name_key, CASE WHEN turn % 2 = 0 THEN 'image' ELSE 'file' END AS kind, substr(text, 1, 3) AS caption FROM {conversations}"
+_MD = "SELECT CAST(conv_id AS STRING) AS page, turn AS place, concat('https://h/', role, '/', CAST(turn % 3 AS STRING), '?', CAST(turn AS STRING)) AS url, concat('/', role, '/', CAST(turn % 3 AS STRING)) AS url_key, CAST(turn % 3 AS STRING) AS name_key, CASE WHEN turn % 2 = 0 THEN 'image' ELSE 'file' END AS kind, text AS caption FROM {conversations}"
 register("C11_greedy_match", {"md": _MD, "bl": _MD.replace("turn AS place", "turn AS place, concat('b', CAST(turn AS STRING)) AS block").replace("'/', CAST(turn % 3 AS STRING)) AS url_key", "'/', CAST(turn % 5 AS STRING)) AS url_key")}, lambda md, bl: match.match(match.occurrences(md), match.occurrences(bl)), None)
 _FILE_ROWS = "SELECT CAST(p_partkey AS STRING) AS id, concat(p_name, '.md') AS path FROM {part} WHERE p_partkey % 4 > 0"
 _STATE_ROWS = "SELECT CAST(p_partkey AS STRING) AS id, concat(CASE WHEN p_size > 30 THEN lower(p_name) ELSE p_name END, '.md') AS local_path FROM {part} WHERE p_partkey % 5 > 0"

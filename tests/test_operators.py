@@ -355,3 +355,52 @@ def test_fallbacks_that_are_taken(spark):
     there = spark.createDataFrame([("c--4.md",), ("c--5.md",)], "path string")
     out = diff.blocked_fallbacks(diff.allocate(planned, stored, there), planned, stored, there)
     assert {r.id for r in out.collect()} == {"1", "123456789", "12345678x", "4"}
+
+
+def test_block_trees(spark):
+    """Against a walk of each tree: nested lists and paragraphs, headings with children, tables, ties, lost parents and cycles."""
+    import random
+
+    from foliate.operators import render
+
+    draw = random.Random(8)
+    rows = []
+    for page in range(6):
+        ids = []
+        for k in range(40):
+            kind = draw.choice(["bulleted_list_item", "numbered_list_item", "to_do", "paragraph", "paragraph", "heading_2", "quote", "divider", "code", "image", "odd", "table", "table_row"])
+            parent = draw.choice([None, None, *ids]) if ids else None
+            ids.append(f"{page}-{k}")
+            rows.append((f"p{page}", ids[-1], parent, draw.randint(0, 3), kind, draw.choice(["a", "", "b\nc", None]), draw.random() < 0.5, "py", draw.choice([None, "https://x/i"]), draw.choice([None, 1, 2]), draw.random() < 0.5, draw.choice([None, ["x", "y|"], ["z", None], ["w"]]) if kind == "table_row" else None, "raw"))
+    rows += [("p0", "lost", "nowhere", 0, "paragraph", "lost", *[None] * 7), ("p1", "c1", "c2", 0, "paragraph", "c", *[None] * 7), ("p1", "c2", "c1", 0, "paragraph", "c", *[None] * 7), ("empty", "e", None, 0, "paragraph", "", *[None] * 7)]
+    below = {}
+    for r in rows:
+        below.setdefault((r[0], r[2]), []).append(r)
+
+    def made(r):
+        _, ident, _, _, kind, text, checked, language, url, width, header, _, _ = r
+        kids = sorted(below.get((r[0], ident), []), key=lambda k: (k[3], k[1]))
+        text = text or ""
+        parts = [m for m in map(made, kids) if m]
+        inner = "\n".join(parts)
+        marks = {"bulleted_list_item": "- ", "numbered_list_item": "1. ", "to_do": f"- [{'x' if checked else ' '}] "}
+        if kind in marks:
+            return marks[kind] + text + ("\n" + "\n".join("  " + x for x in inner.split("\n")) if inner else "")
+        if kind == "paragraph":
+            return text + ("\n" + inner if inner else "")
+        if kind == "table":
+            if width and kids and all(k[4] == "table_row" and k[11] is not None and len(k[11]) == width and None not in k[11] for k in kids):
+                cells = [[c.replace("|", "\\|") for c in k[11]] for k in kids]
+                head, body = (cells[0], cells[1:]) if header else ([""] * width, cells)
+                return "\n".join("| " + " | ".join(x) + " |" for x in [head, ["---"] * width, *body])
+            return f"[Unsupported block: table]\n<!-- foliate: unsupported block type=table id={ident} -->"
+        flat = {"heading_2": f"## {text}", "quote": "> " + text.replace("\n", "\n> "), "divider": "---", "code": f"```{language}\n{text}\n```", "table_row": ""}
+        if kind == "image" and url:
+            return f"![{text}]({url})"
+        return flat.get(kind, f"[Unsupported block: {kind}]\n<!-- foliate: unsupported block type={kind} id={ident} -->")
+
+    want = {p: "\n\n".join(m for r in sorted(below.get((p, None), []), key=lambda k: (k[3], k[1])) if (m := made(r))) for p in {r[0] for r in rows}}
+    blocks = spark.createDataFrame(rows, ", ".join(f"{k} {v}" for k, v in render.FIELDS.items()))
+    pages_, kept = render.render(blocks)
+    assert {r.page: r.text for r in pages_.collect()} == want
+    assert all(r.payload == "raw" and r.type in ("odd", "image", "table") for r in kept.collect())
