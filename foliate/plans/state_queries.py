@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from foliate.functions import urls
 from foliate.operators import audit, diff, match, tree
 from foliate.plans.registry import ORACLES, QUERIES, register
 from foliate.plans.tree_queries import TREE
-from foliate.sources.tables import Snapshots, shared_dir
+from foliate.sources.tables import Snapshots, new_path
 from foliate.streaming import runs
 
 c = F.col
@@ -127,7 +125,7 @@ def _equal_sets(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def _new_state(spark: SparkSession) -> Snapshots:
-    return Snapshots(spark, f"{shared_dir(spark).rstrip('/')}/foliate-{uuid.uuid4().hex}/state")
+    return Snapshots(spark, new_path(spark, "state"))
 
 
 def _committed(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliate.functions import names, texts, urls
 from foliate.operators import diff, match, tree
 from foliate.plans.registry import register
-from foliate.sources import tables
+from foliate.sources import cursors, tables
 
 c = F.col
 #: Regions, nations, customers and orders as one forest of resources.
@@ -145,3 +145,32 @@ def _redirects(start: DataFrame, hops: DataFrame, most: int = 5) -> DataFrame:
     for k in range(most):
         now = now.join(hops, "u", "left").select("start_url", F.coalesce("t", "u").alias("u"), F.when(c("t").isNotNull() & (c("n") == k), c("n") + 1).otherwise(c("n")).alias("n"))
     return now.select("start_url", c("u").alias("final_url"), "n")
+
+
+def _exported(turns: DataFrame) -> str:
+    """Conversations as cursor pages of three turns, in the shared folder."""
+    path = tables.new_path(turns.sparkSession, "cursors")
+    cursors.export(turns.select("collection", "place", "turn", "role", "text"), path, "messages", 3)
+    cursors.register(turns.sparkSession)
+    return path
+
+
+def _read_back(turns: DataFrame) -> DataFrame:
+    path = _exported(turns)
+    return turns.sparkSession.read.format("cursors").option("entity", "messages").load(path).select("collection", "page_no", "place", "turn", "role", "text")
+
+
+def _streamed_back(turns: DataFrame) -> DataFrame:
+    """The same pages as a stream that stops when it has read them all."""
+    spark, path = turns.sparkSession, _exported(turns)
+    to = tables.new_path(spark, "stream")
+    rows = spark.readStream.format("cursors").option("entity", "messages").load(path)
+    rows.writeStream.format("parquet").option("checkpointLocation", f"{to}/checkpoint").trigger(availableNow=True).start(f"{to}/rows").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{to}/rows").select("collection", "page_no", "place", "turn", "role", "text")
+
+
+_TURNS = "SELECT CAST(conv_id AS STRING) AS collection, turn AS place, turn, role, text FROM {conversations}"
+_PAGED_BACK = "SELECT collection, (row_number() OVER o - 1) // 3 AS page_no, (row_number() OVER o - 1) % 3 AS place, turn, role, text FROM src WINDOW o AS (PARTITION BY collection ORDER BY place)"
+register("A1_cursor_source", {"src": _TURNS}, _read_back, _PAGED_BACK)
+register("A1_cursor_stream", {"src": _TURNS}, _streamed_back, _PAGED_BACK)
+register("A2_collection_filter", {"src": _TURNS}, lambda src: _read_back(src).filter(c("collection").isin("1", "3", "12")), f"SELECT * FROM ({_PAGED_BACK}) WHERE collection IN ('1', '3', '12')")

@@ -33,12 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder or context._jsc.sc().getCheckpointDir().get()
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again, which cuts its lineage and outlives lost executors."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, removed when the session ends."""
     path = f"{shared_dir(spark).rstrip('/')}/foliate-{uuid.uuid4().hex}/{name}"
     parent = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
     parent.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(parent)
+    return path
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, which cuts its lineage and outlives lost executors."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,9 +53,7 @@ class Levels:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.paths, self.schema = spark, [], None
-        self.root = f"{shared_dir(spark).rstrip('/')}/foliate-{uuid.uuid4().hex}/{name}"
-        root = spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        root.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(root.getParent())
+        self.root = new_path(spark, name)
 
     def add(self, df: DataFrame) -> DataFrame:
         self.paths.append(f"{self.root}/{len(self.paths)}")
