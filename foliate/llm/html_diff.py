@@ -6,11 +6,13 @@ content isn't a copy of its own: the one before or the one after it, whichever s
 the longer beginning of the path.  The lines of the two, menus and notices included, are
 aligned by their longest common subsequence, and shared lines are deleted.
 
-Structure overrules only where the two disagree: a shared line within both a page's
-``article`` or ``main`` element is a chance repeat or a copied article and stays, and an
-unshared line goes if it lies in a menu, header, footer, sidebar, notice, advert, form or
-reader comment, told by tag, role, class or id, or beside the page's article.  Pages
-without an article are left to differencing and those elements.
+Structure decides where differencing can't: an unshared line goes if it lies in a menu,
+header, footer, sidebar, notice, advert, form or reader comment, told by tag, role, class
+or id, or beside the page's article; a shared line of an ``article`` or ``main`` element
+comes back if it is a whole paragraph, if it stands alone between unshared ones or if half
+of the article is shared (a copied article), so runs of short shared lines within an
+article, as menus are, stay deleted.  Pages without an article are left to differencing
+and those elements.
 
 Only digests and paths are shuffled in URL order, so a host with a third of all pages is
 spread over many tasks; what stands next to a task's first and last pages is handed on
@@ -205,10 +207,33 @@ def shared(a: list[int], b: list[int]) -> list[bool]:
     return out
 
 
-def decide(kinds: list[int], same: list[bool]) -> list[bool]:
-    """Which lines are main text: those that differencing keeps, but where structure overrules it."""
-    has_article = ARTICLE in kinds
-    return [(k == ARTICLE) if has_article else (k == BESIDE and not s) for k, s in zip(kinds, same, strict=True)]
+#: Words of a line that a menu or notice within an article has at most; longer shared lines, and sentences, are repeated paragraphs.
+SHORT = 5
+
+
+def terse(line: str) -> bool:
+    return line.count(" ") < SHORT and not line.endswith((".", "!", "?", "…", "。"))
+
+
+def decide(kinds: list[int], same: list[bool], brief: list[bool]) -> list[bool]:
+    """Which lines are main text.
+
+    Differencing comes first: shared lines go. Of an article's, those come back that aren't ``brief`` (see ``terse``: a
+    repeated paragraph), that stand alone between unshared ones (a chance repeat), or all if half or more of the article is
+    shared (a copied article, not a template); what is left are runs of short shared lines, as menus and notices within
+    articles are. Unshared lines go by structure.
+    """
+    article = [k == ARTICLE for k in kinds]
+    own = [i for i, k in enumerate(article) if k]
+    if not own:
+        return [k == BESIDE and not s for k, s in zip(kinds, same, strict=True)]
+    if 2 * sum(same[i] for i in own) >= len(own):
+        return article
+    short = [same[i] and brief[i] for i in own]
+    kept = list(article)
+    for at, i in enumerate(own):
+        kept[i] = not (short[at] and (at > 0 and short[at - 1] or at + 1 < len(own) and short[at + 1]))
+    return kept
 
 
 def _place(url: str | None) -> tuple[str, str]:
@@ -351,7 +376,7 @@ def extract(pages: DataFrame) -> DataFrame:
             found = []
             for text, kinds, hashes, partner in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
                 same = shared(np.frombuffer(hashes, "<u8").tolist(), np.frombuffer(partner, "<u8").tolist()) if partner else [False] * len(text)
-                kept = decide(list(kinds), same)
+                kept = decide(list(kinds), same, list(map(terse, text)))
                 main = " ".join(t for t, k in zip(text, kept, strict=True) if k)
                 found.append((main, len(main), len(text), sum(same), sum(s and k for s, k in zip(same, kept, strict=True))))
             columns = [pa.array(list(c), t) for c, t in zip(zip(*found, strict=True), (pa.string(), *[pa.int64()] * 4), strict=True)]

@@ -432,6 +432,25 @@ def test_very_long_pages_are_aligned_in_bounded_memory():
     assert sum(own) > 8000 and all(x in rest for x, s in zip(a, own, strict=True) if s)
 
 
+def test_op7_differencing_decides(spark):
+    """Menus within articles, and pages without articles: what the longest common subsequence shares decides; without it the result is another."""
+    menu = "<p>Home</p><p>About us</p><p>Contact</p>"
+    page = lambda body, tag="article": f"<html><body><{tag}>{menu}{body}</{tag}></body></html>"
+    texts = [f"Story {k} begins here and goes on for a while. It ends {k}." for k in range(6)]
+    data = [(k, f"https://h/a/{k}", page(f"<p>{t}</p><p>More of {k}, with nothing shared.</p><p>End {k} of it all.</p><p>Also {k}.</p>")) for k, t in enumerate(texts)]
+    data += [(10 + k, f"https://p/a/{k}", page(f"<p>{t}</p><p>Rest {k}.</p>", "div")) for k, t in enumerate(texts)]
+    data += [(20, "https://c/1", page("<p>One copied line here.</p><p>x</p>")), (21, "https://c/2", page("<p>One copied line here.</p><p>y</p>")), (30, "https://alone/1", page("<p>Z</p>"))]
+    got = {r.page_id: r for r in html_diff.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    for k, t in enumerate(texts):
+        assert got[k].text == f"{t} More of {k}, with nothing shared. End {k} of it all. Also {k}." and got[10 + k].text == f"{t} Rest {k}."
+        assert got[k].n_shared == got[10 + k].n_shared == 3
+    assert got[20].text == "Home About us Contact One copied line here. x"  # half of it is shared: a copied article
+    assert got[30].text == "Home About us Contact Z"
+    plain = html_diff.decide([1] * 7, [False] * 7, [True] * 7)
+    assert all(plain) and html_diff.decide([1] * 7, [True] * 3 + [False] * 4, [True] * 7) == [False] * 3 + [True] * 4
+    assert html_diff.decide([1] * 7, [False, True, False, True, True, False, False], [True, True, True, False, True, True, True]) == [True] * 7
+
+
 def test_op7_counts_against_brute_force(spark, sf, duck):
     """Shared lines are those of a longest common subsequence with the partner; these tables' menus are random, so few pages share any."""
     got = {r.page_id: r for r in queries.op7_html_extraction(spark, sf).collect()}
