@@ -116,9 +116,10 @@ def filenames(resources: DataFrame, previous: DataFrame | None = None) -> DataFr
     Of equal names the smallest id keeps the bare one, but a stored name that is the
     bare one or the bare one with a suffix comes first (``previous``: ``id, stored``).
     """
-    base = resources.select("id", "parent_id", names.segment(F.col("title"), F.col("id")).alias("base"))
+    # Names are made once: what follows reads them many times, which would not compile as one expression.
+    base = store(resources.select("id", "parent_id", names.segment(F.col("title"), F.col("id")).alias("base")), "names")
     if previous is not None:
-        base = base.join(previous, "id", "left").withColumn("stored", names.segment(F.col("stored"), F.col("id")))
+        base = base.join(store(previous.select("id", names.segment(F.col("stored"), F.col("id")).alias("stored")), "stored_names"), "id", "left")
     else:
         base = base.withColumn("stored", F.lit(None).cast("string"))
     valid = F.when((F.col("stored") == F.col("base")) | F.col("stored").startswith(F.concat("base", F.lit("--"))), F.col("stored"))
