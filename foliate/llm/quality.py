@@ -118,7 +118,7 @@ def train_vectors(docs: DataFrame) -> np.ndarray:
 
     common.small_batches(spark)
     kind = "chunk int, part int, sums binary"
-    tables = docs.select(F.col("text").cast("string")).mapInArrow(run, kind)
+    tables = docs.select(F.col("text").cast("string")).mapInArrow(common.trimmed(run), kind)
     summed = tables.groupBy("chunk", "part").applyInPandas(add, kind).groupBy("chunk").applyInPandas(add, kind)
     table = np.zeros((BUCKETS // CHUNK, CHUNK, WIDTH + 1), np.float32)
     for row in summed.select("chunk", "sums").toLocalIterator():

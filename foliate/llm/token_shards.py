@@ -185,7 +185,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, sh
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.withColumn("key", F.xxhash64("text")).repartitionByRange(common.partitions(spark), "doc_id", "key").sortWithinPartitions("doc_id", "key", "text")
-    ordered.select("doc_id", "text").mapInArrow(pack, SHARDS).write.option("compression", "zstd").parquet(path)
+    ordered.select("doc_id", "text").mapInArrow(common.trimmed(pack), SHARDS).write.option("compression", "zstd").parquet(path)
 
 
 def read_shards(spark, path: str, derive: Callable[[np.ndarray], tuple] | None = None, columns: str = "ids array<long>") -> DataFrame:
@@ -206,4 +206,4 @@ def read_shards(spark, path: str, derive: Callable[[np.ndarray], tuple] | None =
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64(), mask=np.arange(len(keys)) < shard.nulls), pa.array(bounds[:-1] + start), pa.array(np.diff(bounds)), *(pa.array(list(x)) for x in zip(*more, strict=True))], names=["doc_id", "start", "n_tokens", *names])
 
     rows = shards.join(F.broadcast(base), "part").select((F.col("base") + F.col("part_start")).alias("start"), "shard")
-    return rows.mapInArrow(decode, f"doc_id long, start long, n_tokens long, {columns}")
+    return rows.mapInArrow(common.trimmed(decode), f"doc_id long, start long, n_tokens long, {columns}")
