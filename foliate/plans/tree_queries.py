@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliate.functions import names, texts, urls
 from foliate.operators import diff, match, tree
-from foliate.plans.registry import register
+from foliate.plans.registry import ORACLES, plain, register
 from foliate.sources import cursors, tables
 
 c = F.col
@@ -118,7 +118,9 @@ register("C15_search_gap", {"nodes": CYCLIC, "ask": _ASK, "found": "SELECT conca
     SELECT * FROM r WHERE reachability <> 'outside'""")
 register("C17_warnings_per_id", {"a": _KEPT, "w": "SELECT o_custkey AS id, o_orderpriority AS message FROM {orders} WHERE o_orderstatus = 'F'"}, lambda a, w: a.join(w.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("message")), "; ").alias("messages")), "id", "left"), "SELECT id, messages FROM a LEFT JOIN (SELECT id, string_agg(message, '; ' ORDER BY message) AS messages FROM w GROUP BY id) USING (id)")
 _PAGED = "SELECT user_id % 7 AS collection, event_id AS page_no, CASE WHEN event_id % 97 = 0 THEN NULL ELSE array(event_type, CAST(user_id AS STRING)) END AS results, event_id % 13 <> 0 AS has_more, CASE WHEN event_id % 17 = 0 THEN NULL ELSE 'c' END AS next_cursor FROM {events}"
-register("A1_cursor_pages", {"src": _PAGED.replace("array(", "array(")}, lambda src: tables.paged(src), None)
+register("A1_cursor_pages", {"src": _PAGED}, lambda src: tables.paged(src), None)
+ORACLES["A1_cursor_pages"] = f"""WITH src AS ({plain(_PAGED).replace("array(", "list_value(")}), last AS (SELECT collection, min(page_no) AS last FROM src WHERE NOT has_more GROUP BY collection)
+    SELECT collection, page_no, generate_subscripts(results, 1) - 1 AS place, unnest(results) AS item FROM src LEFT JOIN last USING (collection) WHERE last IS NULL OR page_no <= last"""
 register("A1_page_contract", {"src": _PAGED.replace("CASE WHEN event_id % 97 = 0 THEN NULL ELSE array(event_type, CAST(user_id AS STRING)) END", "CASE WHEN event_id % 97 = 0 THEN NULL ELSE event_type END")}, tables.page_violations, "SELECT collection, page_no, CASE WHEN results IS NULL THEN 'malformed' ELSE 'no_cursor' END AS reason FROM src WHERE results IS NULL OR (has_more AND next_cursor IS NULL)")
 register("A3_invalid_rows", {"src": "SELECT CASE WHEN event_id % 5 = 0 THEN 'database' WHEN event_id % 7 = 0 THEN NULL ELSE 'page' END AS object, CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(event_id AS STRING) END AS id FROM {events}"}, tables.invalid_rows, "SELECT * FROM src WHERE NOT coalesce(object = 'page', false) OR id IS NULL")
 register("A5_page_scan", {"src": "SELECT doc_id AS id, text AS markdown, doc_id % 5 = 0 AS truncated, CASE WHEN doc_id % 7 = 0 THEN 'b1' END AS unknown_block FROM {documents}"}, lambda src: src.select("id", F.length("markdown").cast("long").alias("n"), (~c("truncated") & c("unknown_block").isNull()).alias("complete")), "SELECT id, length(markdown) AS n, NOT truncated AND unknown_block IS NULL AS complete FROM src")
