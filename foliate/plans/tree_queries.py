@@ -105,7 +105,23 @@ register("C8_removed_roots", {"stored": _ROOTS, "configured": _ROOTS + " WHERE r
 register("C9_shared_ids", {"seen": _SEEN}, lambda seen: seen.groupBy("id").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("id"), "SELECT id FROM seen GROUP BY id HAVING count(DISTINCT root) > 1")
 register("C10_conflicting_paths", {"src": "SELECT CASE doc_id % 2 WHEN 0 THEN upper(md5(text)) ELSE md5(text) END AS id, source AS path FROM {documents}"}, lambda src: src.groupBy(names.normal_id(c("id")).alias("id")).agg(F.min("path").alias("a"), F.max("path").alias("b")).filter("a <> b").select("id"), "SELECT lower(id) AS id FROM src GROUP BY 1 HAVING count(DISTINCT path) > 1")
 _MD = "SELECT CAST(conv_id AS STRING) AS page, turn AS place, concat('https://h/', role, '/', CAST(turn % 3 AS STRING), '?', CAST(turn AS STRING)) AS url, concat('/', role, '/', CAST(turn % 3 AS STRING)) AS url_key, CAST(turn % 3 AS STRING) AS name_key, CASE WHEN turn % 2 = 0 THEN 'image' ELSE 'file' END AS kind, text AS caption FROM {conversations}"
-register("C11_greedy_match", {"md": _MD, "bl": _MD.replace("turn AS place", "turn AS place, concat('b', CAST(turn AS STRING)) AS block").replace("'/', CAST(turn % 3 AS STRING)) AS url_key", "'/', CAST(turn % 5 AS STRING)) AS url_key")}, lambda md, bl: match.match(match.occurrences(md), match.occurrences(bl)), None)
+register("C11_greedy_match", {"md": _MD, "bl": _MD.replace("turn AS place", "turn AS place, concat('b', CAST(turn AS STRING)) AS block").replace("'/', CAST(turn % 3 AS STRING)) AS url_key", "'/', CAST(turn % 5 AS STRING)) AS url_key")}, lambda md, bl: match.match(match.occurrences(md), match.occurrences(bl)), """
+    , b AS (SELECT page, list(struct_pack(block, url_key, name_key, kind, occurrence, caption) ORDER BY place) AS blocks FROM (SELECT *, row_number() OVER (PARTITION BY page, kind ORDER BY place) - 1 AS occurrence FROM bl) GROUP BY page),
+    a AS (SELECT *, row_number() OVER (PARTITION BY page, kind ORDER BY place) - 1 AS occurrence, row_number() OVER (PARTITION BY page ORDER BY place) AS n FROM md),
+    w AS (
+        SELECT DISTINCT page, 0::BIGINT AS n, NULL::BIGINT AS place, []::VARCHAR[] AS used, []::VARCHAR[] AS urls, []::VARCHAR[] AS held, NULL::VARCHAR AS status, NULL::VARCHAR AS block, NULL::VARCHAR AS strategy FROM a
+        UNION ALL
+        SELECT page, n, place, CASE WHEN k > 0 THEN list_append(used, found) ELSE used END, CASE WHEN k = 1 THEN list_append(urls, url) ELSE urls END, CASE WHEN k = 1 THEN list_append(held, found) ELSE held END,
+            CASE WHEN hit > 0 OR k > 0 THEN 'matched' WHEN m > 0 THEN 'ambiguous' ELSE 'unmatched' END, CASE WHEN hit > 0 THEN held[hit] WHEN k > 0 THEN found END, CASE WHEN hit > 0 OR m = 1 THEN 'url_path' WHEN m = 2 THEN 'filename' WHEN m = 3 THEN 'position_caption' END
+        FROM (
+            SELECT *, CASE WHEN hit > 0 THEN 0 WHEN m = 1 AND len(c1) = 1 THEN 1 WHEN m = 2 AND len(c2) = 1 THEN 2 WHEN m = 3 AND len(c3) = 1 THEN 3 ELSE 0 END AS k, CASE m WHEN 1 THEN c1[1].block WHEN 2 THEN c2[1].block WHEN 3 THEN c3[1].block END AS found
+            FROM (SELECT *, CASE WHEN hit > 0 THEN 0 WHEN len(c1) > 0 THEN 1 WHEN len(c2) > 0 THEN 2 WHEN len(c3) > 0 THEN 3 ELSE 0 END AS m FROM (
+                SELECT a.page, a.n, a.place, a.url, used, urls, held, coalesce(list_position(urls, a.url), 0) AS hit,
+                    list_filter(free, lambda x: x.url_key = a.url_key) AS c1, list_filter(free, lambda x: x.name_key = a.name_key) AS c2, list_filter(free, lambda x: x.kind = a.kind AND x.occurrence = a.occurrence AND x.caption = a.caption) AS c3
+                FROM (SELECT w.page, w.n, used, urls, held, list_filter(coalesce(blocks, []), lambda x: NOT list_contains(used, x.block)) AS free FROM w LEFT JOIN b ON b.page = w.page) w JOIN a ON a.page = w.page AND a.n = w.n + 1
+            ))
+        )
+    ) SELECT page, place, status, block, strategy FROM w WHERE n > 0""")
 _FILE_ROWS = "SELECT CAST(p_partkey AS STRING) AS id, concat(p_name, '.md') AS path FROM {part} WHERE p_partkey % 4 > 0"
 _STATE_ROWS = "SELECT CAST(p_partkey AS STRING) AS id, concat(CASE WHEN p_size > 30 THEN lower(p_name) ELSE p_name END, '.md') AS local_path FROM {part} WHERE p_partkey % 5 > 0"
 register("C12_files_and_state", {"f": _FILE_ROWS, "s": _STATE_ROWS}, lambda f, s: f.join(s, "id", "full_outer").select("id", F.when(c("local_path").isNull(), "orphan").when(c("path").isNull(), "missing").when(c("path") != c("local_path"), "mismatch").otherwise("ok").alias("out")), "SELECT id, CASE WHEN local_path IS NULL THEN 'orphan' WHEN path IS NULL THEN 'missing' WHEN path <> local_path THEN 'mismatch' ELSE 'ok' END AS out FROM f FULL JOIN s USING (id)")
