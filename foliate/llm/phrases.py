@@ -452,8 +452,6 @@ def _counted_by_slot(docs: DataFrame, sieve, shift: int, index, n: int) -> tuple
         own = np.frombuffer(zstandard.decompress(counts), np.int64)
         total[b * BLOCK : b * BLOCK + len(own)] = own
     texts = made.filter("slot IS NOT NULL").select("slot", "lang", "phrase")
-    if texts.count() != n:
-        raise RuntimeError("the table was read in other partitions than before, so texts are missing")
     return total, texts, made.filter("n IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
@@ -592,13 +590,15 @@ def mine(docs: DataFrame, least: int = 30, cover: int = 80, most: int = 2000, bi
     sieve = spark.sparkContext.broadcast(passed)
     hashes = _slots(docs, sieve, 64 - bits, shards)
     n = hashes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    scored = None
     if n <= broadcast_slots:
         own = dict(hashes.select("shard", "hash").collect())  # at most broadcast_slots keys
         none = Slots(np.empty(0, np.uint64), owner=np.empty(0, np.int32))
         index = spark.sparkContext.broadcast(Index([Slots.unpacked(own[s]) if s in own else none for s in range(shards)]))
         counts, texts, totals = _counted_by_slot(docs, sieve, 64 - bits, index, n)
-        scored = _cut_by_slot(texts, index, spark.sparkContext.broadcast(counts), least, cover)
-    else:
+        if texts.count() == n:  # not so if rows came in other partitions than before, as after an unstable shuffle
+            scored = _cut_by_slot(texts, index, spark.sparkContext.broadcast(counts), least, cover)
+    if scored is None:
         candidates, shards = _candidates(docs, sieve, 64 - bits), max(1, -(-n // shard_slots))
         scored = _cut_by_text(_counted_by_shard(docs, _hashed(candidates, shards), sieve, 64 - bits, shards), least, cover)
         totals = _words_of_languages(docs)
