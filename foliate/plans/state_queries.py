@@ -114,7 +114,7 @@ register("H18_crash_findings", {"f": _CF.replace("SELECT CASE", "SELECT DISTINCT
     w AS (SELECT unnest(k) AS type FROM z UNION ALL SELECT 'tmp_removed' FROM g WHERE temporary AND id IN (SELECT id FROM r) UNION ALL SELECT 'orphan_managed_file' FROM s WHERE id NOT IN (SELECT id FROM r)) SELECT type, count(*) AS n FROM w GROUP BY type""")
 register("H23_tombstones", _LIFE, lambda p, s, o, d: diff.missing(p, s, o, d).filter("to_trash").select("id", F.concat(F.lit(".trash/2024-01-01/"), c("id").cast("string"), F.lit(".md")).alias("path"), "reason"), _H10 + " SELECT id, '.trash/2024-01-01/' || id || '.md' AS path, reason FROM y WHERE to_trash AND missing_count IS NOT NULL")
 both("H24_moves", lambda cur, old: diff.reconcile(cur, old).filter("action = 'MOVE'").join(old.select("id", "local_path"), "id").join(cur.select("id", "expected_path"), "id").select("id", c("local_path").alias("source_path"), c("expected_path").alias("target_path")), " SELECT e.id, o.local_path AS source_path, c.expected_path AS target_path FROM e JOIN old o USING (id) JOIN cur c USING (id) WHERE action = 'MOVE'")
-register("H26_migrations", {"m": "SELECT CAST(n_nationkey AS BIGINT) AS version, n_name AS name FROM {nation} WHERE n_nationkey < 6", "done": "SELECT CAST(r_regionkey AS BIGINT) AS version FROM {region} WHERE r_regionkey < 3"}, lambda m, done: m.join(done, "version", "left_anti"), "SELECT version, name FROM m ANTI JOIN done USING (version)")
+register("H26_migrations", {"m": "SELECT CAST(n_nationkey AS BIGINT) AS version, n_name AS name FROM {nation}", "done": "SELECT CAST(r_regionkey AS BIGINT) AS version FROM {region}"}, lambda m, done: m.join(done, "version", "left_anti"), "SELECT version, name FROM m ANTI JOIN done USING (version)")
 register("A12_state_swap", _UPSERT, lambda o, n: diff.upsert(o, n, "id", kept=["local_path"]).agg(F.count("*").alias("n"), F.count("local_path").alias("placed")), "SELECT count(*) AS n, count(coalesce(n.local_path, o.local_path)) AS placed FROM old o FULL JOIN new n USING (id)")
 
 
