@@ -19,22 +19,24 @@ def climb(nodes: DataFrame, label: str | None = None) -> DataFrame:
 
     ``top`` is the last ancestor that a node's chain reaches, ``depth`` the steps to it, ``stem`` the chain's values of the
     column ``label`` from there on, joined by slashes (null without one). ``state``: rooted where the top has no parent,
-    missing where the next ancestor isn't there (it is the top then), cycle where the chain never ends.
+    missing where the next ancestor isn't there (it is the top then), cycle where the chain never ends (it has no stem then).
+    Joins are by shuffles: what a round holds is as large as the input.
     """
     value = F.col(label) if label else F.lit(None).cast("string")
     one = nodes.select("id", "parent_id", value.alias("stem")).groupBy("id").agg(F.min(F.struct("parent_id", "stem")).alias("x")).select("id", "x.*")
     root = F.col("parent_id").isNull()
-    now = store(one.select("id", F.coalesce("parent_id", "id").alias("top"), F.when(root, 0).otherwise(1).cast("long").alias("depth"), "stem", F.when(root, "rooted").alias("state")), "climb")
-    size, seen = now.count(), 1
-    while seen <= size and not now.filter("state is null").isEmpty():
-        up = now.select(F.col("id").alias("top"), F.col("top").alias("_top"), F.col("depth").alias("_depth"), F.col("stem").alias("_stem"), F.coalesce("state", F.lit("")).alias("_state"))
-        far = now.filter("state is null").join(up, "top", "left")
-        state = F.when(F.col("_state").isNull(), "missing").otherwise(F.nullif("_state", F.lit("")))
+    now = store(one.select("id", F.coalesce("parent_id", "id").alias("top"), F.when(root, 0).otherwise(1).cast("long").alias("depth"), F.col("id").alias("least"), "stem", F.when(root, "rooted").alias("state")), "climb")
+    while not now.filter("state is null").isEmpty():
+        # Rows without a state have seen equally many steps, so two spans in a row share their smallest id only where the chain comes back.
+        up = now.select(F.col("id").alias("top"), F.col("top").alias("_top"), F.col("depth").alias("_depth"), F.col("least").alias("_least"), F.col("stem").alias("_stem"), F.coalesce("state", F.lit("")).alias("_state"))
+        far = now.filter("state is null").join(up.hint("merge"), "top", "left")
         gone = F.col("_state").isNull()
-        far = far.select("id", F.when(gone, F.col("top")).otherwise(F.col("_top")).alias("top"), F.when(gone, F.col("depth")).otherwise(F.col("depth") + F.col("_depth")).alias("depth"), F.when(gone, F.col("stem")).otherwise(F.concat("_stem", F.lit("/"), "stem")).alias("stem"), state.alias("state"))
+        again = (F.col("_state") == "cycle") | ((F.col("_state") == "") & F.coalesce(F.col("least") == F.col("_least"), F.lit(False)))
+        state = F.when(gone, "missing").when(again, "cycle").otherwise(F.nullif("_state", F.lit("")))
+        stem = F.when(gone, F.col("stem")).when(~again, F.concat("_stem", F.lit("/"), "stem"))
+        far = far.select("id", F.when(gone, F.col("top")).otherwise(F.col("_top")).alias("top"), F.when(gone, F.col("depth")).otherwise(F.col("depth") + F.col("_depth")).alias("depth"), F.least("least", "_least").alias("least"), stem.alias("stem"), state.alias("state"))
         now = store(now.filter("state is not null").unionByName(far), "climb")
-        seen *= 2
-    return now.withColumn("state", F.coalesce("state", F.lit("cycle")))
+    return now.drop("least")
 
 
 def descend(nodes: DataFrame, start: str = "parent_id is null") -> DataFrame:
@@ -65,7 +67,7 @@ def paths(resources: DataFrame) -> DataFrame:
 
 def unplanned(resources: DataFrame, planned: DataFrame) -> DataFrame:
     """Resources that no path reaches: members or descendants of a cycle, or of a missing parent."""
-    return resources.join(planned, "id", "left_anti").select("id", "parent_id")
+    return resources.join(planned.select("id").hint("merge"), "id", "left_anti").select("id", "parent_id")
 
 
 def missing_parents(resources: DataFrame) -> DataFrame:

@@ -148,6 +148,22 @@ def test_long_chains(spark):
     assert got["e"][:2] == ("gone", 2) and got["d"][:2] == ("gone", 1)
 
 
+def test_cycles_hold_no_stems(spark, monkeypatch):
+    """What is stored for a cycle and what hangs below it doesn't double from round to round."""
+    sizes, kept = [], tree.store
+
+    def measured(df, name):
+        held = kept(df, name)
+        sizes.append(held.agg(F.max(F.length("stem"))).first()[0])
+        return held
+
+    monkeypatch.setattr(tree, "store", measured)
+    around = spark.range(2000).selectExpr("concat('n', id) AS id", "CASE WHEN id < 3 THEN concat('n', (id + 1) % 3) ELSE 'n0' END AS parent_id")
+    rows = tree.climb(around.withColumn("label", F.lit("x" * 20)), "label").select("state", "stem").distinct().collect()
+    assert [tuple(r) for r in rows] == [("cycle", None)]
+    assert len(sizes) <= 5 and max(filter(None, sizes)) < 100
+
+
 def test_runs_refuse(spark, tmp_path):
     """Too much trash, a partial census with trash, an unmanaged target, two pages at one path: nothing is written."""
     from foliate.streaming import runs
