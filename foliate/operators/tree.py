@@ -82,7 +82,7 @@ def reach(candidates: DataFrame, links: DataFrame, root: str) -> DataFrame:
     ends = links.sparkSession.range(1).select(F.lit(root).alias("id"), F.lit(None).cast("string").alias("parent_id"))
     known = climb(links.filter(F.col("id") != root).select("id", "parent_id").unionByName(ends)).select("id", "top", "state")
     inside = (F.col("state") == "rooted") & (F.col("top") == root)
-    found = candidates.select("id").join(known, "id", "left")
+    found = candidates.select("id").join(known.hint("merge"), "id", "left")
     return found.select("id", F.when(inside, "inside").when(F.col("state") == "rooted", "outside").otherwise("unknown").alias("reachability"))
 
 

@@ -420,3 +420,10 @@ def test_block_trees(spark):
     pages_, kept = render.render(blocks)
     assert {r.page: r.text for r in pages_.collect()} == want
     assert all(r.payload == "raw" and r.type in ("odd", "image", "table") for r in kept.collect())
+
+
+def test_reach_broadcasts_nothing(spark):
+    nodes = spark.range(3000).selectExpr("concat('n', id) AS id", "CASE WHEN id > 0 THEN concat('n', id div 10) END AS parent_id")
+    found = tree.reach(nodes.select("id"), nodes, "n0")
+    assert {tuple(r) for r in found.groupBy("reachability").count().collect()} == {("inside", 3000)}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
