@@ -86,6 +86,11 @@ def reach(candidates: DataFrame, links: DataFrame, root: str) -> DataFrame:
     return found.select("id", F.when(inside, "inside").when(F.col("state") == "rooted", "outside").otherwise("unknown").alias("reachability"))
 
 
+def not_among(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of ``asked`` whose ``id`` a search didn't find; both may be as large as the input."""
+    return asked.join(found.select("id").hint("merge"), "id", "left_anti")
+
+
 def index_path(path, has_source):
     """A database with a source is a folder with an index page."""
     return F.when(has_source, F.regexp_replace(path, r"\.md$", "/_index.md")).otherwise(path)

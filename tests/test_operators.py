@@ -427,3 +427,10 @@ def test_reach_broadcasts_nothing(spark):
     found = tree.reach(nodes.select("id"), nodes, "n0")
     assert {tuple(r) for r in found.groupBy("reachability").count().collect()} == {("inside", 3000)}
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_gap_broadcasts_nothing(spark):
+    asked, found = spark.range(20).select(F.col("id").cast("string")), spark.range(5, 50).select(F.col("id").cast("string"))
+    left = tree.not_among(asked, found)
+    assert sorted(r.id for r in left.collect()) == ["0", "1", "2", "3", "4"]
+    assert "Broadcast" not in left._jdf.queryExecution().executedPlan().toString()
