@@ -40,7 +40,7 @@ def table_cell(text: Column) -> Column:
 
 
 def wiki_path(path: Column) -> Column:
-    return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"(?i)\.md$", "")
+    return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"(?i)\.md\z", "")
 
 
 def index_path(path: Column) -> Column:
@@ -57,7 +57,8 @@ def wiki_alias(text: Column) -> Column:
 
 def wiki_link(path: Column, label: Column, in_table: Column) -> Column:
     bare = wiki_path(path)
-    name = F.coalesce(F.nullif(F.trim(label), F.lit("")), F.nullif(F.regexp_extract(bare, r"([^/]*)$", 1), F.lit("")), bare)
+    last = F.substring_index(bare, "/", -1)  # a pattern that ends the text would try each place before the last slash
+    name = F.coalesce(F.nullif(F.trim(label), F.lit("")), F.nullif(last, F.lit("")), bare)
     return F.concat(F.lit("[["), bare, F.when(in_table, "\\|").otherwise("|"), wiki_alias(name), F.lit("]]"))
 
 

@@ -434,3 +434,15 @@ def test_search_gap_broadcasts_nothing(spark):
     left = tree.not_among(asked, found)
     assert sorted(r.id for r in left.collect()) == ["0", "1", "2", "3", "4"]
     assert "Broadcast" not in left._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_of_long_paths(spark):
+    """The last part of a long path takes one pass; an ending before a line break isn't one."""
+    import time
+
+    long = "a" * 400_000
+    df = spark.createDataFrame([(f"{long}/b.md", f"https://h/{long}/b//"), (f"{long}/", f"https://h/{long}"), ("x/y.md\n", "https://h//")], "p string, u string")
+    start = time.monotonic()
+    got = [tuple(r) for r in df.select(texts.wiki_link(F.col("p"), F.lit(" "), F.lit(False)), urls.file_name(F.col("u"))).collect()]
+    assert got == [(f"[[{long}/b|b]]", "b"), (f"[[{long}/|{long}/]]", long), ("[[x/y.md\n|y.md ]]", None)]
+    assert time.monotonic() - start < 30
