@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliate.sources.batches import over
+
 _USER, _NAMED = "struct<id:string,name:string>", "struct<name:string>"
 
 
@@ -161,4 +163,4 @@ def stabilise(rows: DataFrame, column: str) -> DataFrame:
             columns[at] = pa.array([None if t is None else json.dumps(m[0], ensure_ascii=False, separators=(",", ":")) for t, m in zip(batch.column(at).to_pylist(), made, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array([m[k] for m in made], pa.int64()) for k in (1, 2))], names=[*names, "replaced", "unsafe"])
 
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", replaced long, unsafe long")
+    return over(rows, run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", replaced long, unsafe long")

@@ -446,3 +446,13 @@ def test_names_of_long_paths(spark):
     got = [tuple(r) for r in df.select(texts.wiki_link(F.col("p"), F.lit(" "), F.lit(False)), urls.file_name(F.col("u"))).collect()]
     assert got == [(f"[[{long}/b|b]]", "b"), (f"[[{long}/|{long}/]]", long), ("[[x/y.md\n|y.md ]]", None)]
     assert time.monotonic() - start < 30
+
+
+@pytest.mark.parametrize("build", [pages.stabilised, lambda df: pages.rewrite(df, str.upper), lambda df: pages.rewrite(df, str.upper, "t"), lambda df: pages.with_local_assets(df, df.selectExpr("id AS page", "text AS url", "text AS path"))])
+def test_pages_come_in_small_batches(spark, build):
+    """A worker holds a batch, whatever the size of the table: at most 1,000 rows and 4 MB."""
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+    for key in keys:
+        spark.conf.set(key, str(1 << 30))
+    assert build(spark.range(2500, numPartitions=1).selectExpr("id", "concat('t', id) AS text")).count() == 2500
+    assert all(int(spark.conf.get(key)) <= most for key, most in keys.items())
