@@ -79,3 +79,46 @@ def test_export_and_read(spark, tmp_path):
     assert [(r.collection, r.page_no * 3 + r.place, r.turn, r.role, r.text) for r in got] == rows
     with pytest.raises(Exception, match="entity must be one of"):
         spark.read.format("cursors").option("entity", "x").load(str(tmp_path))
+
+
+def test_bundles_hold_many_pages(spark, tmp_path):
+    """Two thousand collections make a few files; a filter leaves the other bundles unread; a stream reads new files alone."""
+    df = spark.range(6000).selectExpr("cast(id % 2000 AS string) AS collection", "id div 2000 AS place", "id AS turn", "'r' AS role", "concat('t', id) AS text")
+    cursors.export(df, str(tmp_path), "messages", 2)
+    files = sorted((tmp_path / "messages").glob("bundle=*/part-*"))
+    assert 0 < len(files) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    want = {(str(k % 2000), k // 4000, k // 2000 % 2, k) for k in range(6000)}
+    assert {(r.collection, r.page_no, r.place, r.turn) for r in read(spark, tmp_path).collect()} == want
+    some = read(spark, tmp_path).filter("collection IN ('7', '8')")
+    for f in files:
+        if not any(f'"collection":"{k}"' in f.read_text() for k in (7, 8)):
+            f.write_text("broken\n")
+            (f.parent / f".{f.name}.crc").unlink()
+    assert {r.turn for r in some.collect()} == {7, 8, 2007, 2008, 4007, 4008}
+
+    def run():
+        rows = spark.readStream.format("cursors").option("entity", "messages").load(f"{tmp_path}/grown")
+        rows.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+        return sorted((r.collection, r.page_no, r.turn) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    line = lambda number, cursor, k, after: json.dumps({"collection": "a", "page_no": number, "cursor": cursor, "page": {"results": [item(k)], "has_more": bool(after), "next_cursor": after}}) + "\n"
+    folder = tmp_path / "grown/messages/bundle=0-of-1"
+    folder.mkdir(parents=True)
+    (folder / "part-1.txt").write_text(line(0, "start", 0, "x"))
+    assert run() == [("a", 0, 0)]
+    (folder / "part-2.txt").write_text(line(1, "x", 1, None))
+    assert run() == run() == [("a", 0, 0), ("a", 1, 1)]
+    assert sorted(r.turn for r in read(spark, tmp_path / "grown").collect()) == [0, 1]
+
+
+@pytest.mark.parametrize(("lines", "error"), [
+    ([(0, "start", "x")], "no page at cursor x"), ([(0, "start", "x"), (1, "y", None)], "no page at cursor x"), ([(0, "start", "start")], "comes again"),
+    ([(0, "start", None), (0, "start", None)], "comes again"), ([(1, "x", None)], "no page at cursor start"),
+])
+def test_contract_in_bundles(spark, tmp_path, lines, error):
+    folder = tmp_path / "messages/bundle=0-of-1"
+    folder.mkdir(parents=True)
+    made = [{"collection": "a", "page_no": n, "cursor": c, "page": {"results": [], "has_more": bool(after), "next_cursor": after}} for n, c, after in lines]
+    (folder / "part.txt").write_text("".join(json.dumps(x) + "\n" for x in made))
+    with pytest.raises(Exception, match=error):
+        read(spark, tmp_path).collect()
