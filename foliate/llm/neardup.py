@@ -13,8 +13,8 @@
    pairs across components are estimated, each in the first band that its two share, and
    the members of likely pairs are compared exactly, block by block, through an index of
    shingles.  A block reports one link for two components, so no candidate is lost and a
-   large group's pairs are never emitted.  Bands of very many dissimilar classes are
-   parted by a second band before that, so their blocks don't grow with the square.
+   large group's pairs are never emitted.  Blocks of a band of very many dissimilar
+   classes grow with the square; they are spread over all tasks and none is left out.
 5. Components come from alternating large and small stars over the confirmed links.
 
 Hot bands, hubs and classes are handled by partial aggregates and by joins of two
@@ -48,8 +48,8 @@ SLACK = 12.0
 DRAWN = 100_000
 #: Classes of a block of step 4, and rows up to which a table of ids is broadcast.
 BLOCK, BROADCAST_ROWS = 256, 500_000
-#: Shingles that a task of step 4 holds as an index (or one text's), and pairs of blocks of a band beyond which it is parted further.
-INDEXED, PAIRS, HITS = 2_000_000, 4096, 500_000
+#: Shingles that a task of step 4 holds as an index (or one text's), and hits that it counts at once.
+INDEXED, HITS = 2_000_000, 500_000
 _MIX, _STEP = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -285,69 +285,42 @@ def _by_task(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tup
     yield from groupby(rows, key=lambda r: r[:keys])
 
 
-def _finer(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """``band, sub, digest``: the stored ``band, digest`` parted by each other band value of the class.
-
-    Two classes at a similarity of 0.75 that share one band share none of the other 31
-    in one of 130,000 cases; dissimilar ones hardly ever share another.
-    """
-    joined = members.join(classes.select("digest", "regs"), "digest").select("band", "digest", "regs")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 2048):
-                part = batch.slice(k, 2048)
-                band = part.column(0).to_numpy()
-                values = bands(np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint16).reshape(-1, M))
-                row, at = np.nonzero(values != band[:, None])
-                digests = part.column(1).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(band[row]), pa.array(values[row, at]), digests], names=["band", "sub", "digest"])
-
-    return joined.mapInArrow(common.trimmed(run), "band long, sub long, digest binary")
-
-
 def _open(placed: DataFrame, block: int) -> DataFrame:
-    """Groups (``band, sub``) of several components: the largest one and both sides' numbers of blocks."""
-    sizes = placed.groupBy("band", "sub", "root").agg(F.count("*").alias("n"))
-    held = sizes.groupBy("band", "sub").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("held")).filter("held > n_major")
-    return held.select("band", "sub", "major", F.ceil(F.col("n_major") / block).cast("int").alias("majors"), F.ceil((F.col("held") - F.col("n_major")) / block).cast("int").alias("rests"))
+    """Bands of several components: the largest one and both sides' numbers of blocks."""
+    sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
+    held = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("held")).filter("held > n_major")
+    return held.select("band", "major", F.ceil(F.col("n_major") / block).cast("int").alias("majors"), F.ceil((F.col("held") - F.col("n_major")) / block).cast("int").alias("rests"))
 
 
-def _residual_links(members: DataFrame, docs: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, block: int, pairs: int = PAIRS) -> DataFrame:
+def _residual_links(members: DataFrame, docs: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, block: int) -> DataFrame:
     """Links across components within bands that hold several (``members``: stored ``band, digest``), one for two components of a task at most.
 
     A group's largest component is cut into blocks, and so are the rest of its members;
-    each block of the rest meets each block of the largest and of the rest.  Bands of
-    more than ``pairs`` pairs of blocks are parted by a second band first.
+    each block of the rest meets each block of the largest and of the rest, however many
+    there are: a pair may share no other band.
     """
     least = percent / 100
     named = roots.select(F.col("node").alias("digest"), "root")
-    rooted = lambda df: df.join(named, "digest", "left").select("band", "sub", "digest", F.coalesce("root", "digest").alias("root"))
-    placed = common.store(rooted(members.withColumn("sub", F.lit(0).cast("long"))), "neardup_placed")
+    placed = common.store(members.join(named, "digest", "left").select("band", "digest", F.coalesce("root", "digest").alias("root")), "neardup_placed")
     open_bands = common.store(_open(placed, block), "neardup_open")
-    large = open_bands.filter(F.col("rests").cast("long") * (F.col("majors") + F.col("rests")) > pairs).select("band")
-    if not large.isEmpty():
-        finer = common.store(rooted(_finer(placed.join(large, "band").select("band", "digest"), classes)), "neardup_finer")
-        placed = placed.join(large, "band", "left_anti").union(finer)
-        open_bands = common.store(open_bands.join(large, "band", "left_anti").union(_open(finer, block)), "neardup_open")
-    left = placed.join(open_bands, ["band", "sub"]).withColumn("is_major", F.col("root") == F.col("major"))
+    left = placed.join(open_bands, ["band"]).withColumn("is_major", F.col("root") == F.col("major"))
     of = lambda n: F.pmod(F.xxhash64("digest"), n).cast("int")
     # A task is (x, y): blocks of the rest are 0, 1, ..., and those of the largest component -1, -2, ...
     spread = left.withColumn("own", F.when(F.col("is_major"), -1 - of(F.col("majors"))).otherwise(of(F.col("rests"))))
     other = F.when(F.col("is_major"), F.sequence(F.lit(0), F.col("rests") - 1)).otherwise(F.concat(F.sequence(-F.col("majors"), F.lit(-1)), F.sequence(F.lit(0), F.col("rests") - 1)))
-    tasks = spread.withColumn("other", F.explode(other)).select("band", "sub", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "digest", "root")
+    tasks = spread.withColumn("other", F.explode(other)).select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "digest", "root")
     n = common.partitions(classes.sparkSession)
-    key = ["band", "sub", "x", "y"]
+    key = ["band", "x", "y"]
     rows = common.store(tasks, "neardup_blocks").join(classes.select("digest", "n_shingles", "regs"), "digest")
     rows = rows.select(*key, "own", "digest", "root", "n_shingles", "regs").repartition(n, *key).sortWithinPartitions(*key)
     common.small_batches(classes.sparkSession)
     #: A pair at the threshold has so few equal registers in one of 10 ** 12 cases.
     fewest = int(M * least - 7 * math.sqrt(M * least * (1 - least)))
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    kinds = (pa.int64(), pa.int32(), pa.int32())
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows that are in a likely pair."""
-        for (band, sub, x, y), group in _by_task(batches, 4):
+        for (band, x, y), group in _by_task(batches, 3):
             held = list(group)
             if len(held) < 2:
                 continue
@@ -363,19 +336,18 @@ def _residual_links(members: DataFrame, docs: DataFrame, classes: DataFrame, roo
                 equal = r[part][:, None, :] == r[b][None, :, :]
                 near = (equal.sum(2) >= fewest) & (root[part][:, None] != root[b][None, :])
                 i, j = np.nonzero(near)
-                if not sub:  # each pair in the first band that it shares
-                    first = equal[i, j].reshape(-1, M // ROWS, ROWS).all(2).argmax(1) == at
-                    i, j = i[first], j[first]
+                first = equal[i, j].reshape(-1, M // ROWS, ROWS).all(2).argmax(1) == at  # each pair in the first band that it shares
+                i, j = i[first], j[first]
                 i, j = part[i], b[j]
                 if len(i):
                     good = likely((r[i] > r[j]).sum(1), (r[i] < r[j]).sum(1), size[i], size[j], least)
                     hit[i[good]] = hit[j[good]] = True
             if hit.any():
                 keep = np.flatnonzero(hit).tolist()
-                columns = [*(pa.array([v] * len(keep), t) for v, t in zip((band, sub, x, y), kinds, strict=True)), pa.array([own[k] for k in keep], pa.int32()), *(pa.array([c[k] for k in keep], pa.binary()) for c in (digests, own_roots)), pa.array([sizes[k] for k in keep], pa.int64())]
+                columns = [*(pa.array([v] * len(keep), t) for v, t in zip((band, x, y), kinds, strict=True)), pa.array([own[k] for k in keep], pa.int32()), *(pa.array([c[k] for k in keep], pa.binary()) for c in (digests, own_roots)), pa.array([sizes[k] for k in keep], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*key, "own", "digest", "root", "n_shingles"])
 
-    flagged = common.store(rows.mapInArrow(common.trimmed(estimate), "band long, sub long, x int, y int, own int, digest binary, root binary, n_shingles long"), "neardup_flagged")
+    flagged = common.store(rows.mapInArrow(common.trimmed(estimate), "band long, x int, y int, own int, digest binary, root binary, n_shingles long"), "neardup_flagged")
     texts = _texts(flagged.select("digest").distinct(), docs, classes)
     # Block y is an index, cut into slices of INDEXED shingles at most (or one text), that block x streams past, a copy for each slice.
     before = Window.partitionBy(*key).orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
@@ -390,7 +362,7 @@ def _residual_links(members: DataFrame, docs: DataFrame, classes: DataFrame, roo
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Exact links."""
         shingle = Shingler()
-        for _, group in _by_task(batches, 5):
+        for _, group in _by_task(batches, 4):
             parent: dict[bytes, bytes] = {}
             links: list[tuple[bytes, bytes]] = []
             names, own_roots, sets, index = [], [], [], None
@@ -435,7 +407,7 @@ def _residual_links(members: DataFrame, docs: DataFrame, classes: DataFrame, roo
     return full.mapInArrow(common.trimmed(compare), "a binary, b binary")
 
 
-def _grouped(docs: DataFrame, percent: int, block: int, pairs: int) -> DataFrame:
+def _grouped(docs: DataFrame, percent: int, block: int) -> DataFrame:
     """``doc_id, key, n_shingles, digest, top`` of each row; ``top`` is the ``id`` and ``key`` of the row that stands for its component."""
     least = percent / 100
     signed = common.store(signatures(docs), "neardup_signatures")
@@ -450,7 +422,7 @@ def _grouped(docs: DataFrame, percent: int, block: int, pairs: int) -> DataFrame
     likely_pairs = common.store(_estimated(stars, classes, least), "neardup_likely")
     edges = common.store(_verified(likely_pairs, docs, classes, percent), "neardup_links")
     roots = components(edges)
-    more = common.store(_residual_links(members.select("band", "digest"), docs, classes, roots, percent, block, pairs), "neardup_links")
+    more = common.store(_residual_links(members.select("band", "digest"), docs, classes, roots, percent, block), "neardup_links")
     if not more.isEmpty():
         roots = components(edges.union(more))
     named = classes.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left").select("digest", "top", F.coalesce("root", "digest").alias("root"))
@@ -460,20 +432,20 @@ def _grouped(docs: DataFrame, percent: int, block: int, pairs: int) -> DataFrame
     return signed.select("doc_id", "key", "n_shingles", "digest").join(final, "digest", "left")
 
 
-def group(docs: DataFrame, percent: int = 75, block: int = BLOCK, pairs: int = PAIRS) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``."""
+def group(docs: DataFrame, percent: int = 75, block: int = BLOCK, pairs: int | None = None) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``; ``pairs`` has no effect, as bands of any size are worked through whole."""
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("top.id"))
-    return _grouped(docs, percent, block, pairs).select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return _grouped(docs, percent, block).select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def deduplicate(docs: DataFrame, percent: int = 75, block: int = BLOCK, pairs: int = PAIRS) -> DataFrame:
+def deduplicate(docs: DataFrame, percent: int = 75, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that stand for their group, with all columns.
 
     Of rows with equal ids and different texts in one group, that with the smallest hash
     of its text stays; repeated rows stay or go together.
     """
     of_top = F.col("doc_id").eqNullSafe(F.col("top.id")) & (F.col("key") == F.col("top.key"))
-    gone = _grouped(docs, percent, block, pairs).filter(F.col("digest").isNotNull() & ~of_top)
+    gone = _grouped(docs, percent, block).filter(F.col("digest").isNotNull() & ~of_top)
     dropped = common.store(gone.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct(), "neardup_dropped")
     few = dropped.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"))

@@ -755,3 +755,20 @@ def test_op4_against_brute_force(spark, sf, duck):
                 assert there.setdefault((e.kind, e.match), new) == new and back.setdefault((e.kind, new), e.match) == e.match
             at, to = start + len(e.match), to + len(gap) + len(e.match)
     assert n
+
+
+def test_a_pair_of_one_band_is_found(spark):
+    """Two similar classes that share one band alone, which is beyond the former bound on pairs of blocks."""
+    words = [f"w{k}" for k in range(200)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:190] + [f"v{k}" for k in range(10)]))], "doc_id long, text string")
+    signed = neardup.signatures(docs).collect()
+    first = np.frombuffer(signed[0].regs, np.uint16)
+    other = first.copy()
+    other[neardup.ROWS :: neardup.ROWS] += np.array([1, -1] * 16, np.int16)[:31].astype(np.uint16)
+    rows = [(r.digest, {"id": r.doc_id, "key": r.key}, r.n_shingles, regs.tobytes()) for r, regs in zip(signed, (first, other), strict=True)]
+    classes = neardup.common.store(spark.createDataFrame(rows, "digest binary, top struct<id:long,key:long>, n_shingles long, regs binary"), "classes")
+    members = neardup.common.store(neardup.memberships(classes), "members")
+    assert members.groupBy("band").count().filter(F.col("count") == 2).count() == 1
+    roots = spark.createDataFrame([], "node binary, root binary")
+    args = (members, docs, classes, roots, 75, 4) + ((1,) if hasattr(neardup, "PAIRS") else ())
+    assert {frozenset(map(bytes, r)) for r in neardup._residual_links(*args).collect()} == {frozenset(bytes(r.digest) for r in signed)}
