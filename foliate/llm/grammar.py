@@ -51,13 +51,14 @@ def unpack_bits(raw: np.ndarray, bits: int, start: int, stop: int) -> np.ndarray
     """Values ``start:stop`` of packed bytes."""
     if not bits or start >= stop:
         return np.zeros(max(stop - start, 0), np.int64)
+    first = start * bits // 8
+    own = np.concatenate([raw[first : (stop * bits + 7) // 8], np.zeros(8, np.uint8)])
+    # Each value lies within the eight bytes from that of its first bit: 57 bits at most.
+    words = np.ndarray(len(own) - 7, ">u8", own, strides=(1,))
     out = np.empty(stop - start, np.int64)
-    weights = (1 << np.arange(bits - 1, -1, -1, dtype=np.int64)).astype(np.float64)  # exact: 53 bits at most
     for k in range(start, stop, 1 << 16):
-        end = min(stop, k + (1 << 16))
-        first = k * bits // 8
-        ones = np.unpackbits(raw[first : (end * bits + 7) // 8])[k * bits - 8 * first :][: (end - k) * bits]
-        out[k - start : end - start] = (ones.reshape(-1, bits) @ weights).astype(np.int64)
+        at = np.arange(k, min(stop, k + (1 << 16)), dtype=np.int64) * bits - 8 * first
+        out[k - start : k - start + len(at)] = (words[at >> 3].astype(np.uint64) << (at & 7).astype(np.uint64)) >> np.uint64(64 - bits)
     return out
 
 
@@ -113,9 +114,11 @@ def _by_slots(seq: np.ndarray, inner: np.ndarray, turn: int, per_round: int, lea
     return at[same], number[same], own
 
 
-def _exactly(seq: np.ndarray, inner: np.ndarray, per_round: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same for the ``per_round`` most frequent pairs, counted by sorting."""
-    at = np.flatnonzero(inner)
+def _exactly(seq: np.ndarray, inner: np.ndarray, turn: int, per_round: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for the ``per_round`` most frequent pairs, counted by sorting those whose slots hold ``least`` pairs: no other is frequent."""
+    bits = int(np.clip(np.ceil(np.log2(max(len(seq), 2))), 10, 20))
+    slot = _slots(seq[:-1], seq[1:], bits, 2 * turn)
+    at = np.flatnonzero(inner & (np.bincount(slot[inner], minlength=1 << bits) >= least)[slot])
     key = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
     own, back, count = np.unique(key, return_inverse=True, return_counts=True)
     often = np.flatnonzero(count >= least)
@@ -135,7 +138,7 @@ def build(ids: np.ndarray, ends: np.ndarray, first: int, per_round: int = 4096,
     most frequent adjacent pairs, gives each a nonterminal and replaces them at once;
     of overlapping ones the more frequent wins.  Rounds go on until no pair within a
     document occurs ``least`` times beside itself; while a round shortens the sequence by
-    ``slot_gain`` or more, pairs are counted by slots, and after that by sorting.
+    ``slot_gain`` or more, pairs are counted by slots, and after that exactly.
     """
     seq, ends = ids.astype(np.uint32), ends.astype(np.int64)
     rules, lengths = [np.empty((0, 2), np.uint32)], [np.empty(0, np.uint32)]
@@ -143,7 +146,7 @@ def build(ids: np.ndarray, ends: np.ndarray, first: int, per_round: int = 4096,
     while len(seq) > 1:
         inner = np.ones(len(seq) - 1, bool)
         inner[ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(seq))] - 1] = False
-        at, number, own = _by_slots(seq, inner, turn, per_round, least) if slots else _exactly(seq, inner, per_round, least)
+        at, number, own = _by_slots(seq, inner, turn, per_round, least) if slots else _exactly(seq, inner, turn, per_round, least)
         turn += 1
         # A pair that loses its places to others is no rule, so each round either shortens the sequence or is the last of its kind.
         count = np.bincount(number, minlength=len(own))

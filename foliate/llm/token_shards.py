@@ -16,12 +16,13 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Iterator
-from itertools import compress, repeat
+from itertools import compress, pairwise, repeat
 from operator import is_
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,13 +31,16 @@ from foliate.llm import common, grammar
 SHARDS = "part int, seq int, part_start long, first_doc long, n_docs long, n_tokens long, shard binary"
 #: Marks that are a pre-token of their own after a letter or digit; an apostrophe may not be.
 MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Such marks at a chunk's end, after a letter that no normaliser turns into anything but a letter.
+LAST_MARKS = r"([A-Za-z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])([!-&(-/:-@\[-`{-~]+)([\t-\r ]|$)"
 
 
 class ChunkEncoder:
     """Encodes texts with a word-end BPE tokenizer whose pre-tokens never hold white space.
 
-    Texts fall into chunks at ASCII white space; chunks that were met before come
-    from a bounded cache.  Of new chunks, runs of marks after letters are encoded on
+    Texts fall into chunks at ASCII white space; each distinct chunk of a batch is looked
+    up once, in a bounded cache of two halves: a full half becomes the old one, out of which
+    chunks that are met again move to the new one.  Of new chunks, runs of marks after letters are encoded on
     their own, as pre-tokens of their own; letters in the form that the normaliser
     gives them go through a pipeline without it, many at a time, and are told apart by
     the tokens that end a pre-token.  The others are encoded together, parted by a
@@ -57,7 +61,7 @@ class ChunkEncoder:
         self.lean.normalizer, self.lean.pre_tokenizer = None, pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), byte_level])
         self.ascii = Tokenizer.from_file(path)
         self.ascii.normalizer, self.ascii.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
-        self.tokenizer, self.cached, self.cache = Tokenizer.from_file(path), cached, {}
+        self.tokenizer, self.cached, self.cache, self.old = Tokenizer.from_file(path), cached, {}, {}
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         (self.part,) = self.tokenizer.encode(self.PART, add_special_tokens=False).ids
         self.closes = np.zeros(self.size, bool)
@@ -91,6 +95,7 @@ class ChunkEncoder:
         marked = [(c, b) for c, b in zip(rest, bare, strict=True) if len(b) < len(c) and b[-1:].isalnum()]
         lean = [c for c, b in zip(rest, bare, strict=True) if len(b) == len(c) or not b[-1:].isalnum()]
         bases, other = {b for _, b in marked}, []
+        self.cache |= {c: self.old[c] for c in bases if c in self.old}
         missing = [c for c in bases if c not in self.cache and c not in chunks]
         plain += [c for c in missing if c.isalpha()]
         lean += [c for c in missing if not c.isalpha()]
@@ -111,26 +116,51 @@ class ChunkEncoder:
         for c, base in marked:
             self.cache[c] = self.cache[base] + self._tail(c[len(base) :])
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Each UTF-8 text's ids as little-endian unsigned 32-bit integers."""
-        chunks: list[bytes] = []
-        ends = []
-        for t in texts:
-            # ASCII case is lost to the normaliser anyway; special tokens keep theirs until they are told apart.
-            chunks += [c if b"<|" in c else c.lower() for c in t.split()] if b"<|" in t else t.lower().split()
-            ends.append(len(chunks))
+    def _found(self, chunks: list[bytes], special: bool) -> list[bytes]:
+        """Each chunk's ids; ``chunks`` are distinct.  What both halves of the cache lack is encoded."""
         found = list(map(self.cache.get, chunks))
         missing = list(compress(range(len(found)), map(is_, found, repeat(None))))
         if missing:
-            new = set(map(chunks.__getitem__, missing))
-            if len(self.cache) + len(new) > self.cached:
-                self.cache = {c: ids for c, ids in zip(chunks, found, strict=True) if ids is not None}
-            self._encode(new, any(b"<|" in t or b"\x02" in t for t in texts))
-            get = self.cache.__getitem__
+            old, new = self.old, set()
+            if len(self.cache) + len(missing) > self.cached // 2:
+                self.old, self.cache = self.cache, {}
+            for k in missing:
+                if (ids := old.get(chunks[k])) is None:
+                    new.add(chunks[k])
+                else:
+                    found[k] = self.cache[chunks[k]] = ids
+            self._encode(new, special)
             for k in missing:
-                found[k] = get(chunks[k])
+                if found[k] is None:
+                    found[k] = self.cache[chunks[k]]
             common.forget_long(self.cache, new)
-        return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends)]  # noqa: B905
+        return found
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of UTF-8 strings one after the other, and the bounds of each string's ids."""
+        # ASCII case is lost to the normaliser anyway; special tokens keep theirs, and their marks, until they are told apart.
+        opens = pc.match_substring(texts, "<|")
+        opened = pc.any(opens).as_py()
+        parted = pc.replace_substring_regex(texts, LAST_MARKS, r"\1 \2\3")
+        if opened:
+            parted = pc.if_else(opens, texts, parted)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(parted))
+        chunks, ends = split.flatten(), split.offsets.to_numpy()
+        if opened:
+            own = pc.ascii_split_whitespace(parted).flatten()
+            chunks = pc.if_else(pc.match_substring(own, "<|"), own, chunks)
+        coded = chunks.dictionary_encode()
+        distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        found = self._found(distinct, opened or pc.any(pc.match_substring(texts, self.PART)).as_py())
+        bounds = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4, dtype=np.int32)
+        of = pa.ListArray.from_arrays(pa.array(np.concatenate([np.zeros(1, np.int32), bounds])), pa.array(np.frombuffer(b"".join(found), "<u4")))
+        ids = of.take(coded.indices)
+        return ids.flatten().to_numpy(), ids.offsets.to_numpy()[ends].astype(np.int64)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Each UTF-8 text's ids as little-endian unsigned 32-bit integers."""
+        ids, bounds = self.encode_array(pa.array(texts, pa.binary()).cast(pa.string()))
+        return [ids[a:b].tobytes() for a, b in pairwise(bounds.tolist())]
 
 
 _loaded: dict[str, ChunkEncoder] = {}
@@ -152,15 +182,15 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, sh
         from pyspark import TaskContext
 
         part, seq, before = TaskContext.get().partitionId(), 0, 0
-        encoder, end = loaded(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder = loaded(tokenizer)
         ids: list[int] = []
-        runs: list[bytes] = []
+        runs: list[np.ndarray] = []
         held = nulls = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal seq, before, held, nulls
-            lengths = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
-            blob = grammar.pack(np.array(ids, np.int64), lengths, np.frombuffer(b"".join(runs), "<u4"), encoder.size, nulls, per_round=per_round)
+            lengths = np.fromiter(map(len, runs), np.int64, len(runs))
+            blob = grammar.pack(np.array(ids, np.int64), lengths, np.concatenate(runs), encoder.size, nulls, per_round=per_round)
             row = (part, seq, before, ids[0], len(ids), held, blob)
             seq, before, held, nulls = seq + 1, before + held, 0, 0
             ids.clear()
@@ -170,14 +200,17 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, sh
         gc.disable()  # millions of byte strings and no cycles: tracing them is a tenth of the work
         try:
             for batch in batches:
-                for key, run in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).cast(pa.binary()).fill_null(b"").to_pylist()), strict=True):
-                    run += end
-                    if runs and held + len(run) // 4 > shard_tokens:
+                found, bounds = encoder.encode_array(batch.column(1).cast(pa.string()).fill_null(""))
+                found = np.insert(found, bounds[1:], end_id)
+                bounds += np.arange(len(bounds))
+                for key, (a, b) in zip(batch.column(0).to_pylist(), pairwise(bounds.tolist()), strict=True):
+                    run = found[a:b]
+                    if runs and held + len(run) > shard_tokens:
                         yield flush()
                     nulls += key is None  # they come first
                     ids.append(key or 0)
                     runs.append(run)
-                    held += len(run) // 4
+                    held += len(run)
             if runs:
                 yield flush()
         finally:

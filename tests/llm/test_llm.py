@@ -89,6 +89,49 @@ def test_grammar_leaves_no_frequent_pair_and_reads_windows():
         assert len(raw) == grammar.packed_bytes(len(x), bits) and np.array_equal(grammar.unpack_bits(raw, bits, 3, 69_999), x[3:69_999])
 
 
+def test_exact_rounds_sort_only_pairs_of_full_slots(monkeypatch):
+    """Rare pairs are not sorted, and every frequent one is found as by counting all."""
+    random = np.random.default_rng(5)
+    seq = random.integers(0, 40_000, 60_000).astype(np.uint32)
+    seq[random.choice(30_000, 400, replace=False) * 2] = 7
+    seq[random.choice(10_000, 30, replace=False)[:, None] * 6 + [0, 1]] = 3, 11
+    inner = np.ones(len(seq) - 1, bool)
+    inner[999::1000] = False
+    sizes, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda x, **how: (sizes.append(len(x)), unique(x, **how))[1])
+    at, number, own = grammar._exactly(seq, inner, 3, 4096, 8)
+    assert max(sizes) < len(seq) / 10
+    count = Counter((a, b) for a, b, same in zip(seq[:-1].tolist(), seq[1:].tolist(), inner.tolist(), strict=True) if same)
+    want = {p: n for p, n in count.items() if n >= 8}
+    assert want and Counter((int(seq[k]), int(seq[k + 1])) for k in at) == want
+    assert [(int(k) >> 32, int(k) & 0xFFFFFFFF) for k in own[number]] == [(int(seq[k]), int(seq[k + 1])) for k in at]
+
+
+def test_marks_at_a_chunks_end_are_chunks_of_their_own():
+    encoder, plain = token_shards.ChunkEncoder(WORD), Tokenizer.from_file(WORD)
+    encoder.encode([b"Word, word. word", "\u00df, \u00df!!\x0b\u00df".encode()])
+    assert set(encoder.cache) - {b""} == {b"word", "\u00df".encode(), b",", b".", b"!!"}
+    odd = ["\u0130, x", "e\u0301. a<\u0338 b<", "dog's, dogs', dogs.' 'tis, don't.", "a,\x0bb.\x1cc; d", "<|endoftext|>, end. <|x|>!", "END,<|EndOfText|>. y,", "\u00aa. 7% 4,5, \u00bd, \u212a. \u0391\u03a3.",
+           "a,\u00a0b.", "x\x02. y,", "\u00c9!! stra\u00dfe###", ",, . a", "a'. 's, x's,", "a-b_c... (d) [e], \u4e2d, z\u0327,", "", " ", "\n\t"]
+    for texts in (odd, odd[::-1], [], *([t] for t in odd)):
+        got = [np.frombuffer(x, "<u4").tolist() if x else [] for x in encoder.encode([t.encode() for t in texts])]
+        assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_full_cache_keeps_chunks_that_are_met_again(monkeypatch):
+    encoder, new = token_shards.ChunkEncoder(WORD, cached=8), []
+    encode = encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda chunks, special: (new.append(set(chunks)), encode(chunks, special))[1])
+    first = encoder.encode([b"one two three"])
+    encoder.encode([b"four five"])
+    assert encoder.encode([b"one two three"]) == first
+    assert sum(len(x) for x in new) == 5
+    for k in range(20):
+        encoder.encode([f"w{k} one two".encode()])
+        assert len(encoder.cache) + len(encoder.old) <= 8
+    assert sum(b"one" in x for x in new) == 1
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text(st.characters(codec="utf-8"), max_size=30), min_size=1, max_size=5))
 def test_chunk_encoder_equals_the_library(documents):
