@@ -65,10 +65,18 @@ def unpack_bits(raw: np.ndarray, bits: int, start: int, stop: int) -> np.ndarray
 def _slots(left: np.ndarray, right: np.ndarray, bits: int, turn: int) -> np.ndarray:
     """A slot for each pair, dealt differently in each turn."""
     odd = np.random.default_rng(turn).integers(1, 1 << 31, 3, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    mixed = left * odd[0] + right * odd[1]
-    mixed ^= mixed >> np.uint32(15)
-    mixed *= odd[2]
-    return (mixed >> np.uint32(32 - bits)).astype(np.int64)
+    out = np.empty(len(left), np.int64)
+    for k in range(0, len(left), 1 << 15):  # parts that stay in a processor's cache
+        mixed = left[k : k + (1 << 15)] * odd[0] + right[k : k + (1 << 15)] * odd[1]
+        mixed ^= mixed >> np.uint32(15)
+        mixed *= odd[2]
+        out[k : k + (1 << 15)] = mixed >> np.uint32(32 - bits)
+    return out
+
+
+def _tally(slot: np.ndarray, across: np.ndarray, bits: int) -> np.ndarray:
+    """Pairs in each slot, without those at ``across``."""
+    return np.bincount(slot, minlength=1 << bits) - np.bincount(slot[across], minlength=1 << bits)
 
 
 def _chosen(marked: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -86,15 +94,15 @@ def _chosen(marked: np.ndarray, count: np.ndarray) -> np.ndarray:
     return win
 
 
-def _by_slots(seq: np.ndarray, inner: np.ndarray, turn: int, per_round: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _by_slots(seq: np.ndarray, across: np.ndarray, turn: int, per_round: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places, numbers and keys of the pairs that stand for the ``per_round`` fullest slots.
 
-    Of the pairs that share a slot, that which a second dealing counts highest stands for it.
+    Pairs at ``across`` cross a document's end.  Of the pairs that share a slot, that which a second dealing counts highest stands for it.
     """
     bits = int(np.clip(np.ceil(np.log2(max(len(seq), 2))), 10, 18))
     left, right = seq[:-1], seq[1:]
     slot = _slots(left, right, bits, 2 * turn)
-    tally = np.bincount(slot[inner], minlength=1 << bits)
+    tally = _tally(slot, across, bits)
     full = np.flatnonzero(tally >= least)
     if not len(full):
         return full, full, np.empty(0, np.uint64)
@@ -102,7 +110,7 @@ def _by_slots(seq: np.ndarray, inner: np.ndarray, turn: int, per_round: int, lea
     rank = np.full(1 << bits, -1, np.int32)
     rank[full] = np.arange(len(full))
     of = rank[slot]
-    of[~inner] = -1
+    of[across] = -1
     at = np.flatnonzero(of >= 0)
     number = of[at]
     key = (left[at].astype(np.uint64) << np.uint64(32)) | right[at]
@@ -114,11 +122,13 @@ def _by_slots(seq: np.ndarray, inner: np.ndarray, turn: int, per_round: int, lea
     return at[same], number[same], own
 
 
-def _exactly(seq: np.ndarray, inner: np.ndarray, turn: int, per_round: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _exactly(seq: np.ndarray, across: np.ndarray, turn: int, per_round: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same for the ``per_round`` most frequent pairs, counted by sorting those whose slots hold ``least`` pairs: no other is frequent."""
     bits = int(np.clip(np.ceil(np.log2(max(len(seq), 2))), 10, 20))
     slot = _slots(seq[:-1], seq[1:], bits, 2 * turn)
-    at = np.flatnonzero(inner & (np.bincount(slot[inner], minlength=1 << bits) >= least)[slot])
+    full = (_tally(slot, across, bits) >= least)[slot]
+    full[across] = False
+    at = np.flatnonzero(full)
     key = (seq[at].astype(np.uint64) << np.uint64(32)) | seq[at + 1]
     own, back, count = np.unique(key, return_inverse=True, return_counts=True)
     often = np.flatnonzero(count >= least)
@@ -144,9 +154,8 @@ def build(ids: np.ndarray, ends: np.ndarray, first: int, per_round: int = 4096,
     rules, lengths = [np.empty((0, 2), np.uint32)], [np.empty(0, np.uint32)]
     made, length_of, turn, slots = 0, np.ones(first, np.uint32), 0, True
     while len(seq) > 1:
-        inner = np.ones(len(seq) - 1, bool)
-        inner[ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(seq))] - 1] = False
-        at, number, own = _by_slots(seq, inner, turn, per_round, least) if slots else _exactly(seq, inner, turn, per_round, least)
+        across = np.unique(ends[:-1][(ends[:-1] > 0) & (ends[:-1] < len(seq))] - 1)  # documents without ids share an end
+        at, number, own = _by_slots(seq, across, turn, per_round, least) if slots else _exactly(seq, across, turn, per_round, least)
         turn += 1
         # A pair that loses its places to others is no rule, so each round either shortens the sequence or is the last of its kind.
         count = np.bincount(number, minlength=len(own))

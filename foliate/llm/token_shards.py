@@ -173,6 +173,18 @@ def loaded(path: str) -> ChunkEncoder:
     return _loaded[path]
 
 
+def grouped(batches: Iterator[pa.RecordBatch], most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to ``most`` bytes, so that a chunk is looked up less often; a larger one stays alone."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and sum(b.nbytes for b in held) + batch.nbytes > most:
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, shard_tokens: int = 1 << 21, per_round: int = 4096) -> None:
     """Writes ``docs``' ids to ``path``; ``end_id`` ends each document."""
     spark = docs.sparkSession
@@ -199,7 +211,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, sh
 
         gc.disable()  # millions of byte strings and no cycles: tracing them is a tenth of the work
         try:
-            for batch in batches:
+            for batch in grouped(batches):
                 found, bounds = encoder.encode_array(batch.column(1).cast(pa.string()).fill_null(""))
                 found = np.insert(found, bounds[1:], end_id)
                 bounds += np.arange(len(bounds))
